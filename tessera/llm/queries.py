@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact, mixing, sharding
+from tessera.llm import bpe, exact, lang, mixing, near, sharding
 
 
 def _documents(spark, sf_dir):
@@ -11,8 +11,11 @@ def _documents(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": lambda spark, d: sharding.shard_documents(_documents(spark, d)),
+    "op2_bpe": lambda spark, d: bpe.encode(_documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact.exact_dedup(_documents(spark, d)),
     "op7_mixing": lambda spark, d: mixing.mix_query(_documents(spark, d)),
+    "op8_language_id": lambda spark, d: lang.identify(_documents(spark, d)),
+    "op9_near_dedup": lambda spark, d: near.near_dedup(_documents(spark, d)),
 }
 
 ORACLES = {"op1_sharding": sharding.ORACLE, "op3_exact_dedup": exact.ORACLE}
