@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact, lang, mixing, near, sharding
+from tessera.llm import bpe, exact, lang, mixing, near, secrets, sharding, suffix, toxicity, vectors
 
 
-def _documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark, sf_dir, name="documents"):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 QUERIES = {
-    "op1_sharding": lambda spark, d: sharding.shard_documents(_documents(spark, d)),
-    "op2_bpe": lambda spark, d: bpe.encode(_documents(spark, d)),
-    "op3_exact_dedup": lambda spark, d: exact.exact_dedup(_documents(spark, d)),
-    "op7_mixing": lambda spark, d: mixing.mix_query(_documents(spark, d)),
-    "op8_language_id": lambda spark, d: lang.identify(_documents(spark, d)),
-    "op9_near_dedup": lambda spark, d: near.near_dedup(_documents(spark, d)),
+    "op1_sharding": lambda spark, d: sharding.shard_documents(_table(spark, d)),
+    "op2_bpe": lambda spark, d: bpe.encode(_table(spark, d)),
+    "op3_exact_dedup": lambda spark, d: exact.exact_dedup(_table(spark, d)),
+    "op4_suffix_dedup": lambda spark, d: suffix.repeated_passages(_table(spark, d)),
+    "op5_secret_scan": lambda spark, d: secrets.scan(_table(spark, d)),
+    "op6_embedding_dedup": lambda spark, d: vectors.near_pairs(_table(spark, d, "embeddings")),
+    "op7_mixing": lambda spark, d: mixing.mix_query(_table(spark, d)),
+    "op8_language_id": lambda spark, d: lang.identify(_table(spark, d)),
+    "op9_near_dedup": lambda spark, d: near.near_dedup(_table(spark, d)),
+    "op10_toxicity": lambda spark, d: toxicity.score(_table(spark, d), _table(spark, d, "labels")),
 }
 
-ORACLES = {"op1_sharding": sharding.ORACLE, "op3_exact_dedup": exact.ORACLE}
+ORACLES = {
+    "op1_sharding": sharding.ORACLE,
+    "op3_exact_dedup": exact.ORACLE,
+    "op5_secret_scan": secrets.ORACLE,
+    "op6_embedding_dedup": vectors.ORACLE,
+}
