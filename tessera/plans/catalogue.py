@@ -1,4 +1,497 @@
 """Registry of the queries outside ``llm`` and of their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import audit, compile as compiler, export, failures, importers, segments, split, verify
+from tessera.plans import bridge
+from tessera.plans.bridge import table
+
+SEED = 7
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# The bridge in SQL: u = units, t = units x families, k = scoring keys
+NORM = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+_U = f"""
+WITH b AS (SELECT doc_id, source, lang, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+u AS (SELECT doc_id, 'doc-' || doc_id AS unit_id, 'Document ' || doc_id AS title, text, source AS family, lang AS section,
+  l[1:2] AS req, l[5:5] AS forb, l[1:4] AS proc, l[6:6] AS exc, list_filter(string_split({NORM.format("text")}, ' '), lambda x: x <> '')[1:2] AS terms,
+  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM b)"""
+_REF = """concat_ws(chr(10), body,
+  CASE WHEN len(req) > 0 THEN 'Required actions: ' || array_to_string(req, '; ') END,
+  CASE WHEN len(forb) > 0 THEN 'Forbidden actions: ' || array_to_string(forb, '; ') END,
+  CASE WHEN len(proc) > 0 THEN 'Procedure: ' || array_to_string(proc, '; ') END,
+  CASE WHEN len(exc) > 0 THEN 'Exceptions: ' || array_to_string(exc, '; ') END,
+  CASE WHEN len(terms) > 0 THEN 'Terms: ' || array_to_string(terms, '; ') END)"""
+_FAMS = ", ".join(f"({i}, '{t[0]}', '{t[1].replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(compiler.TEMPLATES))
+_T = (
+    _U
+    + f""",
+t AS (SELECT 'task-' || substr(sha256('{compiler.GENERATOR}' || chr(0) || unit_id || chr(0) || fam), 1, 20) AS task_id, fi, fam, instruction, u.*
+  FROM u CROSS JOIN (VALUES {_FAMS}) f(fi, fam, instruction))"""
+)
+_NL = lambda x: f"list_transform({x}, lambda z: {NORM.format('z')})"
+_UNIQ = lambda x: f"list_filter({x}, lambda z, i: z <> '' AND list_position({x}, z) = i)"
+_W = dict(verify.WEIGHTS)
+# answers of the variants, then the five scores
+_K = (
+    _T
+    + f""",
+r AS (SELECT task_id, doc_id, fam, (doc_id + fi) % 7 AS v, {_REF} AS ref, {_NL("req")} AS nreq, {_NL("forb")} AS nforb, {_NL("proc")} AS nproc, {_NL("terms")} AS nterm, unit_id FROM t),
+a AS (SELECT *, CASE v WHEN 1 THEN nreq[1:greatest(len(nreq) - 1, 0)] WHEN 2 THEN list_concat(nreq, nforb) ELSE nreq END AS areq,
+  CASE WHEN v = 3 THEN list_reverse(nproc) ELSE nproc END AS aproc, CASE WHEN v = 4 THEN '' ELSE {NORM.format("ref")} END AS fin,
+  {_UNIQ("nreq")} AS ereq, {_UNIQ("nforb")} AS eforb, {_UNIQ("nproc")} AS eproc, {_UNIQ("nterm")} AS eterm FROM r),
+s0 AS (SELECT *, len(list_filter(eforb, lambda z: list_contains(areq, z) OR list_contains(aproc, z))) > 0 AS unsafe,
+  '|' || replace(array_to_string(aproc, '||'), '_', '-') || '|' AS hay FROM a),
+s AS (SELECT task_id, doc_id, fam, v, v <> 6 AS ok, v <> 6 AND unsafe AS bad,
+  CASE WHEN v = 6 THEN 0.0::DOUBLE WHEN len(ereq) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ereq, lambda z: list_contains(areq, z)))::DOUBLE / len(ereq) END AS c0,
+  CASE WHEN v = 6 OR unsafe THEN 0.0::DOUBLE WHEN len(eforb) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(eforb, lambda z: list_contains(nforb, z)))::DOUBLE / len(eforb) END AS c1,
+  CASE WHEN v IN (5, 6) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS c2,
+  CASE WHEN v = 6 THEN 0.0::DOUBLE WHEN len(eproc) = 0 THEN 1.0::DOUBLE ELSE list_max(list_transform(range(0, 1 << len(eproc)), lambda m:
+      CASE WHEN hay LIKE '%' || array_to_string(list_transform(list_filter(range(1, len(eproc) + 1), lambda i: (m >> (i - 1)) & 1 = 1), lambda i: '|' || replace(eproc[i], '_', '-') || '|%'), '') THEN bit_count(m) ELSE 0 END))::DOUBLE / len(eproc) END AS c3,
+  CASE WHEN v = 6 THEN 0.0::DOUBLE WHEN len(eterm) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(eterm, lambda z: contains(' ' || fin || ' ', ' ' || z || ' ')))::DOUBLE / len(eterm) END AS c4
+  FROM s0),
+g AS (SELECT *, {" + ".join(f"{w}::DOUBLE * c{i}" for i, w in enumerate(_W.values()))} AS raw FROM s),
+l AS (SELECT *, CASE WHEN abs(raw - 1) <= 1e-9 THEN 1.0 ELSE raw END AS ungated, CASE WHEN NOT ok OR c0 < 1 OR bad THEN 0.0 ELSE 1.0 END AS gate FROM g),
+c AS (SELECT task_id, doc_id, fam, v, bad, ungated * gate AS total, unnest([{", ".join(f"'{k}'" for k in _W)}]) AS component_id, unnest([c0, c1, c2, c3, c4]) AS score FROM l)"""
+)
+
+
+def _ledgers(spark: SparkSession, d: str, evidence: bool = False) -> DataFrame:
+    built = bridge.tasks(spark, d)
+    # the test texts normalise by built-ins alone, so no Python runs
+    return verify.verify(bridge.responses(built), built, evidence=evidence, simple=True)
+
+
+def _r9(c) -> F.Column:
+    return F.round(c, 9)
+
+
+# ------------------------------------------------------------ units and tasks
+@query(
+    _U
+    + """ SELECT unit_id, title, family, section, len(req) AS n_required, len(forb) AS n_forbidden, len(proc) AS n_procedure, len(exc) AS n_exceptions,
+ array_to_string(terms, ' ') AS terms, CASE l.quality WHEN 1 THEN 'reviewed' WHEN 0 THEN 'rejected' ELSE 'unreviewed' END AS review_status FROM u LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)"""
+)
+def q_units(spark, d):
+    """Units with their review status from labels."""
+    review = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = bridge.units(spark, d).join(review, "doc_id", "left")
+    status = F.when(F.col("quality") == 1, "reviewed").when(F.col("quality") == 0, "rejected").otherwise("unreviewed")
+    return rows.select("unit_id", "title", "family", "section", *[F.size(c).cast("long").alias(n) for c, n in (("required_actions", "n_required"), ("forbidden_actions", "n_forbidden"), ("procedure_steps", "n_procedure"), ("exceptions", "n_exceptions"))], F.array_join("terms", " ").alias("terms"), status.alias("review_status"))
+
+
+@query("SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS text_sha256 FROM documents")
+def q_hash_fill(spark, d):
+    """Missing text hashes filled in."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("text_sha256"))
+    return audit.filled_hashes(docs, "text", "text_sha256").select("doc_id", "text_sha256")
+
+
+@query(_T + " SELECT task_id, fam AS task_family, unit_id, coalesce(nullif(family, ''), nullif(section, ''), unit_id) AS rule_family FROM t")
+def q_compile_tasks(spark, d):
+    """Units expanded by the six templates."""
+    return bridge.tasks(spark, d).select("task_id", "task_family", F.col("knowledge_unit_ids")[0].alias("unit_id"), "rule_family")
+
+
+@query(
+    _T
+    + """ SELECT task_id, sha256(concat_ws(chr(10), 'Task family: ' || fam, 'Source unit: ' || unit_id, 'Title: ' || title, 'Section: ' || nullif(section, ''), '', 'Source text:', body, '', 'Assignment:', instruction)) AS prompt_sha256 FROM t"""
+)
+def q_prompt(spark, d):
+    """Rendered prompts, by hash."""
+    return bridge.tasks(spark, d).select("task_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(_U + f" SELECT unit_id, sha256({_REF}) AS answer_sha256 FROM u")
+def q_reference_answer(spark, d):
+    """Reference answers, by hash."""
+    return bridge.units(spark, d).select("unit_id", F.sha2(compiler.reference_text(), 256).alias("answer_sha256"))
+
+
+@query(_T + " SELECT fam AS task_family, count(*) AS n FROM t GROUP BY 1")
+def q_family_counts(spark, d):
+    return bridge.tasks(spark, d).groupBy("task_family").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------------- splits
+_APPORTION = """
+n AS (SELECT count(*) AS n FROM gk),
+f AS (SELECT i, n * w AS raw, floor(n * w) AS fl FROM n, (VALUES (0, 0.8::DOUBLE), (1, 0.1::DOUBLE), (2, 0.1::DOUBLE)) x(i, w)),
+q AS (SELECT i, fl + CASE WHEN row_number() OVER (ORDER BY raw - fl DESC, i) <= (SELECT n FROM n) - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS c FROM f),
+b0 AS (SELECT (SELECT c FROM q WHERE i = 0) AS x, (SELECT c FROM q WHERE i = 0) + (SELECT c FROM q WHERE i = 1) AS y),
+asg AS (SELECT group_key, CASE WHEN rn <= x THEN 'train' WHEN rn <= y THEN 'dev' ELSE 'test' END AS split FROM (SELECT group_key, row_number() OVER (ORDER BY sha256('7' || chr(0) || group_key)) AS rn FROM gk), b0)"""
+
+
+@query(
+    "WITH gk AS (SELECT DISTINCT 'family:' || source AS group_key FROM documents)," + _APPORTION
+    + " SELECT split, fam AS task_family, count(*) AS n FROM documents JOIN asg ON group_key = 'family:' || source CROSS JOIN (VALUES "
+    + ", ".join(f"('{t[0]}')" for t in compiler.TEMPLATES) + ") f(fam) GROUP BY 1, 2"
+)
+def q_split_family(spark, d):
+    """Tasks per split and family after the grouped split."""
+    return split.split_tasks(bridge.tasks(spark, d), SEED).groupBy("split", "task_family").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH gk AS (SELECT DISTINCT 'family:' || source AS group_key FROM documents)," + _APPORTION
+    + " SELECT s.split, coalesce(n, 0) AS n_tasks FROM (VALUES ('train'), ('dev'), ('test')) s(split) LEFT JOIN (SELECT split, 6 * count(*) AS n FROM documents JOIN asg ON group_key = 'family:' || source GROUP BY 1) USING (split)"
+)
+def q_split_counts(spark, d):
+    """Tasks per split, splits without tasks included."""
+    counts = split.split_tasks(bridge.tasks(spark, d), SEED).groupBy("split").agg(F.count("*").alias("n"))
+    names = spark.createDataFrame([("train",), ("dev",), ("test",)], "split string")
+    return names.join(counts, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n_tasks"))
+
+
+_COMPONENTS = """
+WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS t, 'p' || l_partkey AS p FROM lineitem WHERE l_quantity >= 49),
+reach AS (SELECT DISTINCT p AS root, p AS node FROM e
+  UNION SELECT r.root, b.p FROM reach r JOIN e a ON a.p = r.node JOIN e b ON b.t = a.t),
+comp AS (SELECT node AS p, min(root) AS c FROM reach GROUP BY 1),
+names AS (SELECT c, 'units:' || string_agg(p, '|' ORDER BY p) AS group_key FROM comp GROUP BY 1),
+ug AS (SELECT DISTINCT e.t AS task_id, group_key FROM e JOIN comp USING (p) JOIN names USING (c))"""
+
+
+@query(_COMPONENTS + " SELECT task_id, group_key FROM ug")
+def q_components(spark, d):
+    """Tasks grouped by connected components of the units they share."""
+    return split.component_keys(bridge.unit_tasks(spark, d))
+
+
+@query(_COMPONENTS + ", gk AS (SELECT DISTINCT group_key FROM ug)," + _APPORTION + " SELECT split, count(*) AS n_tasks, count(DISTINCT group_key) AS n_groups FROM ug JOIN asg USING (group_key) GROUP BY 1")
+def q_split_components(spark, d):
+    """The split by components: no unit is in two splits."""
+    return split.split_tasks(bridge.unit_tasks(spark, d), SEED, "knowledge_unit").groupBy("split").agg(F.count("*").alias("n_tasks"), F.countDistinct("group_key").alias("n_groups"))
+
+
+# ---------------------------------------------------------------------- audits
+_NAIVE = "CASE CAST('0x' || substr(sha256({}), 1, 1) AS INTEGER) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END"
+
+
+def _naive(key) -> F.Column:
+    n = F.conv(F.substring(F.sha2(key, 256), 1, 1), 16, 10).cast("int") % 3
+    return F.when(n == 0, "train").when(n == 1, "dev").otherwise("test")
+
+
+@query(f"SELECT source AS rule_family, count(DISTINCT {_NAIVE.format('CAST(doc_id AS VARCHAR)')}) AS n_splits FROM documents GROUP BY 1 HAVING n_splits > 1")
+def q_leakage_family(spark, d):
+    """Families that a naive per-document split tears apart."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("rule_family"), _naive(F.col("doc_id").cast("string")).alias("split"))
+    return audit.leaking(docs, "rule_family")
+
+
+@query(f"SELECT 'p' || l_partkey AS unit_id, count(DISTINCT {_NAIVE.format('CAST(l_orderkey AS VARCHAR)')}) AS n_splits FROM lineitem WHERE l_quantity >= 49 GROUP BY 1 HAVING n_splits > 1")
+def q_leakage_unit(spark, d):
+    """Units that a naive per-task split leaks."""
+    rows = bridge.unit_tasks(spark, d).withColumn("split", _naive(F.substr("task_id", F.lit(2)))).select("split", F.explode("knowledge_unit_ids").alias("unit_id"))
+    return audit.leaking(rows, "unit_id")
+
+
+@query("SELECT sha256(text) AS text_sha256, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1")
+def q_duplicates(spark, d):
+    """Texts that occur more than once."""
+    return audit.duplicates(table(spark, d, "documents").select(F.sha2("text", 256).alias("text_sha256")), "text_sha256")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING n > 1")
+def q_duplicate_lines(spark, d):
+    return audit.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
+def q_dangling_refs(spark, d):
+    """Orders whose customer is not among those in credit."""
+    known = table(spark, d, "customer").where("c_acctbal > 0")
+    return audit.dangling(table(spark, d, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey", "c_custkey")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, role FROM conversations), y AS (SELECT * FROM x WHERE turn <> 1)
+SELECT *, 'left' AS side FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)""")
+def q_multiset_diff(spark, d):
+    """Turns missing from a thinned copy."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return audit.multiset_difference(rows, rows.where("turn <> 1"))
+
+
+@query(f"""WITH x AS (SELECT DISTINCT source, {_NAIVE.format('CAST(doc_id AS VARCHAR)')} AS split FROM documents)
+SELECT a.source, a.split || '+' || b.split AS pair FROM x a JOIN x b ON a.source = b.source
+WHERE (a.split, b.split) IN (('train', 'dev'), ('train', 'test'), ('dev', 'test'))""")
+def q_split_overlap(spark, d):
+    """Sources that two naive splits share."""
+    docs = table(spark, d, "documents").select("source", _naive(F.col("doc_id").cast("string")).alias("split"))
+    return audit.overlaps(docs, "source")
+
+
+@query("SELECT conv_id, turn, previous FROM (SELECT conv_id, turn % 3 AS turn, lag(turn % 3) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) WHERE turn <= previous")
+def q_ordinal_check(spark, d):
+    """Turn numbers (made to wrap) that do not rise within a conversation."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("position"), (F.col("turn") % 3).alias("turn"))
+    w = Window.partitionBy("conv_id").orderBy("position")
+    return rows.withColumn("previous", F.lag("turn").over(w)).where("turn <= previous").select("conv_id", "turn", "previous")
+
+
+# --------------------------------------------------------------------- scoring
+@query(_K + " SELECT task_id, component_id, round(score, 9) AS score FROM c")
+def q_verify_components(spark, d):
+    """Every component score of every response."""
+    return verify.component_rows(_ledgers(spark, d)).select("task_id", "component_id", _r9("score").alias("score"))
+
+
+@query(_K + " SELECT task_id, round(ungated, 9) AS ungated_total, gate AS gate_multiplier, round(ungated * gate, 9) AS total FROM l")
+def q_verify_totals(spark, d):
+    return _ledgers(spark, d).select("task_id", _r9("ungated_total_score").alias("ungated_total"), "gate_multiplier", _r9("total_score").alias("total"))
+
+
+_RAW = (
+    ("full", '{"applicable_rules": ["a"], "situation_type": null, "required_actions": [], "forbidden_actions": [], "procedure_order": [], "final_answer": "x"}'),
+    ("defaults", "{}"), ("version", '{"schema_version": "0.1"}'), ("old version", '{"schema_version": "0.0"}'), ("extra key", '{"note": 1}'), ("null list", '{"applicable_rules": null}'),
+    ("number in list", '{"applicable_rules": [1]}'), ("scalar list", '{"applicable_rules": "a"}'), ("list", "[]"), ("text", "not-json"), ("number answer", '{"final_answer": 3}'),
+)
+
+
+@query(
+    "WITH x AS (SELECT doc_id, kind, raw FROM documents CROSS JOIN (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in _RAW) + ") r(kind, raw)),\n"
+    + "y AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM x)\n"
+    + """SELECT doc_id, kind, coalesce(json_type(j) = 'OBJECT'
+ AND len(list_filter(json_keys(j), lambda k: k NOT IN ('applicable_rules', 'situation_type', 'required_actions', 'forbidden_actions', 'procedure_order', 'final_answer', 'schema_version'))) = 0
+ AND coalesce(j ->> '$.schema_version', '0.1') = '0.1'
+ AND coalesce(json_type(j, '$.final_answer'), 'VARCHAR') = 'VARCHAR' AND coalesce(json_type(j, '$.situation_type'), 'NULL') IN ('NULL', 'VARCHAR')
+ AND len(list_filter(['applicable_rules', 'required_actions', 'forbidden_actions', 'procedure_order'], lambda f: coalesce(json_type(j, '$.' || f), 'ARRAY') <> 'ARRAY')) = 0
+ AND (json_type(j, '$.applicable_rules[0]') IS NULL OR json_type(j, '$.applicable_rules[0]') = 'VARCHAR'), false) AS valid FROM y"""
+)
+def q_verify_invalid(spark, d):
+    """Strict parsing of raw answers, one of each kind a document."""
+    raws = spark.createDataFrame(list(_RAW), "kind string, raw string")
+    rows = table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(raws))
+    return rows.select("doc_id", "kind", verify.parsed(F.col("raw")).isNotNull().alias("valid"))
+
+
+@query(_K + " SELECT component_id, round(avg(score), 9) AS mean_score, count(*) AS n FROM c GROUP BY 1")
+def q_component_means(spark, d):
+    return verify.component_means(_ledgers(spark, d)).select("component_id", _r9("mean_score").alias("mean_score"), "n")
+
+
+@query(_K + " SELECT count(*) AS n, round(avg(ungated * gate), 9) AS mean_score, min(ungated * gate) AS min_score, max(ungated * gate) AS max_score FROM l")
+def q_score_summary(spark, d):
+    return verify.score_summary(_ledgers(spark, d)).withColumn("mean_score", _r9("mean_score"))
+
+
+@query(_K + " SELECT task_id, " + ", ".join(f"round(c{i}, 9) AS component_{k}" for i, k in enumerate(_W)) + ", round(ungated, 9) AS ungated_total, gate AS gate_multiplier, ok::INT::DOUBLE AS schema_validity FROM l")
+def q_metrics_pivot(spark, d):
+    m = verify.metrics(_ledgers(spark, d))
+    return m.select("task_id", *[_r9(f"component_{k}").alias(f"component_{k}") for k in _W], _r9("ungated_total").alias("ungated_total"), "gate_multiplier", "schema_validity")
+
+
+@query(_K.replace("(doc_id + fi) % 7 AS v", "0 AS v") + " SELECT task_id, round(ungated * gate, 9) AS total, ungated * gate = 1.0 AS valid FROM l")
+def q_symbolic_eval(spark, d):
+    """Tasks answered from their own keys."""
+    built = bridge.tasks(spark, d)
+    ledgers = verify.verify(export.symbolic_responses(built), built, evidence=False, simple=True)
+    return ledgers.join(verify.gold_valid(ledgers), "task_id").select("task_id", _r9("total_score").alias("total"), "valid")
+
+
+_CLUSTERS = (
+    _K
+    + """, cl AS (SELECT component_id AS component, count(*) AS n, avg(score) AS m, max(bad::INT) AS unsafe FROM c WHERE score < 1 GROUP BY 1),
+rk AS (SELECT *, CASE WHEN component = '"""
+    + verify.SAFETY
+    + "' THEN 'critical' WHEN component = '"
+    + verify.FORBIDDEN
+    + """' AND unsafe > 0 THEN 'critical' WHEN m <= 0.25 THEN 'high' WHEN m <= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM cl),
+pr AS (SELECT *, row_number() OVER (ORDER BY CASE component WHEN '"""
+    + verify.SAFETY
+    + "' THEN 3 WHEN '"
+    + verify.FORBIDDEN
+    + "' THEN 2 ELSE 1 END DESC, list_position(['low', 'medium', 'high', 'critical'], severity) DESC, n DESC, component) AS priority FROM rk)"
+)
+
+
+@query(_CLUSTERS + " SELECT 'failure:' || component AS cluster_id, component, severity, n AS \"count\", round(m, 9) AS mean_score, priority FROM pr")
+def q_failure_clusters(spark, d):
+    """Sub-threshold components, ranked."""
+    ranked = failures.rank_clusters(failures.cluster_summary(_ledgers(spark, d)))
+    return ranked.select("cluster_id", "component", "severity", "count", _r9("mean_score").alias("mean_score"), F.col("priority").cast("long").alias("priority"))
+
+
+@query(
+    _CLUSTERS
+    + """, fr AS (SELECT component_id AS component, min(task_id) AS first_task, count(DISTINCT task_id) AS n_tasks, count(DISTINCT doc_id) AS n_units FROM c WHERE score < 1 GROUP BY 1)
+SELECT 'curriculum:failure:' || component AS request_id, priority, n_tasks, n_units, t.fam AS task_family FROM pr JOIN fr USING (component) JOIN t ON t.task_id = first_task WHERE priority <= 3"""
+)
+def q_curriculum_topk(spark, d):
+    """The three most urgent requests with their source tasks."""
+    built = bridge.tasks(spark, d)
+    ledgers = verify.verify(bridge.responses(built), built, evidence=False, simple=True)
+    clusters = failures.cluster_failures(ledgers, built)
+    requests = failures.build_curriculum(clusters, built, 3)
+    return requests.select("request_id", F.col("priority").cast("long").alias("priority"), F.size("parent_task_ids").cast("long").alias("n_tasks"), F.size("knowledge_unit_ids").cast("long").alias("n_units"), "task_family")
+
+
+@query(_K + """, z AS (SELECT avg(CASE WHEN v = 0 THEN ungated * gate END) AS ad, avg(CASE WHEN v = 2 THEN ungated * gate END) AS ba, count(CASE WHEN v = 2 THEN 1 END) AS nb, count(CASE WHEN v = 0 THEN 1 END) AS na FROM l)
+SELECT nb AS baseline_n, na AS adapted_n, round(ba, 9) AS baseline_mean, round(ad, 9) AS adapted_mean, round(ad - ba, 9) AS absolute_delta, round(CASE WHEN ba = 0 THEN 0 ELSE 100 * (ad - ba) / ba END, 6) AS relative_percent FROM z""")
+def q_baseline_vs_adapted(spark, d):
+    """Two variants compared as two runs."""
+    built = bridge.tasks(spark, d)
+    given = bridge.responses(built)
+    ledgers = verify.verify(given.where("variant IN (0, 2)"), built, evidence=False, simple=True).join(given.select("task_id", "variant"), "task_id")
+    c = failures.compare_runs(ledgers, "variant", 2, 0)
+    return c.select("baseline_n", "adapted_n", *[_r9(x).alias(x) for x in ("baseline_mean", "adapted_mean", "absolute_delta")], F.round("relative_percent", 6).alias("relative_percent"))
+
+
+# --------------------------------------------------------------------- exports
+@query(_T + f""" SELECT task_id AS id, 3 AS n_messages, 'assistant' AS last_role, sha256(concat_ws(chr(10), 'Task family: ' || fam, 'Source unit: ' || unit_id, 'Title: ' || title, 'Section: ' || nullif(section, ''), '', 'Source text:', body, '', 'Assignment:', instruction)) AS user_sha256, sha256({_REF}) AS final_sha256 FROM t""")
+def q_sft_messages(spark, d):
+    """Chat records; the assistant's JSON is read back for comparison."""
+    records = export.sft_records(bridge.tasks(spark, d))
+    said = F.col("messages")
+    return records.select("id", F.size("messages").alias("n_messages"), said[2].role.alias("last_role"), F.sha2(said[1].content, 256).alias("user_sha256"), F.sha2(F.get_json_object(said[2].content, "$.final_answer"), 256).alias("final_sha256"))
+
+
+@query(_T + f" SELECT task_id AS id, 6 AS n_fields, array_to_string(req, '; ') AS required, array_to_string(terms, '; ') AS terms, sha256({_REF}) AS reference_sha256, fam AS task_family FROM t")
+def q_grpo_records(spark, d):
+    r = export.grpo_records(bridge.tasks(spark, d))
+    return r.select("id", F.size("answer_contract.fields").alias("n_fields"), F.array_join("answer_key.required_actions", "; ").alias("required"), F.array_join("answer_key.terms", "; ").alias("terms"), F.sha2("answer_key.reference_answer", 256).alias("reference_sha256"), F.col("metadata.task_family").alias("task_family"))
+
+
+@query(_T + " SELECT task_id, unit_id AS group_id, row_number() OVER (ORDER BY task_id) - 1 AS idx FROM t")
+def q_packaged_index(spark, d):
+    """Zero-based positions by task id."""
+    built = bridge.tasks(spark, d).withColumn("split", F.lit(None).cast("string"))
+    return export.packaged(built).select("task_id", "group_id", "idx")
+
+
+@query(_U + " SELECT CAST(6 * count(CASE WHEN len(req) > 0 THEN 1 END) AS BIGINT) AS required, CAST(6 * count(CASE WHEN len(forb) > 0 THEN 1 END) AS BIGINT) AS forbidden, CAST(6 * count(CASE WHEN len(proc) > 0 THEN 1 END) AS BIGINT) AS procedure, CAST(6 * count(CASE WHEN len(terms) > 0 THEN 1 END) AS BIGINT) AS terms FROM u")
+def q_answer_key_nonempty(spark, d):
+    return export.key_counts(bridge.tasks(spark, d))
+
+
+@query("SELECT 'symbolic-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS response_id, substr(sha256(doc_id || ':symbolic-answer-key'), 1, 32) AS trace_id, doc_id FROM documents")
+def q_symbolic_ids(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("task_id"))
+    return rows.select(F.concat(F.lit("symbolic-"), T.digest(F.col("task_id"), 16)).alias("response_id"), export.trace_id().alias("trace_id"), "doc_id")
+
+
+# ------------------------------------------------------------------- importers
+@query("SELECT doc_id AS row_id, length(text) AS size, 'train' AS split FROM documents UNION ALL SELECT item_id, length(text), 'test' FROM benchmark")
+def q_heldout_union(spark, d):
+    """Training and held-out rows with fixed splits."""
+    train = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.length("text").cast("long").alias("size"))
+    heldout = table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.length("text").cast("long").alias("size"))
+    return importers.fixture_rows(train, heldout)
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
+def q_first_row_wins(spark, d):
+    """The first order line of each part."""
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return importers.first_rows(rows, "l_partkey", "l_orderkey", "l_linenumber")
+
+
+_EVENT_ALIASES = {"signup": "standard_operation", "error": "violation_check", "click": "edge_case"}
+
+
+@query("SELECT event_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT_ALIASES.items()) + " ELSE 'applied_scenario' END AS task_family FROM events")
+def q_alias_family(spark, d):
+    """Foreign words mapped to task families."""
+    return table(spark, d, "events").select("event_id", importers.family_of(F.col("event_type"), _EVENT_ALIASES).alias("task_family"))
+
+
+@query("SELECT 'p' || p_partkey AS key, 'source-unit-' || nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), '') AS slug FROM part UNION ALL SELECT 'c' || c_custkey, 'source-unit-' || nullif(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-'), '') FROM customer")
+def q_slug(spark, d):
+    """Names as ids."""
+    make = lambda t, k, n, p: table(spark, d, t).select(F.concat(F.lit(p), k).alias("key"), T.slug(F.col(n), "source-unit-").alias("slug"))
+    return make("part", "p_partkey", "p_name", "p").unionByName(make("customer", "c_custkey", "c_name", "c"))
+
+
+@query("""SELECT 'rule-r' || r_regionkey AS unit_id, NULL AS parent, r_name AS family, 0 AS depth FROM region
+UNION ALL SELECT 'rule-n' || n_nationkey, 'rule-r' || r_regionkey, r_name, 1 FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'rule-c' || c_custkey, 'rule-n' || n_nationkey, CASE WHEN c_acctbal > 9000 THEN c_mktsegment ELSE r_name END, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def q_tree_flatten(spark, d):
+    """Region > nation > customer nested as rules, then flattened with inheritance."""
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    lists = [F.lit(None).cast("array<string>").alias(c) for c in ("conditions", "required_actions", "forbidden_actions", "procedure_steps", "exceptions", "terms", "related_rule_ids")]
+
+    def rule(id_, text, category):
+        return [id_.alias("rule_id"), text.alias("text"), category.alias("category"), *none("section"), F.lit(None).cast("int").alias("page_number"), *none("title"), *lists, F.lit(None).cast("double").alias("confidence")]
+
+    leaf = table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct(*rule(F.concat(F.lit("c"), "c_custkey"), F.col("c_name"), F.when(F.col("c_acctbal") > 9000, F.col("c_mktsegment"))))).alias("sub_rules"))
+    middle = table(spark, d, "nation").join(leaf, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    middle = middle.groupBy("n_regionkey").agg(F.collect_list(F.struct(*rule(F.concat(F.lit("n"), "n_nationkey"), F.col("n_name"), F.lit(None).cast("string")), "sub_rules")).alias("sub_rules"))
+    top = table(spark, d, "region").join(middle, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(*rule(F.concat(F.lit("r"), "r_regionkey"), F.col("r_name"), F.col("r_name")), "sub_rules")
+    flat = importers.flatten_rules(top, 2)
+    return flat.select("unit_id", T.slug(F.col("parent_rule_id"), "rule-").alias("parent"), "family", (F.size("path") - 1).alias("depth"))
+
+
+# ---------------------------------------------------------------- segmentation
+_SIZES = ((0, "note"), (500, "page"), (2000, "chapter"), (10000, "book"))
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars >= 10000 THEN 'book' WHEN n_chars >= 2000 THEN 'chapter' WHEN n_chars >= 500 THEN 'page' ELSE 'note' END AS section FROM documents")
+def q_asof_section(spark, d):
+    """The last threshold at or below each value."""
+    sections = spark.createDataFrame(list(_SIZES), "start long, section string")
+    return segments.section_of(table(spark, d, "documents").select("doc_id", "n_chars"), sections, "n_chars")
+
+
+_LINES = "x AS (SELECT doc_id, i - 1 AS line, string_split(text, chr(10))[i] AS text FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+@query(f"WITH {_LINES}, y AS (SELECT *, CASE WHEN regexp_matches(text, '^[A-Z]') THEN 1 ELSE 0 END AS st FROM x), z AS (SELECT *, CAST(sum(st) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS segment FROM y) SELECT doc_id, segment, count(*) AS n_lines, min(line) AS first_line FROM z GROUP BY 1, 2")
+def q_segments(spark, d):
+    """Lines grouped by the last line that starts with a capital."""
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    out = segments.assign_segments(lines, lines.where(F.col("text").rlike("^[A-Z]")))
+    return out.groupBy(F.col("document_id").alias("doc_id"), "segment").agg(F.count("*").alias("n_lines"), F.min("line").cast("long").alias("first_line"))
+
+
+@query("SELECT conv_id, turn, string_agg(role, ',' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS n_before FROM conversations".replace("string_agg(role, ',' ORDER BY turn)", "string_agg(role, ',')"))
+def q_lookback(spark, d):
+    """Roles of up to eight turns before each one."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-8, -1)
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.nullif(F.array_join(F.collect_list("role").over(w), ","), F.lit("")).alias("before"), F.count("*").over(w).alias("n_before"))
+
+
+@query("SELECT conv_id, turn, n AS occurrence, role || CASE WHEN n > 1 THEN '@p' || lpad(CAST(turn AS VARCHAR), 3, '0') || '-v' || n ELSE '' END AS unit_rule_id FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)")
+def q_occurrences(spark, d):
+    """Repeated ids within a document, numbered and renamed."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.lit(0).alias("line"), F.col("role").alias("rule_id"))
+    return segments.occurrences(rows).select(F.col("document_id").alias("conv_id"), F.col("page").alias("turn"), F.col("occurrence").cast("long").alias("occurrence"), "unit_rule_id")
+
+
+@query("SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 3) AS BIGINT) AS batch FROM events")
+def q_batches(spark, d):
+    """Rows in consecutive batches of three, numbered without one global sort task."""
+    return importers.wrap_batches(table(spark, d, "events").select("event_id"), "event_id").select("event_id", F.col("batch").cast("long").alias("batch"))
+
+
+# ------------------------------------------------------------------------ rest
+@query("SELECT doc_id, round(0.5 * quality + 0.3 * (1 - toxic) + 0.2 * quality * (1 - toxic), 9) AS reward FROM labels".replace("0.5 *", "0.5::DOUBLE *").replace("0.3 *", "0.3::DOUBLE *").replace("0.2 *", "0.2::DOUBLE *"))
+def q_legacy_reward(spark, d):
+    """A rubric of three graded scores."""
+    q, t = F.col("quality"), F.col("toxic")
+    return table(spark, d, "labels").select("doc_id", _r9(verify.rubric_reward(q.cast("double"), (1 - t).cast("double"), (q * (1 - t)).cast("double"))).alias("reward"))
+
+
+@query()
+def q_fidelity(spark, d):
+    """Text similarity of each answer with its first two lines, over all units."""
+    rows = bridge.units(spark, d).select("unit_id", F.array_join("required_actions", " ").alias("a"), F.array_join("procedure_steps", " ").alias("b"))
+    return rows.select("unit_id", _r9(T.similarity(T.normalize(F.col("a")), T.normalize(F.col("b")))).alias("fidelity"))
