@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel
 
 PASSAGE = 50
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 RANGES_A_SHARD = 1
 
 
