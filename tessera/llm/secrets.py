@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.kernel import written
+
 EXAMPLE_OWNERS = 3
 DISTINCT_CHARS = 8
 
@@ -49,8 +51,9 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", exa
     """(doc_id, kind, secret_hash, n_repositories, n_owners, verdict) of every candidate."""
     value = F.col("value")
     varied = (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    # the few rows with a candidate are spread over tasks by what they hold, one exchange for all that follows
+    # texts are scanned once; the few candidates are then counted from a written table
     rows = candidates(docs, repository, owner).select("doc_id", "repository", "owner", "kind", F.sha2(value, 256).alias("secret_hash"), varied.alias("varied"))
+    rows = written(rows, "candidates")
     spread = rows.select("secret_hash", F.coalesce(F.concat(F.lit("="), F.col("repository")), F.lit("")).alias("r"), F.coalesce(F.concat(F.lit("="), F.col("owner")), F.lit("")).alias("o"))
     # distinct first: a copied value's rows collapse on the map side
     repositories = spread.select("secret_hash", "r").distinct().groupBy("secret_hash").agg(F.count("*").alias("n_repositories"))
