@@ -10,7 +10,7 @@ import json
 import pathlib
 from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -50,16 +50,16 @@ def digest(value) -> str:
 def canonical_column(*columns: str) -> Column:
     """Canonical JSON of an object of these columns (nested values included)."""
 
-    def encode(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([canonical(r) for r in frame.to_dict("records")])
+    def encode(rows: pa.Array) -> pa.Array:
+        return pa.array([canonical(r) for r in rows.to_pylist()], pa.string())
 
-    return F.pandas_udf(encode, StringType())(F.struct(*columns))
+    return F.arrow_udf(encode, StringType())(F.struct(*columns))
 
 
 def training_json(record: Column) -> Column:
     """ASCII JSON of a struct with sorted keys and spaced separators, as chat trainers store answers."""
 
-    def encode(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([json.dumps(jsonable(r), sort_keys=True) for r in frame.to_dict("records")])
+    def encode(rows: pa.Array) -> pa.Array:
+        return pa.array([json.dumps(jsonable(r), sort_keys=True) for r in rows.to_pylist()], pa.string())
 
-    return F.pandas_udf(encode, StringType())(record)
+    return F.arrow_udf(encode, StringType())(record)
