@@ -142,48 +142,39 @@ def assemble(raw: bytes, data: np.ndarray, shared: list[tuple[int, int, np.ndarr
         last = z
     if last < n:
         pieces.append((last, n, None))
-    pieces = [(a, z, words.encode(raw[a:z]) if t is None else t) for a, z, t in pieces]
-    ends = [a + np.cumsum(words.lengths[t]) for a, _, t in pieces]
+    tokens = np.concatenate([words.encode(raw[a:z]) if t is None else t for a, z, t in pieces])
+    ends = np.cumsum(words.lengths[tokens])  # where each token ends in the text
     hard = token_starts(data)
-    windows = []
-    for _, join, _ in pieces[:-1]:
-        i = int(np.searchsorted(hard, join, "right"))
-        if i and hard[i - 1] == join:
+
+    def agrees(p: int) -> bool:
+        """Whether a token of the chunks begins at byte p."""
+        i = int(np.searchsorted(ends, p))
+        return p == 0 or i < len(ends) and int(ends[i]) == p
+
+    out, at = [], 0  # tokens for the text before ``at`` are settled
+    i = 0
+    joins = [z for _, z, _ in pieces[:-1]]
+    while i < len(joins):
+        join = joins[i]
+        i += 1
+        if join < at:
             continue
-        # a token of each side may end at a window's border only if the chunk's own encoding has it there
-        left, right = i - 1, i
-        while (lo := int(hard[left]) if left >= 0 else 0) and not _agrees(pieces, ends, lo):
+        right = int(np.searchsorted(hard, join, "right"))
+        left = right - 1
+        if left >= 0 and hard[left] == join:
+            continue  # a token begins at the join whatever stands around
+        while (lo := int(hard[left]) if left >= 0 else 0) > at and not agrees(lo):
             left -= 1
-        while (hi := int(hard[right]) if right < len(hard) else n) < n and not _agrees(pieces, ends, hi):
+        lo = max(lo, at)
+        while (hi := int(hard[right]) if right < len(hard) else n) < n and not agrees(hi):
             right += 1
-        if windows and lo <= windows[-1][1]:
-            windows[-1][1] = max(hi, windows[-1][1])
-        else:
-            windows.append([lo, hi])
-    out, at = [], 0
-    for lo, hi in [*windows, [n, n]]:
-        for (a, z, t), e in zip(pieces, ends, strict=True):  # tokens of the chunks in [at, lo)
-            if z > at and a < lo:
-                i = 0 if at <= a else int(np.searchsorted(e, at, "right"))
-                j = len(t) if lo >= z else int(np.searchsorted(e, lo, "right"))
-                out.append(t[i:j])
-        if hi > lo:
-            out.append(words.encode(raw[lo:hi]))
+        out.append(tokens[np.searchsorted(ends, at, "right") : np.searchsorted(ends, lo, "right")])
+        out.append(words.encode(raw[lo:hi]))
         at = hi
+    out.append(tokens[np.searchsorted(ends, at, "right") :])
     return np.concatenate(out)
 
 
-def _agrees(pieces: list, ends: list, p: int) -> bool:
-    """Whether a token of the piece that holds byte ``p`` begins there."""
-    for (a, z, _), e in zip(pieces, ends, strict=True):
-        if a == p:
-            return True
-        if a < p < z:
-            i = int(np.searchsorted(e, p))
-            return i < len(e) and int(e[i]) == p
-    return True
-
-
 # ------------------------------------------------------------------ on tables
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
@@ -216,24 +207,24 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     spark, taken = docs.sparkSession, list(docs.columns)
     with open(vocabulary, "rb") as f:
         shared_words = spark.sparkContext.broadcast(f.read())  # a fixed file of under 2 MB
-    k = fresh("chunk_key", taken)
-    keyed = docs.withColumn(k, F.xxhash64(F.col("text")))
+    k, owner, own, part_key, parts_name = (fresh(n, taken) for n in ("chunk_key", "chunk_owner", "chunk_own", "chunk_part_key", "chunk_parts"))
+    keyed = docs.withColumn(k, F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
     chunks = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), "text").mapInArrow(_chunk_rows, "digest binary, k long, start int, size int")
     again = written(chunks.groupBy("digest").agg(F.collect_set(F.struct("k", "start", "size")).alias("at"), F.count("*").alias("n")).where("n > 1"), "shared-chunks")
-    owned = again.select("digest", F.array_min("at").alias("o")).groupBy(F.col("o.k").alias("owner")).agg(F.collect_list(F.struct("digest", F.col("o.start").alias("start"), F.col("o.size").alias("size"))).alias("own"))
+    owned = again.select("digest", F.array_min("at").alias("o")).groupBy(F.col("o.k").alias(owner)).agg(F.collect_list(F.struct("digest", F.col("o.start").alias("start"), F.col("o.size").alias("size"))).alias(own))
     width = len(keyed.columns)
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = Vocabulary.cached(shared_words.value), None
         for batch in batches:
-            keys, texts, own = batch.column(width - 1).to_pylist(), batch.column(text_at).cast(pa.large_binary()), batch.column(width + 1).to_pylist()
+            keys, texts, wanted = batch.column(width - 1).to_pylist(), batch.column(text_at).cast(pa.large_binary()), batch.column(width + 1).to_pylist()
             digests, tokens = [], []
             for i, key in enumerate(keys):
                 if key == last:  # another copy of the same text
                     continue
                 last = key
                 raw = texts[i].as_py()
-                for c in own[i]:
+                for c in wanted[i]:
                     digests.append(c["digest"])
                     piece = raw[c["start"] : c["start"] + c["size"]]
                     try:
@@ -244,9 +235,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
     text_at = docs.columns.index("text")
     # both joins read one and the same shuffle of the documents
-    once = keyed.join(owned, keyed[k] == owned.owner).mapInArrow(encode_owned, "digest binary, tokens binary")
-    parts = again.select("digest", F.explode("at").alias("p")).join(once, "digest").select(F.col("p.k").alias("part_key"), F.struct(F.col("p.start").alias("start"), F.col("p.size").alias("size"), "tokens").alias("part"))
-    plan = parts.groupBy("part_key").agg(F.collect_list("part").alias("parts"))
+    once = keyed.join(owned, keyed[k] == owned[owner]).mapInArrow(encode_owned, "digest binary, tokens binary")
+    parts = again.select("digest", F.explode("at").alias("p")).join(once, "digest").select(F.col("p.k").alias(part_key), F.struct(F.col("p.start").alias("start"), F.col("p.size").alias("size"), "tokens").alias("part"))
+    plan = parts.groupBy(part_key).agg(F.collect_list("part").alias(parts_name))
     names = [fresh(n, taken) for n in ("tokens", "n_tokens", "exact")]
     columns = [*docs.columns, *names]
 
@@ -281,7 +272,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: width - 1], column, count, pa.array(good, pa.bool_())], columns)
 
     schema = StructType([*docs.schema.fields, StructField(names[0], ArrayType(IntegerType())), StructField(names[1], LongType()), StructField(names[2], BooleanType())])
-    return keyed.join(plan, keyed[k] == plan.part_key, "left").mapInArrow(finish, schema)
+    return keyed.join(plan, keyed[k] == plan[part_key], "left").mapInArrow(finish, schema)
 
 
 def _unpack(packed: bytes, size: int, words: Vocabulary) -> np.ndarray:

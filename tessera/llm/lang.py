@@ -35,7 +35,7 @@ SAMPLE = 1000
 MIN_WORD = 3
 LONGEST = 5
 BACKOFF = 1.0
-MARGIN = 0.02
+MARGIN = 0.001
 WORDS_KEPT = 30_000
 GRAMS_KEPT = 30_000
 

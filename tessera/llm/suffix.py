@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel
 
 PASSAGE = 50
-SHARD_BYTES = 8 << 20
-RANGES_A_SHARD = 1
+SHARD_BYTES = 6 << 20
+SHARDS_A_RANGE = 4
 
 
 # -------------------------------------------------------------- one sequence
@@ -174,9 +174,10 @@ class Shard:
         x = np.empty(n + docs, np.int64)  # every text ends in a border of its own
         x[np.arange(n) + self.doc] = symbol + docs
         x[self.starts[1:] + np.arange(docs)] = np.arange(docs)
+        del symbol
         sa = suffix_array(x)
-        lcp = common_prefixes(x, sa)
-        group = np.cumsum(lcp < self.passage)
+        group = np.cumsum(common_prefixes(x, sa) < self.passage, dtype=np.int32)
+        del x
         word = np.full(n + docs, -1)
         word[np.arange(n) + self.doc] = np.arange(n)
         place = word[sa]
@@ -221,7 +222,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_bytes: int
     """(doc_id, start_word, end_word, n_words, passage_hash): see the module's text."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
-    ranges = shards * RANGES_A_SHARD
+    ranges = -(-shards // SHARDS_A_RANGE)
     shift = 64 - max(0, (ranges - 1).bit_length())
     # copies of one row are one document, so they share a shard and an owner number
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))

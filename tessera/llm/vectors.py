@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,17 @@ def unit_vectors(table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            lists = batch.column(1)
+            sizes = pc.list_value_length(lists)
+            if batch.num_rows and not batch.column(0).null_count and not lists.null_count and pc.min(sizes).as_py() == pc.max(sizes).as_py() > 0 and not lists.flatten().null_count:
+                x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                norm = np.sqrt((x * x).sum(axis=1))
+                ok = np.isfinite(norm) & (norm > 0)
+                rows = x[ok] / norm[ok, None]
+                flat = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1] * 8).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), flat], ["id", "v"])
+                continue
+            ids, out = [], []  # lists of several lengths, or with nulls
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i is None or not v or any(x is None for x in v):
                     continue
