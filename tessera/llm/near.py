@@ -35,7 +35,7 @@ from tessera.operators.graph import connected_components
 SAMPLES = 256
 BITS = 1024
 ROWS = 4
-BANDS = 32
+BANDS = 40
 THRESHOLD = 0.5
 
 _RNG = np.random.default_rng(20140407)
@@ -202,10 +202,12 @@ def _verify(most: int):
 
 def near_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): edges whose components are the near-duplicate groups."""
-    signed = written(signatures(docs), "signatures")
-    fold = written(signed.groupBy("sketch").agg(F.min(F.struct("id", "bands")).alias("m"), F.collect_set("id").alias("ids")), "folded")
-    same = fold.where(F.size("ids") > 1).select(F.col("m.id").alias("a"), F.explode("ids").alias("b")).where("a <> b")
-    reps = fold.select(F.col("m.id").alias("id"), "sketch", F.col("m.bands").alias("bands"))
+    # rows that repeat an id and a sketch go first; all that follows is joined, so no row holds a group's members
+    signed = written(signatures(docs).dropDuplicates(["id", "sketch"]), "signatures")
+    fold = signed.groupBy("sketch").agg(F.min("id").alias("first"))
+    held = written(signed.join(fold, "sketch"), "folded")
+    same = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    reps = held.where("id = first").select("id", "sketch", "bands")
     bands = reps.select("id", F.explode("bands").alias("key"))
     # equal buckets of several bands are verified once
     buckets = bands.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
