@@ -185,15 +185,20 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in kernel.blocks(off):
             part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             raw = part.tobytes()
-            key, start, size, digest = [], [], [], []
+            key, start, size, digest, count = [], [], [], [], []
+            _, first, copies = np.unique(keys[i:j], return_index=True, return_counts=True)
+            times = dict(zip(first.tolist(), copies.tolist(), strict=True))  # copies of one text are cut once
             for d, borders in enumerate(cuts(part, o)):
+                if d not in times:
+                    continue
                 a = int(o[d])
                 for x, y in zip(borders[:-1], borders[1:], strict=True):
                     key.append(keys[i + d])
                     start.append(x)
                     size.append(y - x)
                     digest.append(xxhash.xxh3_128_digest(raw[a + x : a + y]))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["digest", "k", "start", "size"])
+                    count.append(times[d])
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(count, pa.int64())], ["digest", "k", "start", "size", "n"])
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -209,9 +214,13 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
         shared_words = spark.sparkContext.broadcast(f.read())  # a fixed file of under 2 MB
     k, owner, own, part_key, parts_name = (fresh(n, taken) for n in ("chunk_key", "chunk_owner", "chunk_own", "chunk_part_key", "chunk_parts"))
     keyed = docs.withColumn(k, F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
-    chunks = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), "text").mapInArrow(_chunk_rows, "digest binary, k long, start int, size int")
-    again = written(chunks.groupBy("digest").agg(F.collect_set(F.struct("k", "start", "size")).alias("at"), F.count("*").alias("n")).where("n > 1"), "shared-chunks")
-    owned = again.select("digest", F.array_min("at").alias("o")).groupBy(F.col("o.k").alias(owner)).agg(F.collect_list(F.struct("digest", F.col("o.start").alias("start"), F.col("o.size").alias("size"))).alias(own))
+    cut = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), "text").mapInArrow(_chunk_rows, "digest binary, k long, start int, size int, n long")
+    # places are joined to their chunk, never collected by it: a chunk may stand in any number of documents
+    chunks = written(cut.groupBy("digest", "k", "start", "size").agg(F.sum("n").alias("n")), "chunks")
+    again = chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.sum("n").alias("n")).where("n > 1").select("digest", "owner")
+    places = written(chunks.drop("n").join(again, "digest"), "shared-chunks")
+    owned = places.where("k = owner").groupBy("k", "digest").agg(F.min("start").alias("start"), F.min("size").alias("size"))
+    owned = owned.groupBy(F.col("k").alias(owner)).agg(F.collect_list(F.struct("digest", "start", "size")).alias(own))
     width = len(keyed.columns)
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +244,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
     text_at = docs.columns.index("text")
     # both joins read one and the same shuffle of the documents
-    once = keyed.join(owned, keyed[k] == owned[owner]).mapInArrow(encode_owned, "digest binary, tokens binary")
-    parts = again.select("digest", F.explode("at").alias("p")).join(once, "digest").select(F.col("p.k").alias(part_key), F.struct(F.col("p.start").alias("start"), F.col("p.size").alias("size"), "tokens").alias("part"))
+    once = keyed.join(owned, keyed[k] == owned[owner]).mapInArrow(encode_owned, "digest binary, tokens binary").dropDuplicates(["digest"])
+    parts = places.select("digest", F.col("k").alias(part_key), "start", "size").join(once, "digest").select(part_key, F.struct("start", "size", "tokens").alias("part"))
     plan = parts.groupBy(part_key).agg(F.collect_list("part").alias(parts_name))
     names = [fresh(n, taken) for n in ("tokens", "n_tokens", "exact")]
     columns = [*docs.columns, *names]
