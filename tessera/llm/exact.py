@@ -1,7 +1,9 @@
 """Exact dedup over a cuckoo-filter index of live digests.
 
-Rows are shuffled once, by their text's hash, so equal texts meet in one bucket
-of the index (a shuffle partition). There a cuckoo filter holds the fingerprint
+Copies within one Arrow batch are folded before anything moves, so a text that
+fills the corpus crosses the shuffle once a batch. What is left is shuffled once,
+by its text's hash, so equal texts meet in one bucket of the index (a shuffle
+partition). There a cuckoo filter holds the fingerprint
 of every live digest. A text whose fingerprint is absent is new without further
 work; a hit is checked against the bucket's stored content, byte for byte, so a
 fingerprint or digest collision never drops a document. Fingerprints can be
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +110,7 @@ class Bucket:
         self.false_hits = 0
 
     def _keys(self):
-        return [d for d, held in self.live.items() for _ in held]
+        return list(self.live)
 
     def insert(self, doc_id, text: bytes):
         """The id that holds this content already, else ``doc_id`` itself, which then holds it; and whether it was new."""
@@ -117,8 +121,11 @@ class Bucket:
                     held[2] += 1
                     return held[0], False
             self.false_hits += 1
-        self.live.setdefault(d, []).append([doc_id, text, 1])
-        self.filter.insert(d)
+        if d in self.live:  # a digest stands in the filter once, whatever contents share it
+            self.live[d].append([doc_id, text, 1])
+        else:
+            self.live[d] = [[doc_id, text, 1]]
+            self.filter.insert(d)
         return doc_id, True
 
     def delete(self, text: bytes) -> bool:
@@ -133,48 +140,80 @@ class Bucket:
                     self.live[d].remove(held)
                     if not self.live[d]:
                         del self.live[d]
-                    self.filter.delete(d)
+                        self.filter.delete(d)
                 return True
         return False
 
 
 def _bucketed(df: DataFrame, text: str, order: list) -> tuple[DataFrame, str]:
     key = fresh("bucket_key", df.columns)
-    keyed = df.withColumn(key, F.xxhash64(F.col(f"`{text}`"), F.when(F.col(f"`{text}`").isNull(), F.monotonically_increasing_id())))
+    keyed = df.withColumn(key, F.xxhash64(F.col(f"`{text}`"), F.when(F.col(f"`{text}`").isNull(), F.col(order[0]))))
     return keyed.repartition(key).sortWithinPartitions(key, *order), key
 
 
-def _verdicts(batch: pa.RecordBatch, bucket: Bucket, id_at: int, text_at: int):
-    ids = batch.column(id_at).to_pylist()
-    texts = batch.column(text_at).cast(pa.large_binary()).to_pylist()
-    for i, t in zip(ids, texts, strict=True):
-        yield (i, True) if t is None else bucket.insert(i, t)
+def _sorted(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows by text and id, null ids first; where a new text begins). A null text begins anew each time.
+
+    Within one batch copies are told by the bytes themselves."""
+    number = pc.dictionary_encode(texts.cast(pa.large_binary())).indices
+    n = len(ids)
+    order = np.asarray(pc.sort_indices(ids, null_placement="at_start")).astype(np.int64)
+    which = np.asarray(pc.fill_null(number, -1)).astype(np.int64)
+    order = order[np.argsort(which[order], kind="stable")]
+    new = np.ones(n, bool)
+    held = which[order]
+    new[1:] = (held[1:] != held[:-1]) | (held[1:] < 0)
+    return order, new
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, first, ids): the ids of each text of a batch, in order, so that a copied text is sent once a batch."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        order, new = _sorted(ids, texts)
+        first = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(ids)]]), pa.int32()), ids.take(pa.array(order)))
+        leads = pa.array(order[first])
+        yield pa.RecordBatch.from_arrays([texts.take(leads), ids.take(leads), lists], ["text", "first", "ids"])
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_id, duplicate) of every document."""
-    rows, _ = _bucketed(docs.select("doc_id", "text"), "text", ["doc_id"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_gather, f"text string, first {kind}, ids array<{kind}>")
+    rows, _ = _bucketed(sent, "text", ["first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket()
         for batch in batches:
-            found = list(_verdicts(batch, bucket, 0, 1))
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([f[0] for f in found], ids.type), pa.array([not f[1] for f in found], pa.bool_())], ["doc_id", "kept_id", "duplicate"])
+            texts, first, ids = batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            found = [(i, True) if t is None else bucket.insert(i, t) for i, t in zip(first, texts, strict=True)]
+            sizes = np.asarray(pc.list_value_length(ids)).astype(np.int64)
+            copy = np.ones(int(sizes.sum()), bool)
+            copy[np.cumsum(sizes) - sizes] = [not f[1] for f in found]
+            kept = pa.array([f[0] for f in found], batch.column(1).type).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([ids.flatten(), kept, pa.array(copy)], ["doc_id", "kept_id", "duplicate"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, kept_id {kind}, duplicate boolean")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without the later copies of any text; columns as they were."""
-    rows, key = _bucketed(docs, "text", ["doc_id"])
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
+    def first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Copies within a batch go before anything is sent."""
+        for batch in batches:
+            order, new = _sorted(batch.column(id_at), batch.column(text_at))
+            yield batch.take(pa.array(np.sort(order[new])))
+
+    rows, key = _bucketed(docs.mapInArrow(first_of_batch, docs.schema), "text", ["doc_id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket()
         for batch in batches:
-            keep = pa.array([f[1] for f in _verdicts(batch, bucket, id_at, text_at)], pa.bool_())
+            ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).cast(pa.large_binary()).to_pylist()
+            keep = pa.array([t is None or bucket.insert(i, t)[1] for i, t in zip(ids, texts, strict=True)], pa.bool_())
             yield batch.select(list(range(batch.num_columns - 1))).filter(keep)
 
     return rows.mapInArrow(run, docs.schema)
