@@ -25,7 +25,8 @@ left out of the weights; extra columns are carried.
 from __future__ import annotations
 
 from fractions import Fraction
-from math import ceil, floor
+from heapq import heappop, heappush
+from math import floor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,19 +40,22 @@ BUCKETS = 1024
 
 
 def integer_weights(weights: dict, period: int = PERIOD) -> dict:
-    """Positive weights scaled to integers that sum to ``period`` (largest remainder, at least 1 each)."""
+    """Positive weights scaled to integers that sum to ``period`` (largest remainder, at least 1 each).
+
+    More sources than slots lengthen the period to one slot a source."""
     live = {k: Fraction(v) for k, v in weights.items() if v and v > 0}
     if not live:
         return {}
-    if len(live) > period:
-        raise ValueError("more sources than slots in a period")
+    period = max(period, len(live))
     total, order = sum(live.values()), sorted(live, key=lambda k: (k is not None, k or ""))
     exact = {k: live[k] * period / total for k in order}
     out = {k: max(1, floor(exact[k])) for k in order}
+    place = {k: i for i, k in enumerate(order)}
     while (gap := period - sum(out.values())) != 0:
         step = 1 if gap > 0 else -1
-        pick = max((k for k in order if out[k] + step >= 1), key=lambda k: (step * (exact[k] - out[k]), -order.index(k)))
-        out[pick] += step
+        ranked = sorted((k for k in order if out[k] + step >= 1), key=lambda k: (-step * (exact[k] - out[k]), place[k]))
+        for k in ranked[: abs(gap)]:
+            out[k] += step
     return out
 
 
@@ -59,11 +63,18 @@ def edf_period(shares: dict) -> list:
     """Source of each slot in one period: earliest deadline first among released blocks."""
     q = sum(shares.values())
     names, done, plan = list(shares), dict.fromkeys(shares, 0), []
+    waiting, ready = [(0, i) for i in range(len(names))], []  # heaps by release and by deadline
     for t in range(q):
-        ready = [(ceil(Fraction((done[k] + 1) * q, shares[k])), i, k) for i, k in enumerate(names) if done[k] < shares[k] and done[k] * q // shares[k] <= t]
-        _, _, k = min(ready)
+        while waiting and waiting[0][0] <= t:
+            _, i = heappop(waiting)
+            k = names[i]
+            heappush(ready, (-(-(done[k] + 1) * q // shares[k]), i))
+        _, i = heappop(ready)
+        k = names[i]
         done[k] += 1
         plan.append(k)
+        if done[k] < shares[k]:
+            heappush(waiting, (done[k] * q // shares[k], i))
     return plan
 
 
