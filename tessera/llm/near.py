@@ -228,7 +228,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))).alias("copy"))
     kind = docs.schema["doc_id"].dataType
     out = rows.join(groups, rows.doc_id == groups.node, "left").withColumn("kept_id", F.coalesce(F.col("component").cast(kind), F.col("doc_id")))
-    return out.select("doc_id", "kept_id", F.coalesce((F.col("kept_id") != F.col("doc_id")) | (F.col("copy") > 1), F.lit(False)).alias("duplicate"))
+    return out.select("doc_id", "kept_id", F.coalesce((F.col("kept_id") != F.col("doc_id")) | (F.col("doc_id").isNotNull() & (F.col("copy") > 1)), F.lit(False)).alias("duplicate"))
 
 
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
