@@ -13,9 +13,11 @@ in a row, runs of single letters) become a lattice of readings: a leet sign may
 any letter it stands for, a separator may vanish, a run of one letter may be one
 or two. Viterbi decoding under the trigram model and the readings' costs picks the
 likeliest restored word, which is scored like plain ones. A word's weight is that
-of the word if it is evidence, else of its heaviest n-gram; a document's score is
-the prior log odds plus its words' weights, and it is toxic above zero. Only
-evidence for toxicity counts, so a long clean text cannot hide an insult.
+of the word if it is evidence, else of its heaviest n-gram. Stems are told by their
+rate: n of a document's N different words give n*log(r1/r0) - N*(r1-r0), the Poisson
+log likelihood ratio, and its strongest stem counts if positive. A document's score
+is the prior log odds plus its words' weights and its stem's, and it is toxic above
+zero. Only evidence for toxicity counts, so a long clean text cannot hide an insult.
 
 Defined cases: null and empty texts get the prior and are not toxic; labels that
 are null or of unknown documents are not used, and of several labels of one
@@ -27,7 +29,7 @@ columns play no part.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,9 @@ LEAST_SHARE = 0.02
 LEAST_WEIGHT = 4.0
 KEPT = 20_000
 GRAM = 5
+STEM = 4
+STEM_RATIO = 8.0
+STEM_SHARE = 0.75
 
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -78,10 +83,14 @@ def _grams(letters: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, toxic, clean): in how many documents of each class a word, n-gram or trigram stands."""
+    """(kind, key, toxic, clean, docs): in how many documents of each class a word, n-gram or trigram stands.
+
+    Of stems (``s``) the different words are counted, by language, and in docs the toxic
+    documents; ``n`` has a language's different words and toxic documents."""
     for batch in batches:
         toxic = np.asarray(batch.column(0)).astype(bool)
         data, off = kernel.text_buffers(batch.column(1))
+        langs = [x.encode() + b"\0" for x in batch.column(2).to_pylist()]
         counts: dict = {}
         for d in range(len(toxic)):
             low, o = _padded(kernel.lowered(data[off[d] : off[d + 1]]), np.array([0, off[d + 1] - off[d]]))
@@ -93,13 +102,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += [("g", int(g).to_bytes(8, "little")[:GRAM]) for g in np.unique(_grams(letters)).tolist()]
             t = int(toxic[d])
             for key in keys:
-                counts.setdefault(key, [0, 0])[1 - t] += 1
+                counts.setdefault(key, [0, 0, 0])[1 - t] += 1
+            for key, n in [(("n", langs[d]), len(words)), *((("s", langs[d] + k), n) for k, n in Counter(w[:STEM] for w in words if len(w) > STEM).items())]:
+                c = counts.setdefault(key, [0, 0, 0])
+                c[1 - t] += n
+                c[2] += t
             for w in words:
                 m = b"^" + w + b"$"
                 for i in range(len(m) - 2):
-                    counts.setdefault(("t", m[i : i + 3]), [0, 0])[1 - t] += 1
+                    counts.setdefault(("t", m[i : i + 3]), [0, 0, 0])[1 - t] += 1
         kinds = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kinds], pa.string()), pa.array([k[1] for k in kinds], pa.binary()), pa.array([counts[k][0] for k in kinds], pa.int64()), pa.array([counts[k][1] for k in kinds], pa.int64())], ["kind", "key", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kinds], pa.string()), pa.array([k[1] for k in kinds], pa.binary()), *(pa.array([counts[k][i] for k in kinds], pa.int64()) for i in range(3))], ["kind", "key", "toxic", "clean", "docs"])
 
 
 def evidence(a: float, b: float, toxic: int, clean: int) -> tuple[float, float]:
@@ -121,29 +134,62 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         return {"classes": (0, 0)}
     picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < min(1 << 40, -(-sample * (1 << 40) // total)))
     # about ``sample`` ids whatever the input: a bounded broadcast
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select("doc_id", lang.alias("lang"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("lang").alias("lang"), F.first("text").alias("text")).select("toxic", "text", "lang")
     rows = written(rows, "labelled")
     counted = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
     classes = {r["toxic"] > 0: r["n"] for r in counted}
     toxic, clean = classes.get(True, 0), classes.get(False, 0)
     if not toxic or not clean:
         return {"classes": (toxic, clean)}
-    summed = rows.mapInArrow(_features, "kind string, key binary, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = toxic / (toxic + clean)
-    wanted = (F.col("kind") == "t") | ((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (F.col("toxic") > 2 * share * (F.col("toxic") + F.col("clean"))))
-    return build([(r["kind"], bytes(r["key"]), r["toxic"], r["clean"]) for r in summed.where(wanted).collect()], toxic, clean)
+    summed = rows.mapInArrow(_features, "kind string, key binary, toxic long, clean long, docs long").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
+    # at least twice as common in toxic documents, whatever the classes' sizes
+    wanted = F.col("kind").isin("t", "n") | ((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic))
+    return build([(r["kind"], bytes(r["key"]), r["toxic"], r["clean"], r["docs"]) for r in summed.where(wanted).collect()], toxic, clean)
+
+
+def stems_of(features: list[tuple]) -> dict[bytes, tuple[float, float]]:
+    """Evidence stems and their rates (in toxic, in clean texts) among the different words of their language."""
+    sizes = {key: (a, b, docs) for kind, key, a, b, docs in features if kind == "n"}
+    out: dict = {}
+    for kind, key, a, b, docs in sorted(f for f in features if f[0] == "s"):
+        lang, stem = key[: key.index(0) + 1], key[key.index(0) + 1 :]
+        words, others, texts = sizes[lang]
+        r1, r0 = (a + 0.5) / (words + 1), (b + 2) / (others + 2)
+        if docs < max(LEAST_TOXIC, STEM_SHARE * texts) or r1 < STEM_RATIO * r0 or evidence(min(a, words), min(b, others), max(words, 1), max(others, 1))[0] < SIGNIFICANCE:
+            continue
+        if stem not in out or r1 / r0 > out[stem][0] / out[stem][1]:
+            out[stem] = r1, r0
+    return out
 
 
-def build(features: list[tuple[str, bytes, int, int]], toxic: int, clean: int) -> dict:
+def build(features: list[tuple[str, bytes, int, int, int]], toxic: int, clean: int) -> dict:
     weighed: dict = {"w": [], "g": []}
-    trigrams: dict = {}
-    for kind, key, a, b in features:
-        if kind == "t":
-            trigrams[key] = a + b
+    trigrams = {key: a + b for kind, key, a, b, _ in features if kind == "t"}
+    stems = stems_of(features)
+    explained: dict = defaultdict(lambda: [0, 0])  # n-gram -> documents in which a listed word holds it
+    for kind, key, a, b, _ in sorted(features, key=lambda x: x[0] != "w"):
+        if kind not in weighed or kind == "w" and len(key) > STEM and key[:STEM] in stems:
             continue
         g, weight = evidence(a, b, toxic, clean)
-        if g >= SIGNIFICANCE and weight >= LEAST_WEIGHT:
-            weighed[kind].append((g, key, weight))
+        if g < SIGNIFICANCE or weight < LEAST_WEIGHT:
+            continue
+        if kind == "w":
+            marked = b" " + key + b" "
+            for gram in {marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)}:
+                explained[gram][0] += a
+                explained[gram][1] += b
+        else:
+            if b" " in key[1:-1]:
+                continue  # it spans two words
+            # an n-gram speaks for words that aren't listed: it must hold among those too
+            more, less = max(0, a - explained[key][0]), max(0, b - explained[key][1])
+            if less:
+                g, weight = evidence(more, less, toxic, clean)
+                if g < SIGNIFICANCE or weight < LEAST_WEIGHT:
+                    continue
+        weighed[kind].append((g, key, weight))
     best = {k: sorted(sorted(v, key=lambda x: (-x[0], x[1]))[:KEPT], key=lambda x: x[1]) for k, v in weighed.items()}
     keys = kernel.hash_words([x[1] for x in best["w"]])
     order = np.argsort(keys)
@@ -155,6 +201,7 @@ def build(features: list[tuple[str, bytes, int, int]], toxic: int, clean: int) -
         "words": (keys[order], np.array([x[2] for x in best["w"]], np.float64)[order]),
         "grams": (packed[by_gram], np.array([x[2] for x in best["g"]], np.float64)[by_gram]),
         "trigrams": trigrams,
+        "stems": (np.array([int.from_bytes(k, "little") for k in stems], np.uint64), np.array(list(stems.values()), np.float64).reshape(-1, 2)),
     }
 
 
@@ -307,11 +354,34 @@ def _weights(low: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     return np.bincount(np.clip(doc, 0, n - 1), weight, n)
 
 
+def _stem_scores(low: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
+    """Likelihood ratio of each text's strongest stem, 0 at least."""
+    out = np.zeros(len(off) - 1)
+    keys, rates = model["stems"]
+    s, e, at = kernel.spans(low, off, kernel.LETTER)
+    long = np.flatnonzero(e - s > STEM)
+    if not len(keys) or not len(long):
+        return out
+    packed = np.zeros(len(long), np.uint64)
+    for i in range(STEM):
+        packed |= low[s[long] + i].astype(np.uint64) << np.uint64(8 * i)
+    doc = np.repeat(np.arange(len(out)), np.diff(at))
+    hits = [long[packed == k] for k in keys]
+    sums = kernel.prefix_sums(low) if any(map(len, hits)) else None
+    for hit, (r1, r0) in zip(hits, rates, strict=True):
+        for d in np.unique(doc[hit]).tolist():
+            own = hit[doc[hit] == d]
+            n = len(np.unique(kernel.span_hashes(sums, s[own], e[own])))
+            words = len(np.unique(kernel.span_hashes(sums, s[at[d] : at[d + 1]], e[at[d] : at[d + 1]])))
+            out[d] = max(out[d], n * math.log(r1 / r0) - words * (r1 - r0))
+    return out
+
+
 def score_texts(data: np.ndarray, off: np.ndarray, model: dict, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """(score, words restored) of each text of a block."""
     n = len(off) - 1
     low = kernel.lowered(data)
-    score = model["prior"] + _weights(*_padded(low, off), model)
+    score = model["prior"] + _weights(*_padded(low, off), model) + _stem_scores(low, off, model)
     s, e, doc = suspects(low, off)
     restored = np.zeros(n, np.int64)
     if len(s):

@@ -15,12 +15,26 @@ def learned(spark):
     return docs, labels, half, toxicity.train(docs, labels.where(half))
 
 
-def test_held_out_documents_and_disguises(spark):
+def test_held_out_documents(spark):
     docs, labels, half, model = learned(spark)
     rows = toxicity.score(docs, model=model).join(labels.where(~half).select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
     hit = sum(r.toxic and r.truth == 1 for r in rows)
     assert hit >= 0.9 * sum(r.truth for r in rows)
-    assert sum(r.toxic and r.truth == 0 for r in rows) <= 0.03 * len(rows)
+    assert sum(r.toxic and r.truth == 0 for r in rows) <= 0.005 * len(rows)
+
+
+def test_one_planted_insult_is_caught_plain_and_disguised(spark):
+    docs, labels, half, model = learned(spark)
+    clean = [r.text for r in docs.join(labels.where(~half).where("toxic = 0"), "doc_id").orderBy("doc_id").limit(60).collect()]
+    insults = "stupid loser moron worthless scum clown pathetic disgusting idiot trash".split()
+    disguise = [lambda w: w, str.upper, lambda w: w.replace("i", "1").replace("o", "0").replace("e", "3").replace("a", "4"), ".".join, " ".join, lambda w: w[:2] + w[2] * 4 + w[3:]]
+    rows = []
+    for i, text in enumerate(clean):
+        words = text.split(" ")
+        words.insert(len(words) // 2, disguise[i % 6](insults[i % 10]))
+        rows.append((i, " ".join(words)))
+    missed = [rows[r.doc_id][0] for r in toxicity.score(table(spark, rows), model=model).collect() if not r.toxic]
+    assert len(missed) <= 3, [(disguise[i % 6](insults[i % 10])) for i in missed]
 
 
 def test_viterbi_finds_the_cheapest_reading():
@@ -57,6 +71,19 @@ def test_disguised_words_score_like_plain_ones(spark):
     assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True}
 
 
+def test_stems_are_told_by_their_rate_not_by_repetition(spark):
+    rows, labels, abc = [], [], lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    for i in range(80):
+        bad = i % 4 == 0
+        w = [f"zz{abc(k)}y{abc(i)}" for k in range(40)] + ([f"grobn{abc(k)}y{abc(i)}" for k in range(3)] if bad else ["grobnx"] * (i % 5 == 0))
+        rows.append((i, " ".join(w), "xx", "s"))
+        labels.append((i, 1, int(bad)))
+    model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert [int(k).to_bytes(8, "little")[:4] for k in model["stems"][0]] == [b"grob"]
+    test = table(spark, [(1, "grobna grobnb grobnc " + " ".join(f"qq{abc(k)}" for k in range(40))), (2, "grobnx " * 50 + " ".join(f"qq{abc(k)}" for k in range(90)))])
+    assert {r.doc_id: r.toxic for r in toxicity.score(test, model=model).collect()} == {1: True, 2: False}
+
+
 def test_a_long_clean_text_hides_nothing(spark):
     docs, labels, half, model = learned(spark)
     clean = " ".join(r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where(half).limit(1).collect())
