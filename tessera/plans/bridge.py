@@ -54,6 +54,7 @@ def responses(built: DataFrame) -> DataFrame:
 
 
 def unit_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks over several units: large order lines as (order, part) references."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    return rows.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("p"), "l_partkey"))).alias("knowledge_unit_ids"))
+    """Tasks over several units: an order refers to its lines' part, quantity and place."""
+    rows = table(spark, sf_dir, "lineitem")
+    unit = F.concat(F.lit("p"), "l_partkey", F.lit("-"), F.col("l_quantity").cast("long"), F.lit("-"), "l_linenumber")
+    return rows.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_set(unit)).alias("knowledge_unit_ids"))

@@ -159,8 +159,9 @@ def q_split_counts(spark, d):
     return names.join(counts, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n_tasks"))
 
 
-_COMPONENTS = """
-WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS t, 'p' || l_partkey AS p FROM lineitem WHERE l_quantity >= 49),
+_UNIT = "'p' || l_partkey || '-' || CAST(l_quantity AS BIGINT) || '-' || l_linenumber"
+_COMPONENTS = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS t, {_UNIT} AS p FROM lineitem),
 reach AS (SELECT DISTINCT p AS root, p AS node FROM e
   UNION SELECT r.root, b.p FROM reach r JOIN e a ON a.p = r.node JOIN e b ON b.t = a.t),
 comp AS (SELECT node AS p, min(root) AS c FROM reach GROUP BY 1),
@@ -196,7 +197,7 @@ def q_leakage_family(spark, d):
     return audit.leaking(docs, "rule_family")
 
 
-@query(f"SELECT 'p' || l_partkey AS unit_id, count(DISTINCT {_NAIVE.format('CAST(l_orderkey AS VARCHAR)')}) AS n_splits FROM lineitem WHERE l_quantity >= 49 GROUP BY 1 HAVING n_splits > 1")
+@query(f"SELECT {_UNIT} AS unit_id, count(DISTINCT {_NAIVE.format('CAST(l_orderkey AS VARCHAR)')}) AS n_splits FROM lineitem GROUP BY 1 HAVING n_splits > 1")
 def q_leakage_unit(spark, d):
     """Units that a naive per-task split leaks."""
     rows = bridge.unit_tasks(spark, d).withColumn("split", _naive(F.substr("task_id", F.lit(2)))).select("split", F.explode("knowledge_unit_ids").alias("unit_id"))
