@@ -15,7 +15,7 @@ with edges linear in its size. No bucket or group is capped.
 
 Defined cases: a document without words, or with a null id or text, has no near
 copy and stays; a one-word document is its word; rows with one doc_id are copies
-of each other, so one of them stays; of a group the least doc_id stays; an empty
+of each other, so one of them stays (the least text, a null first); of a group the least doc_id stays; an empty
 table gives an empty result; extra columns play no part.
 """
 
@@ -238,5 +238,5 @@ def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = near_groups(docs, threshold).select(F.col("node").alias(node), F.col("component").alias(component))
     gone = written(groups.where(F.col(node) != F.col(component)), "gone")
     stay = docs.join(gone, docs["doc_id"].cast("long") == gone[node], "left_anti")
-    ranked = stay.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))))
+    ranked = stay.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return ranked.where(F.col("doc_id").isNull() | (F.col(copy) == 1)).drop(copy)
