@@ -8,14 +8,19 @@ deadline, so after any t slots a source has had t*c/Q blocks give or take less
 than one. The schedule repeats every Q slots: one period is made on the driver
 (Q is a constant), and block j of a source stands at slot
 (j div c)*Q + offset[source, j mod c]. Nothing on the driver grows with the data
-but the list of sources, which is a bounded catalogue.
+but the list of sources, which is a bounded catalogue; n sources take up to
+n * max(n, PERIOD) slots there.
 
 ``targets`` maps source -> weight. Without it, weights are n^ALPHA of the
 sources' document counts, counted over all rows (tempered sampling).
 
-The mix ends at the first slot whose source has no block left (to go on would
-break the weights); later blocks get a null position. A source's last block may
-be short. Defined cases: a null source is a source of its own; rows with the
+At the first slot whose source has no block left, the sources without blocks drop
+out and the others go on: their weights are scaled up to 1 again, and a schedule
+of its own starts at that slot (a segment; ``segments``), with the same deviation
+of less than one block from the segment's weights. So every document has its
+place. There are at most as many segments as sources, each with one period. Only
+with ``targets``, which are weights to hold, the mix ends at that slot, and later
+blocks get a null position. A source's last block may be short. Defined cases: a null source is a source of its own; rows with the
 same id tie, and are told apart by their text's hash, then by nothing (equal
 rows are interchangeable); an empty table gives an empty result; a source that
 ``targets`` leaves out, or gives 0, has no position, and one that has no rows is
@@ -24,6 +29,7 @@ left out of the weights; extra columns are carried.
 
 from __future__ import annotations
 
+from collections import Counter
 from fractions import Fraction
 from heapq import heappop, heappush
 from math import floor
@@ -86,18 +92,40 @@ def mixture_end(shares: dict, plan: list, blocks: dict) -> int:
     return min(((blocks.get(k, 0) // c) * q + offsets[k][blocks.get(k, 0) % c] for k, c in shares.items()), default=0)
 
 
+def segments(weights: dict, blocks: dict, period: int = PERIOD, go_on: bool = True) -> list[tuple[int, dict, list, dict, dict]]:
+    """(first slot, shares, plan, blocks before, blocks within) of each stretch in which the same sources have blocks left.
+
+    Without ``go_on`` the first stretch is the only one."""
+    out, start, done = [], 0, dict.fromkeys(blocks, 0)
+    live = {k: v for k, v in weights.items() if v and v > 0 and blocks.get(k, 0)}
+    while live:
+        shares = integer_weights(live, period)
+        plan = edf_period(shares)
+        end = mixture_end(shares, plan, {k: blocks[k] - done[k] for k in live})
+        turns, rest = divmod(end, len(plan))
+        part = Counter(plan[:rest])
+        within = {k: turns * c + part[k] for k, c in shares.items()}
+        out.append((start, shares, plan[:end], {k: done[k] for k in live}, within))
+        start += end
+        for k in live:
+            done[k] += within[k]
+        live = {k: v for k, v in live.items() if done[k] < blocks[k]} if go_on else {}
+    return out
+
+
 def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with mix_block and mix_position (row order of the mix, null beyond its end) added.
+    """``docs`` with mix_block and mix_position (row order of the mix, null without a place in it) added.
 
     A source's rows are numbered without a sort over the whole source: rows are
     counted by (source, hash bucket), the counts summed up, and only the rows of
     one bucket are sorted together."""
     spark, taken = docs.sparkSession, list(docs.columns)
     new = {}
-    for n in ("mix_block", "mix_position", "mix_s", "mix_h", "mix_b", "mix_r", "mix_before", "mix_k", "mix_slot"):
+    for n in ("mix_block", "mix_position", "mix_s", "mix_h", "mix_b", "mix_r", "mix_before", "mix_k", "mix_slot", "mix_g", "mix_c", "mix_q", "mix_from", "mix_to", "mix_start"):
         new[n] = fresh(n, taken)
         taken.append(new[n])
     s, h, b, r, before, k, slot = (new[n] for n in ("mix_s", "mix_h", "mix_b", "mix_r", "mix_before", "mix_k", "mix_slot"))
+    g, c, q, low, high, start = (new[n] for n in ("mix_g", "mix_c", "mix_q", "mix_from", "mix_to", "mix_start"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.withColumn(s, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))).withColumn(h, F.md5(key.cast("binary")))
     rows = rows.withColumn(b, F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
@@ -107,26 +135,26 @@ def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period
         wanted = {x: n**alpha for x, n in totals.items()}
     else:
         wanted = {name: v for x, v in targets.items() if (name := "null" if x is None else f"={x}") in totals}
-    shares = integer_weights(wanted, period)
-    plan = edf_period(shares)
-    blocks = {x: -(-n // block) for x, n in totals.items()}
-    end = mixture_end(shares, plan, blocks)
+    parts = segments(wanted, {x: -(-n // block) for x, n in totals.items()}, period, targets is None)
     starts = counts.withColumn(before, F.sum(r).over(Window.partitionBy(s).orderBy(b)) - F.col(r)).select(s, b, before)
-    seen: dict = {}
-    table = []
-    for t, x in enumerate(plan):
-        table.append((x, seen.get(x, 0), t, shares[x]))
-        seen[x] = seen.get(x, 0) + 1
-    slots = spark.createDataFrame(table, f"`{s}` string, `{k}` long, `{slot}` long, mix_c_ long") if table else spark.createDataFrame([], f"`{s}` string, `{k}` long, `{slot}` long, mix_c_ long")
-    slots = slots.withColumnRenamed("mix_c_", c := fresh("mix_c", taken))
-    shares_df = slots.groupBy(s).agg(F.max(c).alias(c))
+    stretches, table = [], []
+    for i, (first, shares, plan, past, within) in enumerate(parts):
+        stretches += [(x, i, n, sum(shares.values()), past[x], past[x] + within[x], first) for x, n in shares.items() if within[x]]
+        seen: dict = {}
+        for t, x in enumerate(plan):
+            table.append((i, x, seen.get(x, 0), t))
+            seen[x] = seen.get(x, 0) + 1
+    held = spark.createDataFrame(stretches, f"`{s}` string, `{g}` int, `{c}` long, `{q}` long, `{low}` long, `{high}` long, `{start}` long")
+    slots = spark.createDataFrame(table, f"`{g}` int, `{s}` string, `{k}` long, `{slot}` long")
     tie = [h, F.col("doc_id"), F.xxhash64("text")]
-    # starts: sources x buckets rows, and slots: one period; both of a constant size
-    placed = rows.join(F.broadcast(starts), [s, b]).withColumn(r, F.row_number().over(Window.partitionBy(s, b).orderBy(*tie)) - 1 + F.col(before))
-    placed = placed.withColumn(new["mix_block"], F.floor(F.col(r) / block)).join(F.broadcast(shares_df), s, "left").withColumn(k, F.col(new["mix_block"]) % F.col(c))
-    placed = placed.join(F.broadcast(slots.drop(c)), [s, k], "left")
-    at = F.floor(F.col(new["mix_block"]) / F.col(c)) * len(plan) + F.col(slot)
-    position = F.when(at < end, at * block + F.col(r) % block)
+    # starts: sources x buckets rows, held: sources x segments, slots: one period a segment; none grows with the rows
+    placed = rows.join(F.broadcast(starts), [s, b]).withColumn(r, F.row_number().over(Window.partitionBy(s, b).orderBy(*tie)) - 1 + F.col(before)).withColumn(new["mix_block"], F.floor(F.col(r) / block))
+    held = F.broadcast(held.withColumnRenamed(s, other := fresh("mix_other", taken)))
+    placed = placed.join(held, (F.col(s) == F.col(other)) & (F.col(new["mix_block"]) >= F.col(low)) & (F.col(new["mix_block"]) < F.col(high)), "left")
+    nth = F.col(new["mix_block"]) - F.col(low)
+    placed = placed.withColumn(k, nth % F.col(c)).join(F.broadcast(slots), [g, s, k], "left")
+    at = F.col(start) + F.floor(nth / F.col(c)) * F.col(q) + F.col(slot)
+    position = at * block + F.col(r) % block
     return placed.withColumn(new["mix_position"], position.cast("long")).select(*[F.col(f"`{x}`") for x in docs.columns], new["mix_block"], new["mix_position"])
 
 

@@ -65,3 +65,29 @@ def test_repeated_rows_have_places_of_their_own(spark):
     got = [r.mix_position for r in mixing.mix_query(docs).collect()]
     placed = [p for p in got if p is not None]
     assert len(placed) == len(set(placed)) and len(got) == 12
+
+
+@given(st.dictionaries(st.sampled_from("abcdefghij"), st.integers(1, 300), min_size=1))
+def test_segments_hold_every_block_within_one_of_their_weights(blocks):
+    at, done = 0, dict.fromkeys(blocks, 0)
+    for first, shares, plan, before, within in mixing.segments({k: n**mixing.ALPHA for k, n in blocks.items()}, blocks, 50):
+        assert first == at and before == {k: done[k] for k in shares} and set(shares) == {k for k in blocks if done[k] < blocks[k]}
+        q, had = sum(shares.values()), dict.fromkeys(shares, 0)
+        for t in range(1, sum(within.values()) + 1):
+            had[plan[(t - 1) % q]] += 1
+            assert all(abs(had[k] - Fraction(t * shares[k], q)) < 1 for k in shares)
+        assert had == within
+        at += sum(within.values())
+        done |= {k: done[k] + n for k, n in within.items()}
+    assert done == blocks
+
+
+def test_every_document_has_a_place_when_sources_run_dry(spark):
+    sizes = {"one": 1, "few": 9, "some": 60, "hot": 900, None: 30}
+    docs = table(spark, [(i * 10 + j, "x", "en", s) for j, (s, n) in enumerate(sizes.items()) for i in range(n)])
+    got = mixing.mix(docs).collect()
+    places = [r.mix_position for r in got]
+    assert len(got) == 1000 and None not in places and len(set(places)) == 1000
+    blocks = {r.mix_position // mixing.BLOCK for r in got}
+    assert blocks == set(range(sum(-(-n // mixing.BLOCK) for n in sizes.values())))
+    assert sorted(r.doc_id for r in mixing.mixed_documents(docs).collect()) == sorted(r.doc_id for r in docs.collect())
