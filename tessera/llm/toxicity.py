@@ -5,7 +5,8 @@ of the id): words and five-byte n-grams (a word's borders count as a byte) that
 toxic documents hold significantly more often (G-squared of ``SIGNIFICANCE`` or
 more) and far more often (log likelihood ratio of ``LEAST_WEIGHT`` or more), and
 that ``LEAST_SHARE`` of them hold, become evidence, weighted by that ratio; copies
-of one text count once. The sample's words also give a character trigram model.
+of one text count once. A character trigram model is counted over all documents,
+labelled or not: each word of up to 64 bytes counts once for every row it stands in.
 
 Scoring runs over whole texts. Tokens that may be disguised (digits or symbols
 within letters, letters with separators between them, letters three or more times
@@ -57,6 +58,10 @@ LEET = {
 }
 SIGNS = np.zeros(256, bool)
 SIGNS[list(b"0123456789@$!|+(")] = True
+#: bytes of letters in lower case as 1, 2, ..., all others as 0: trigrams fit in a table of CODES**3
+CODE = np.zeros(256, np.int64)
+CODE[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = np.arange(1, 155)
+CODES = 155
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[list(b"._-*~^'`,/\\")] = True
 LEET_COST, KEEP_COST, DROP_COST, RUN_COST = 1.0, 6.0, 0.3, 0.7
@@ -83,7 +88,7 @@ def _grams(letters: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, toxic, clean, docs): in how many documents of each class a word, n-gram or trigram stands.
+    """(kind, key, toxic, clean, docs): in how many documents of each class a word or n-gram stands.
 
     Of stems (``s``) the different words are counted, by language, and in docs the toxic
     documents; ``n`` has a language's different words and toxic documents."""
@@ -107,14 +112,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = counts.setdefault(key, [0, 0, 0])
                 c[1 - t] += n
                 c[2] += t
-            for w in words:
-                m = b"^" + w + b"$"
-                for i in range(len(m) - 2):
-                    counts.setdefault(("t", m[i : i + 3]), [0, 0, 0])[1 - t] += 1
         kinds = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kinds], pa.string()), pa.array([k[1] for k in kinds], pa.binary()), *(pa.array([counts[k][i] for k in kinds], pa.int64()) for i in range(3))], ["kind", "key", "toxic", "clean", "docs"])
 
 
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of each character trigram, ^ and $ at a word's borders, over each text's different words."""
+    table = np.zeros(CODES**3, np.int64)
+    for batch in batches:
+        data, off = kernel.text_buffers(batch.column(0))
+        for i, j in kernel.blocks(off):
+            low, o = _padded(kernel.lowered(data[off[i] : off[j]]), off[i : j + 1] - off[i])
+            s, e, at = kernel.spans(low, o, kernel.LETTER)
+            if not len(s):
+                continue
+            doc = np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(at))
+            own = kernel.mixed(kernel.span_hashes(kernel.prefix_sums(low), s, e) + doc * np.uint64(kernel.BASE))
+            first = np.unique(own, return_index=True)[1]
+            s, n = s[first], (e - s)[first]
+            s, n = s[n <= 64], n[n <= 64]
+            place = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            code = CODE[low]
+            np.add.at(table, (code[place - 1] * CODES + code[place]) * CODES + code[place + 1], 1)
+    found = np.flatnonzero(table)
+    byte = np.zeros(CODES, np.uint8)
+    byte[CODE[CODE > 0]] = np.flatnonzero(CODE)
+    a, b, c = found // CODES**2, found // CODES % CODES, found % CODES
+    raw = np.stack([np.where(a > 0, byte[a], ord("^")), byte[b], np.where(c > 0, byte[c], ord("$"))], axis=1).astype(np.uint8).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 3] for i in range(0, len(raw), 3)], pa.binary()), pa.array(table[found])], ["key", "n"])
+
+
 def evidence(a: float, b: float, toxic: int, clean: int) -> tuple[float, float]:
     """(G-squared, log likelihood ratio) of a feature that stands in a toxic and b clean documents."""
     n, k = toxic + clean, a + b
@@ -145,8 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         return {"classes": (toxic, clean)}
     summed = rows.mapInArrow(_features, "kind string, key binary, toxic long, clean long, docs long").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
     # at least twice as common in toxic documents, whatever the classes' sizes
-    wanted = F.col("kind").isin("t", "n") | ((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic))
-    return build([(r["kind"], bytes(r["key"]), r["toxic"], r["clean"], r["docs"]) for r in summed.where(wanted).collect()], toxic, clean)
+    wanted = (F.col("kind") == "n") | ((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic))
+    features = [(r["kind"], bytes(r["key"]), r["toxic"], r["clean"], r["docs"]) for r in summed.where(wanted).collect()]
+    # a table a task, so at most CODES**3 rows whatever the input
+    letters = docs.select("text").where("text IS NOT NULL").mapInArrow(_trigrams, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    return build(features, toxic, clean, {bytes(r["key"]): r["n"] for r in letters})
 
 
 def stems_of(features: list[tuple]) -> dict[bytes, tuple[float, float]]:
@@ -164,9 +194,8 @@ def stems_of(features: list[tuple]) -> dict[bytes, tuple[float, float]]:
     return out
 
 
-def build(features: list[tuple[str, bytes, int, int, int]], toxic: int, clean: int) -> dict:
+def build(features: list[tuple[str, bytes, int, int, int]], toxic: int, clean: int, trigrams: dict[bytes, int]) -> dict:
     weighed: dict = {"w": [], "g": []}
-    trigrams = {key: a + b for kind, key, a, b, _ in features if kind == "t"}
     stems = stems_of(features)
     explained: dict = defaultdict(lambda: [0, 0])  # n-gram -> documents in which a listed word holds it
     for kind, key, a, b, _ in sorted(features, key=lambda x: x[0] != "w"):

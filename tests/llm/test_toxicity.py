@@ -90,3 +90,18 @@ def test_a_long_clean_text_hides_nothing(spark):
     toxic = toxicity.score(docs, model=model).where("toxic").join(docs, "doc_id").limit(1).collect()[0].text
     got = {r.doc_id: r.toxic for r in toxicity.score(table(spark, [(1, clean * 20), (2, clean * 20 + " " + toxic)]), model=model).collect()}
     assert got[2]
+
+
+def test_trigrams_are_counted_over_all_documents(spark):
+    texts = ["The GARDEN, the garden; a p4th", "zxqvyk Čaj été", "Zxqvyk " + "x" * 70, "", None, "1234"]
+    want: dict = {}
+    for t in texts:
+        low = "".join(c.lower() if c.isascii() or ord(c) < 256 else c for c in t or "").encode()
+        for w in {x for x in bytes(b if toxicity.kernel.LETTER[b] else 32 for b in low).split(b" ") if x and len(x) <= 64}:
+            m = b"^" + w + b"$"
+            for i in range(len(m) - 2):
+                want[m[i : i + 3]] = want.get(m[i : i + 3], 0) + 1
+    docs = table(spark, list(enumerate(texts)))
+    # only two documents are labelled
+    model = toxicity.train(docs, spark.createDataFrame([(0, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert dict(model["trigrams"]) == want
