@@ -4,7 +4,7 @@ Training, on a bounded sample of labelled documents (``SAMPLE``, chosen by a has
 of the id): words and five-byte n-grams (a word's borders count as a byte) that
 toxic documents hold significantly more often (G-squared of ``SIGNIFICANCE`` or
 more) and far more often (log likelihood ratio of ``LEAST_WEIGHT`` or more), and
-that ``LEAST_SHARE`` of them hold, become evidence, weighted by that ratio; copies
+that ``LEAST_TOXIC`` of them hold, become evidence, weighted by that ratio; copies
 of one text count once. A character trigram model is counted over all documents,
 labelled or not: each word of up to 64 bytes counts once for every row it stands in.
 
@@ -44,7 +44,6 @@ from tessera.llm.kernel import written
 SAMPLE = 20_000
 SIGNIFICANCE = 24.0
 LEAST_TOXIC = 3
-LEAST_SHARE = 0.02
 LEAST_WEIGHT = 4.0
 KEPT = 20_000
 GRAM = 5
@@ -172,7 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         return {"classes": (toxic, clean)}
     summed = rows.mapInArrow(_features, "kind string, key binary, toxic long, clean long, docs long").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
     # at least twice as common in toxic documents, whatever the classes' sizes
-    wanted = (F.col("kind") == "n") | ((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic))
+    more = (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic)
+    # words and n-grams below the least weight (with room for rounding) need not come here: ``build`` drops them
+    heavy = (F.col("kind") == "s") | ((F.col("toxic") + 0.5) * (clean + 1) >= 0.99 * math.exp(LEAST_WEIGHT) * (toxic + 1) * (F.col("clean") + 0.5))
+    wanted = (F.col("kind") == "n") | (more & heavy)
     features = [(r["kind"], bytes(r["key"]), r["toxic"], r["clean"], r["docs"]) for r in summed.where(wanted).collect()]
     # a table a task, so at most CODES**3 rows whatever the input
     letters = docs.select("text").where("text IS NOT NULL").mapInArrow(_trigrams, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()

@@ -105,3 +105,17 @@ def test_trigrams_are_counted_over_all_documents(spark):
     # only two documents are labelled
     model = toxicity.train(docs, spark.createDataFrame([(0, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int"))
     assert dict(model["trigrams"]) == want
+
+
+def test_a_rare_insult_of_a_small_language_is_evidence(spark):
+    rows, labels = [], []
+    for i in range(2400):
+        bad = i % 4 == 0
+        rare = bad and i < 40  # 10 of 600 toxic documents, half of the toxic ones of their language
+        rows.append((i, f"text {i} {'grobnicek' if rare else 'wretchedfool' if bad else 'flowers'} and a path", "xx" if bad and i < 80 else "en", "s"))
+        labels.append((i, 1, int(bad)))
+    rows += [(3000 + i, f"text {i} and a path", "xx", "s") for i in range(40)]
+    labels += [(3000 + i, 1, 0) for i in range(40)]
+    model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    test = table(spark, [(1, "a grobnicek"), (2, "a gr0bn1c3k"), (3, "a path and text"), (4, "a wretchedfool")])
+    assert {r.doc_id: r.toxic for r in toxicity.score(test, model=model).collect()} == {1: True, 2: True, 3: False, 4: True}
