@@ -8,15 +8,20 @@ BITS/2 * (1 - exp(-4*SAMPLES*(1-J)/BITS)) ones, so its population count
 estimates the Jaccard similarity J. Bands of ``ROWS`` samples propose candidates.
 
 Cost follows the input, not the square of a group: documents with one and the
-same sketch are folded first; in a band's bucket each document is compared with
-the leader of every cluster so far and, only where that fails, with its members.
-That finds exactly the components that comparing all pairs of the bucket would,
-with edges linear in its size. No bucket or group is capped.
-
-Defined cases: a document without words, or with a null id or text, has no near
-copy and stays; a one-word document is its word; rows with one doc_id are copies
-of each other, so one of them stays (the least text, a null first); of a group the least doc_id stays; an empty
-table gives an empty result; extra columns play no part.
+same sketch are folded first; buckets with the same members in several bands are
+verified once; within a bucket each round of a breadth-first search looks only at
+members not reached yet, so a tight group costs one row, and buckets beyond
+``groups.LIMIT`` members are cut into chunks whose pairs go to tasks of their own.
+What is found joins exactly the components that comparing all pairs of the bucket
+would, with edges linear in its size. No bucket or group is capped, and none is
+collected into a row.
+
+Defined cases: a document without words, or with a null text, has no near copy and
+stays; a one-word document is its word; rows are told apart by row, not by id, so rows
+of one id are copies only if their texts are; of a group the row of the least doc_id
+stays (null ids last, then the least hash of the text, then any one of equal rows); ids
+may be of any ordered type; an empty table gives an empty result; extra columns play no
+part.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import kernel
+from tessera.llm import groups, kernel
 from tessera.llm.kernel import fresh, written
 from tessera.operators.graph import connected_components
 
@@ -107,136 +112,123 @@ def band_keys(minimum: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, sketch, bands) of every row; sketch and bands are null without words."""
     for batch in batches:
-        data, off = kernel.text_buffers(batch.column(1))
-        ids = np.asarray(batch.column(0))
+        data, off = kernel.text_buffers(batch.column(2))
         for i, j in kernel.blocks(off):
             x, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
             has, m = minima(x, at)
-            if not len(has):
-                continue
+            none = np.ones(j - i, bool)
+            none[has] = False
+            ends = np.concatenate([[0], np.cumsum(~none)]).astype(np.int32)
             sketch, keys = sketches(m), band_keys(m)
-            flat = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer((np.arange(len(has) + 1) * (BITS // 8)).astype(np.int32)), pa.py_buffer(sketch.tobytes())])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][has]), flat, lists], ["id", "sketch", "bands"])
+            valid = pa.array(~none).buffers()[1]
+            flat = pa.Array.from_buffers(pa.binary(), j - i, [valid, pa.py_buffer(ends * np.int32(BITS // 8)), pa.py_buffer(sketch.tobytes())])
+            lists = pa.ListArray.from_arrays(pa.array(ends * np.int32(BANDS)), pa.array(keys.ravel(), pa.int64()), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), flat, lists], ["doc_id", "text_hash", "sketch", "bands"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, sketch, bands) of each document that has words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(_sign, "id long, sketch binary, bands array<long>")
+    """(node, doc_id, text_hash, sketch, bands) of every document, written; ``node`` numbers its row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    signed = rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, sketch binary, bands array<long>")
+    return written(signed.select(F.monotonically_increasing_id().alias("node"), "*"), "signatures")
 
 
 def _ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def cluster_edges(ids: np.ndarray, sketch: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that join the same components as all pairs within ``most`` ones do."""
-    edges: list[tuple[int, int]] = []
-    groups: list[list[int]] = []
-    for i in range(len(ids)):
-        joined = None
-        if groups:
-            leaders = sketch[[g[0] for g in groups]]
-            near = _ones(leaders, sketch[i]) <= most
-            for g in range(len(groups)):
-                to = groups[g][0] if near[g] else None
-                if to is None and len(groups[g]) > 1:
-                    rest = groups[g][1:]
-                    hit = np.flatnonzero(_ones(sketch[rest], sketch[i]) <= most)
-                    to = rest[hit[0]] if len(hit) else None
-                if to is not None:
-                    edges.append((int(ids[to]), int(ids[i])))
-                    if joined is None:
-                        joined = g
-                        groups[g].append(i)
-                    else:
-                        groups[joined] += groups[g]
-                        groups[g] = []
-            groups = [g for g in groups if g]
-        if joined is None:
-            groups.append([i])
-    return edges
+def cluster_edges(ids: np.ndarray, sketch: np.ndarray, most: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join the same components as all pairs within ``most`` ones (of different sides) do."""
+    words = np.ascontiguousarray(sketch).view(np.uint64) if sketch.shape[1] % 8 == 0 else sketch
+
+    def near(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        strip = max(1, (1 << 18) // len(rows))
+        return np.concatenate([_ones(words[rows][:, None], words[columns[i : i + strip]][None]) <= most for i in range(0, len(columns), strip)], axis=1)
+
+    a, b = groups.spanning(len(ids), near, side)
+    return list(zip(ids[a].tolist(), ids[b].tolist(), strict=True))
 
 
 def _verify(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, id, sketch) sorted by bucket; a bucket may span batches."""
-
-        def edges_of(bucket, ids, sketch):
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            first = np.concatenate([[0], cut]).astype(np.int64)
-            size = np.diff(np.concatenate([first, [len(bucket)]]))
-            a, b = [], []
+        """Rows (bucket, i, j, side, id, sketch) sorted by (bucket, i, j)."""
+        for batch in groups.grouped_batches(batches, 3):
+            i_, j_, side, ids = (np.asarray(batch.column(c)) for c in (1, 2, 3, 4))
+            sketch = np.frombuffer(batch.column(5).buffers()[2], np.uint8)
+            o = np.frombuffer(batch.column(5).buffers()[1], np.int32)[batch.column(5).offset :]
+            sketch = sketch[o[0] : o[batch.num_rows]].reshape(-1, BITS // 8)
+            first = groups.starts_of(batch, 3)
+            size = np.diff(np.append(first, batch.num_rows))
             two = first[size == 2]
-            ok = two[_ones(sketch[two], sketch[two + 1]) <= most]
-            a.append(ids[ok])
-            b.append(ids[ok + 1])
-            for s, n in zip(first[size > 2], size[size > 2], strict=True):
-                e = np.array(cluster_edges(ids[s : s + n], sketch[s : s + n], most), np.int64).reshape(-1, 2)
+            two = two[(i_[two] == j_[two]) | (side[two] != side[two + 1])]
+            words = sketch.view(np.uint64)
+            ok = two[_ones(words[two], words[two + 1]) <= most]
+            a, b = [ids[ok]], [ids[ok + 1]]
+            for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                e = np.array(cluster_edges(ids[s : s + n], sketch[s : s + n], most, side[s : s + n] if i_[s] != j_[s] else None), np.int64).reshape(-1, 2)
                 a.append(e[:, 0])
                 b.append(e[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            wide = batch.column(2).buffers()
-            start = batch.column(2).offset
-            o = np.frombuffer(wide[1], np.int32)[start : start + batch.num_rows + 1]
-            sketch = np.frombuffer(wide[2], np.uint8)[o[0] : o[-1]].reshape(-1, BITS // 8)
-            now = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), sketch)
-            if held is not None:
-                now = tuple(np.concatenate(p) for p in zip(held, now, strict=True))
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the open bucket waits
-            held = tuple(x[last:].copy() for x in now)
-            if last:
-                yield edges_of(*(x[:last] for x in now))
-        if held is not None:
-            yield edges_of(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
-def near_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): edges whose components are the near-duplicate groups."""
-    # rows that repeat an id and a sketch go first; all that follows is joined, so no row holds a group's members
-    signed = written(signatures(docs).dropDuplicates(["id", "sketch"]), "signatures")
-    fold = signed.groupBy("sketch").agg(F.min("id").alias("first"))
-    held = written(signed.join(fold, "sketch"), "folded")
-    same = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    reps = held.where("id = first").select("id", "sketch", "bands")
-    bands = reps.select("id", F.explode("bands").alias("key"))
-    # equal buckets of several bands are verified once
-    buckets = bands.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-    buckets = buckets.groupBy("ids").agg(F.min("key").alias("bucket"))
-    members = buckets.select("bucket", F.explode("ids").alias("id")).join(reps.select("id", "sketch"), "id").select("bucket", "id", "sketch")
-    found = members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_verify(most_ones(threshold)), "a long, b long")
-    return same.union(found).distinct()
-
-
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the documents that have a near copy."""
-    return connected_components(near_edges(docs, threshold))
+def near_edges(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of (node, sketch, bands), one row a sketch: edges whose components are the near-duplicate groups."""
+    bands = reps.select("node", F.explode("bands").alias("key")).repartition("key")
+    # a bucket is told by its size and two sums of its members' hashes: those with the same members in several bands are verified once
+    told = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND((1 << 40) - 1)).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("t")).where("n > 1")
+    buckets = told.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key", "n")
+    members = groups.blocked(bands.join(buckets, "key"), F.col("n"), "node").join(reps.select("node", "sketch"), "node")
+    members = members.select("key", "block_i", "block_j", "block_side", "node", "sketch").repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
+    return members.mapInArrow(_verify(most_ones(threshold)), "a long, b long").distinct()
+
+
+def near_groups(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, doc_id, text_hash, best) of the documents that have a near copy; best: (absent, doc_id, text_hash, node) of the one that stays.
+
+    No row holds a group's members, and the joins' other sides hold one row a group."""
+    has = signed.where("sketch IS NOT NULL")
+    # equal sketches have equal words, and fold on the map side: a row a task for a text that fills the corpus
+    fold = written(has.groupBy("sketch").agg(F.min(F.struct("node", "bands")).alias("least"), F.count("*").alias("copies")), "folded")
+    reps = fold.select(F.col("least.node").alias("node"), "sketch", F.col("least.bands").alias("bands"))
+    parts = written(connected_components(near_edges(reps, threshold)).select("node", "component"), "components")
+    copied = fold.where("copies > 1").select("sketch", F.col("least.node").alias("first"))
+    copies = has.select("node", "doc_id", "text_hash", "sketch").join(copied, "sketch").select("node", "doc_id", "text_hash", "first")
+    copies = copies.join(parts.withColumnRenamed("node", "rep"), F.col("first") == F.col("rep"), "left").select("node", "doc_id", "text_hash", F.coalesce("component", "first").alias("component"))
+    lone = fold.where("copies = 1").select(F.col("least.node").alias("node")).join(parts, "node")
+    linked = copies.unionByName(has.select("node", "doc_id", "text_hash").join(lone, "node").select("node", "doc_id", "text_hash", "component"))
+    linked = written(linked, "linked")
+    best = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash", "node")).alias("best"))
+    return linked.join(best, "component").select("node", "doc_id", "text_hash", "best")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id, duplicate) of every document."""
-    groups = near_groups(docs, threshold)
-    rows = docs.select(F.col("doc_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))).alias("copy"))
-    kind = docs.schema["doc_id"].dataType
-    out = rows.join(groups, rows.doc_id == groups.node, "left").withColumn("kept_id", F.coalesce(F.col("component").cast(kind), F.col("doc_id")))
-    return out.select("doc_id", "kept_id", F.coalesce((F.col("kept_id") != F.col("doc_id")) | (F.col("doc_id").isNotNull() & (F.col("copy") > 1)), F.lit(False)).alias("duplicate"))
+    signed = signatures(docs)
+    found = near_groups(signed, threshold).select("node", F.col("best.doc_id").alias("kept_id"), F.col("best.node").alias("best"))
+    out = signed.select("node", "doc_id").join(found, "node", "left")
+    return out.select("doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("kept_id")).alias("kept_id"), F.coalesce(F.col("best") != F.col("node"), F.lit(False)).alias("duplicate"))
 
 
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; columns as they were."""
+    """``docs`` with one document of each near-duplicate group; columns as they were.
+
+    Texts move once, by id and text, to meet what goes and so that equal rows meet."""
     taken = list(docs.columns)
-    node, component, copy = fresh("near_node", taken), fresh("near_component", taken), fresh("near_copy", taken)
-    groups = near_groups(docs, threshold).select(F.col("node").alias(node), F.col("component").alias(component))
-    gone = written(groups.where(F.col(node) != F.col(component)), "gone")
-    stay = docs.join(gone, docs["doc_id"].cast("long") == gone[node], "left_anti")
-    ranked = stay.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return ranked.where(F.col("doc_id").isNull() | (F.col(copy) == 1)).drop(copy)
+    text, row = fresh("near_text", taken), fresh("near_row", taken)
+    found = near_groups(signatures(docs), threshold)
+    # a row's key: the hash of its text, and that of its id with it
+    key = [F.col("text_hash").alias(text), F.xxhash64("doc_id", "text_hash").alias(row)]
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))
+    gone = written(found.where(~stays).select(*key).distinct(), "gone")
+    hashed = docs.withColumn(text, F.xxhash64("text")).withColumn(row, F.xxhash64("doc_id", text))
+    left = hashed.join(gone, [text, row], "left_anti")
+    again = written(found.where(stays).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(text, row, F.lit(True).alias(many := fresh("near_many", taken))), "again")
+    if not again.isEmpty():  # rows that repeat an id and a text: one stays
+        nth = F.row_number().over(Window.partitionBy(text, row).orderBy(F.lit(0)))
+        left = left.join(again, [text, row], "left").withColumn(many, F.col(many) & (nth > 1)).where(F.coalesce(~F.col(many), F.lit(True)))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,8 @@ QUERIES = {
     "op3_exact_dedup": lambda spark, d: exact.exact_dedup(_table(spark, d)),
     "op4_suffix_dedup": lambda spark, d: suffix.repeated_passages(_table(spark, d)),
     "op5_secret_scan": lambda spark, d: secrets.scan(_table(spark, d)),
-    "op6_embedding_dedup": lambda spark, d: vectors.near_pairs(_table(spark, d, "embeddings")),
+    "op6_embedding_dedup": lambda spark, d: vectors.near_links(_table(spark, d, "embeddings")),
+    "embedding_planted": lambda spark, d: vectors.near_links(vectors.planted(_table(spark, d, "embeddings"))),
     "op7_mixing": lambda spark, d: mixing.mix_query(_table(spark, d)),
     "op8_language_id": lambda spark, d: lang.identify(_table(spark, d)),
     "op9_near_dedup": lambda spark, d: near.near_dedup(_table(spark, d)),
@@ -27,4 +28,5 @@ ORACLES = {
     "op3_exact_dedup": exact.ORACLE,
     "op5_secret_scan": secrets.ORACLE,
     "op6_embedding_dedup": vectors.ORACLE,
+    "embedding_planted": vectors.PLANTED_ORACLE,
 }

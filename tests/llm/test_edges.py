@@ -33,7 +33,8 @@ def test_empty_table(spark, name):
 def test_table_operators_on_empty_tables(spark):
     assert suffix.repeated_passages(empty(spark)).count() == 0
     assert secrets.scan(empty(spark)).count() == 0
-    assert vectors.near_pairs(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vectors.near_pairs(none).count() == 0 and vectors.near_links(none).count() == 0
 
 
 def test_stages_keep_columns_and_rows_of_awkward_tables(spark):
@@ -65,8 +66,8 @@ def test_near_dedup_of_awkward_rows(spark):
     rows = near.near_dedup(awkward(spark)).collect()
     by = {(r.doc_id, r.duplicate): r.kept_id for r in rows}
     assert by[1, False] == by[1, True] == by[2, True] == 1
-    assert by[7, False] == by[8, True] == 7
-    assert sum(r.duplicate for r in rows) == 3
+    assert by[7, False] == by[8, True] == 7 and by[None, True] == 1
+    assert sum(r.duplicate for r in rows) == 4
 
 
 def test_suffix_dedup_of_awkward_rows(spark):
@@ -78,6 +79,9 @@ def test_vectors_of_awkward_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.001]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [float("inf"), 0.0]), (10, [0.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, key string, cosine string")
     assert [(r.vec_a, r.vec_b) for r in vectors.near_pairs(df).collect()] == [(1, 2)]
+    got = sorted(((str(r.vec_id), r.class_id, r.links) for r in vectors.near_links(df).collect()), key=str)
+    # both rows of id 1, the null id and id 2 are near one another
+    assert got == sorted([("1", 1, 3), ("1", 1, 3), ("2", 1, 3), ("None", 1, 3), *((str(i), i, 0) for i in range(3, 11))], key=str)
 
 
 def test_secrets_of_awkward_rows(spark):

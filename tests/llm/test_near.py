@@ -41,7 +41,7 @@ def test_groups_match_brute_force(spark):
                 share = both / (sizes[i] + sizes[j] - both)
                 want += [(rows[j][0], rows[i][0])] * (share >= near.THRESHOLD)
                 loose += [(rows[j][0], rows[i][0])] * (share >= near.THRESHOLD - 0.12)
-    got = {r.node: r.component for r in near.near_groups(docs).collect()}
+    got = {r.doc_id: r.best.doc_id for r in near.near_groups(near.signatures(docs)).collect()}
     found = sum(a in got and got.get(a) == got.get(b) for a, b in want)
     assert len(want) > 20 and found >= 0.95 * len(want)
     limit = components(loose)
@@ -91,3 +91,26 @@ def test_query_and_stage_agree(spark):
     docs = documents(spark)
     kept = sorted(r.doc_id for r in near.near_dedup(docs).where("NOT duplicate").collect())
     assert kept == sorted(r.doc_id for r in near.drop_near(docs).collect())
+
+
+def test_buckets_cut_into_chunks_join_what_one_group_joins(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 4000")
+    whole = sorted((r.doc_id, r.kept_id) for r in near.near_dedup(docs).collect())
+    monkeypatch.setattr(near.groups.blocked, "__defaults__", (2,))
+    assert sorted((r.doc_id, r.kept_id) for r in near.near_dedup(docs).collect()) == whole and any(a != b for a, b in whole)
+
+
+def test_many_unlike_members_of_a_bucket():
+    rng = np.random.default_rng(8)
+    sketch = rng.integers(0, 256, (4000, near.BITS // 8), dtype=np.uint8)
+    sketch[2000:] = sketch[:2000] ^ np.uint8(1)
+    edges = near.cluster_edges(np.arange(4000), sketch, 200)
+    assert sorted(map(tuple, map(sorted, edges))) == [(i, i + 2000) for i in range(2000)]
+
+
+def test_ids_of_text_and_rows_of_one_id(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([("b", one, "x"), ("a", one + " end", "x"), ("a", other, "x"), (None, one, "x"), (None, None, "x"), (None, None, "x")], "doc_id string, text string, source string")
+    assert sorted((str(r.doc_id), str(r.kept_id), r.duplicate) for r in near.near_dedup(docs).collect()) == [("None", "None", False), ("None", "None", False), ("None", "a", True), ("a", "a", False), ("a", "a", False), ("b", "a", True)]
+    assert sorted(str(r.text)[:2] for r in near.drop_near(docs).collect()) == ["No", "No", "v0", "w0"]
