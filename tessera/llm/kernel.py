@@ -7,8 +7,10 @@ however many rows a batch has (one document is never cut).
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,22 @@ def worker_cache() -> dict:
     return module.__dict__.setdefault("cache", {})
 
 
+def releasing(run):
+    """``run`` over a task's batches, after which freed memory goes back to the system: workers live on between tasks."""
+
+    def task(batches):
+        yield from run(batches)
+        if len(worker_cache().get("powers", ((),))[0]) > 2 * BLOCK_BYTES:
+            del worker_cache()["powers"]
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library than glibc
+            pass
+
+    return task
+
+
 # ------------------------------------------------------------- Arrow strings
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
@@ -56,7 +74,7 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES):
         i = j
 
 
-# ------------------------------------------------------------- byte classes
+# ------------------------------------------------------------- letters
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\r\x0b\x0c")] = True
 NOT_SPACE = ~SPACE
@@ -66,6 +84,7 @@ ALNUM = LETTER.copy()
 ALNUM[ord("0") : ord("9") + 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_TABLED = 0x20000
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -77,13 +96,82 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unicode() -> tuple[np.ndarray, np.ndarray]:
+    """(lower case where it is one character, whether it is a letter or a mark on one) by code point, made once a worker."""
+    cache = worker_cache()
+    if "unicode" not in cache:
+        lower, letter = np.arange(_TABLED, dtype=np.uint32), np.zeros(_TABLED, bool)
+        for i in range(_TABLED):
+            c = chr(i)
+            letter[i] = unicodedata.category(c)[0] in "LM"
+            if len(low := c.lower()) == 1:
+                lower[i] = ord(low)
+        cache["unicode"] = lower, letter
+    return cache["unicode"]
+
+
+def characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the documents' offsets among them."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32), off
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = data[at].astype(np.uint32)
+    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32) & 0x3F
+    cp = first.copy()
+    for low, high, mask, size in ((0xC0, 0xE0, 0x1F, 2), (0xE0, 0xF0, 0x0F, 3), (0xF0, 0x100, 0x07, 4)):
+        k = np.flatnonzero((first >= low) & (first < high))
+        c = first[k] & mask
+        for i in range(1, size):
+            c = c << 6 | wide[at[k] + i]
+        cp[k] = c
+    return cp, np.searchsorted(at, off)
+
+
+def lower_letters(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in lower case, and which of them are letters or marks (all of the supplementary ideographs are)."""
+    lower, letter = _unicode()
+    if not len(cp) or cp.max() < _TABLED:
+        low = lower[cp]
+        return low, letter[low]
+    small = np.minimum(cp, _TABLED - 1)
+    low = np.where(cp < _TABLED, lower[small], cp)
+    return low, np.where(cp < _TABLED, letter[np.minimum(low, _TABLED - 1)], (cp >= 0x20000) & (cp < 0x323B0))
+
+
+def lower_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes in lower case where that is as long, and which bytes belong to letters."""
+    if not len(data) or data.max() < 0x80:
+        low = _LOWER[data]
+        return low, LETTER[low]
+    cp, ends = characters(data, np.array([0, len(data)]))
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(data)))
+    low, letter = lower_letters(cp)
+    out = _LOWER[data]
+    for least, most, wide in ((0x80, 0x800, 2), (0x800, 0x10000, 3)):
+        k = np.flatnonzero((low != cp) & (size == wide) & (low >= least) & (low < most))
+        c = low[k]
+        for i in range(wide - 1, 0, -1):
+            out[at[k] + i] = 0x80 | c & 0x3F
+            c = c >> 6
+        out[at[k]] = (0xC0 if wide == 2 else 0xE0) | c
+    mask = np.zeros(len(data), bool)
+    mask[at[0] if len(at) else 0 :] = np.repeat(letter, size)
+    return out, mask
+
+
 def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray):
     """Starts, ends and per-document counts' offsets of maximal runs of ``inside`` bytes.
 
     Runs never cross a document's border."""
-    if not len(data):
+    return runs(inside[data], off)
+
+
+def runs(w: np.ndarray, off: np.ndarray):
+    """``spans`` of the places where ``w`` is true."""
+    if not len(w):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    w = inside[data]
     start, end = w.copy(), w.copy()
     start[1:] &= ~w[:-1]
     end[:-1] &= ~w[1:]
@@ -95,15 +183,17 @@ def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray):
 
 
 def _powers(n: int):
+    """Powers of BASE and of its inverse, ``n`` at least; those for longer than usual blocks go with the task."""
     cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        with np.errstate(over="ignore"):
-            up = np.full(size, BASE, _U)
-            up[0] = 1
-            down = np.full(size, BASE_INVERSE, _U)
-            down[0] = 1
-            cache["powers"] = (np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U))
+    if len(cache.get("powers", ((),))[0]) >= n:
+        return cache["powers"]
+    size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 3))
+    with np.errstate(over="ignore"):
+        up = np.full(size, BASE, _U)
+        up[0] = 1
+        down = np.full(size, BASE_INVERSE, _U)
+        down[0] = 1
+        cache["powers"] = (np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U))
     return cache["powers"]
 
 

@@ -2,12 +2,13 @@
 
 Training: of the rows with a language label a bounded sample (``SAMPLE`` documents
 a language, chosen by a hash of the id) gives, for each language, counts of words
-and of character n-grams (bytes of UTF-8, with ^ and $ as word marks). A word that
-occurs ``MIN_WORD`` times or more in some language is known; each language scores
-it by its log frequency there. An unseen word is scored at each of its positions
-by the longest n-gram (from ``LONGEST`` down to 1) that the model knows, and the
-mean over positions, scaled by ``BACKOFF``, is its score. A document's score is
-the mean over its words; all words of the whole text count.
+(runs of Unicode letters and marks, in lower case) and of character n-grams, with ^
+and $ as word marks. A word that occurs ``MIN_WORD`` times or more in some language is
+known; each language scores it by its log frequency there. An unseen word is scored at
+each of its positions by the longest n-gram (from ``LONGEST`` down to 1) that the model
+knows, one that some language has ``MIN_GRAM`` times or more, and the mean over
+positions, scaled by ``BACKOFF``, is its score. A document's score is the mean over its
+words; all words of the whole text count, of any length.
 
 A document is rejected (language ``und``) when it has no word, or when no n-gram
 of two or more characters or known word speaks for any language, or the best two
@@ -15,12 +16,12 @@ languages are within ``MARGIN``. Defined cases: null and empty texts are rejecte
 rows with null labels are never trained on; with no labelled row at all nothing
 can be told and every document is rejected; repeated rows are judged alike; ties
 fall to the language that sorts first, and are rejected by the margin; an empty
-table gives an empty result; extra columns play no part.
+table gives an empty result; a table without ``lang`` has no labels; extra columns
+play no part.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,36 +30,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
-from tessera.llm.kernel import fresh
 
 SAMPLE = 1000
 MIN_WORD = 3
+MIN_GRAM = 2
 LONGEST = 5
 BACKOFF = 1.0
 MARGIN = 0.001
-WORDS_KEPT = 30_000
-GRAMS_KEPT = 30_000
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(language, word, n) counted over each batch."""
+    """(language, word, n) counted over each block of a batch."""
     for batch in batches:
-        langs = batch.column(0).to_pylist()
+        langs = batch.column(0).dictionary_encode()
+        names, which = langs.dictionary.to_pylist(), np.asarray(langs.indices)
         data, off = kernel.text_buffers(batch.column(1))
-        counts: dict = defaultdict(int)
-        for i in range(len(langs)):
-            low = kernel.lowered(data[off[i] : off[i + 1]])
-            s, e, _ = kernel.spans(low, np.array([0, len(low)]), kernel.LETTER)
-            raw = low.tobytes()
-            for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                if b - a <= 64:
-                    counts[langs[i], raw[a:b]] += 1
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+        for i, j in kernel.blocks(off):
+            cp, o = kernel.characters(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            low, letter = kernel.lower_letters(cp)
+            s, e, at = kernel.runs(letter, o)
+            if not len(s):
+                continue
+            lang = np.repeat(which[i:j], np.diff(at)).astype(np.uint64)
+            own = kernel.mixed(kernel.span_hashes(kernel.prefix_sums(low), s, e) + lang * np.uint64(kernel.BASE))
+            _, first, n = np.unique(own, return_index=True, return_counts=True)
+            words = [low[s[k] : e[k]].astype("<u4").tobytes().decode("utf-32-le", "replace") for k in first.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([names[int(k)] for k in lang[first].tolist()], pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model: sorted hash tables with one row of log frequencies by language."""
+    """The model: sorted hash tables with one row of log frequencies by language; bounded as the sample is."""
+    if "lang" not in docs.columns:
+        return {"langs": []}
     labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -66,47 +69,54 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
     cut = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 40, -(-sample * (1 << 40) // n)))])[F.col("lang")]
     picked = labelled.where(at < cut).select("lang", "text")
-    counted = picked.mapInArrow(_word_lists, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return build([(r["lang"], bytes(r["word"]), r["n"]) for r in counted.collect()])
+    counted = picked.mapInArrow(kernel.releasing(_word_lists), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    return build(list(zip(counted["lang"].to_pylist(), counted["word"].to_pylist(), counted["n"].to_pylist(), strict=True)))
+
+
+def _marked(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of ^word$ after ^word$, and where each ends."""
+    cp = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32)
+    return cp, np.cumsum([len(w) + 2 for w in words], dtype=np.int64)
 
 
-def build(counts: list[tuple[str, bytes, int]]) -> dict:
-    """Model from (language, word, count); its size is bounded by the kept words and n-grams."""
+def build(counts: list[tuple[str, str, int]]) -> dict:
+    """Model from (language, word, count)."""
+    counts = [c for c in counts if c[1]]
     langs = sorted({c[0] for c in counts})
-    words: dict = {k: defaultdict(int) for k in langs}
-    grams: dict = {k: [defaultdict(int) for _ in range(LONGEST + 1)] for k in langs}
-    for lang, word, n in counts:
-        words[lang][word] += n
-        marked = b"^" + word + b"$"
-        for size in range(1, LONGEST + 1):
-            g = grams[lang][size]
-            for i in range(len(marked) - size + 1):
-                g[marked[i : i + size]] += n
-
-    def table(by_lang: list[dict], keep: int, least: int, floor: float):
-        known: set = set()
-        for counted in by_lang:
-            known.update(sorted((w for w, n in counted.items() if n >= least), key=lambda w: (-counted[w], w))[:keep])
-        keys = sorted(known)
-        total = np.array([sum(c.values()) for c in by_lang], float)
-        seen = np.array([[c.get(w, 0) for c in by_lang] for w in keys], float).reshape(-1, len(by_lang))
-        scores = np.log((seen + floor) / (total + floor * max(1, len(keys))))
-        h = kernel.hash_words(keys)
-        order = np.argsort(h)
-        return h[order], scores[order].astype(np.float32)
-
-    return {
-        "langs": langs,
-        "words": table([words[k] for k in langs], WORDS_KEPT, MIN_WORD, 0.1),
-        "grams": [None, *(table([grams[k][s] for k in langs], GRAMS_KEPT, 2, 0.5) for s in range(1, LONGEST + 1))],
-    }
-
-
-def _backoff(words: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of unseen words by language, and whether an n-gram of two or more bytes was known."""
-    marked = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8)
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    ends = np.cumsum(sizes)
+    place = {k: i for i, k in enumerate(langs)}
+    lang = np.array([place[c[0]] for c in counts], np.int64)
+    n = np.array([c[2] for c in counts], np.float64)
+
+    def table(hashes: np.ndarray, lang: np.ndarray, n: np.ndarray, least: int, floor: float):
+        keys, which = np.unique(hashes, return_inverse=True)
+        seen = np.bincount(which * len(langs) + lang, n, len(keys) * len(langs)).reshape(-1, len(langs))
+        total = seen.sum(axis=0)
+        known = seen.max(axis=1, initial=0) >= least
+        scores = np.log((seen[known] + floor) / (total + floor * max(1, known.sum())))
+        return keys[known], scores.astype(np.float32)
+
+    words = [c[1] for c in counts]
+    plain = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    starts = ends - np.array([len(w) for w in words], np.int64)
+    marked, stop = _marked(words)
+    sizes = np.diff(stop, prepend=0)
+    word, last = np.repeat(np.arange(len(words)), sizes), np.repeat(stop, sizes)
+    sums, grams = kernel.prefix_sums(marked), [None]
+    for size in range(1, LONGEST + 1):
+        at = np.flatnonzero(np.arange(len(marked)) + size <= last)
+        grams.append(table(kernel.span_hashes(sums, at, at + size), lang[word[at]], n[word[at]], MIN_GRAM, 0.5))
+    return {"langs": langs, "words": table(kernel.span_hashes(kernel.prefix_sums(plain), starts, ends), lang, n, MIN_WORD, 0.1), "grams": grams}
+
+
+def _backoff(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of unseen words by language, and whether an n-gram of two or more characters was known."""
+    marked, ends = _marked(words)
+    return _backoff_of(marked, ends, model)
+
+
+def _backoff_of(marked: np.ndarray, ends: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(ends, prepend=0)
     last = np.repeat(ends, sizes)
     sums, n = kernel.prefix_sums(marked), len(marked)
     out = np.zeros((n, len(model["langs"])), np.float32)
@@ -130,8 +140,8 @@ def _backoff(words: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def score_block(data: np.ndarray, off: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean scores by language, words, words with evidence) of each document."""
-    low = kernel.lowered(data)
-    s, e, at = kernel.spans(low, off, kernel.LETTER)
+    low, letter = kernel.lower_letters((cp := kernel.characters(data, off))[0])
+    s, e, at = kernel.runs(letter, cp[1])
     counts, n = np.diff(at), len(model["langs"])
     if not len(s):
         return np.zeros((len(counts), n)), counts, np.zeros(len(counts), np.int64)
@@ -145,8 +155,13 @@ def score_block(data: np.ndarray, off: np.ndarray, model: dict) -> tuple[np.ndar
     scores[told] = known - known.mean(axis=1, keepdims=True)
     unseen = np.flatnonzero(~told)
     if len(unseen):
-        raw = low.tobytes()
-        scores[unseen], told[unseen] = _backoff([raw[s[i] : e[i]] for i in first[unseen]], model)
+        a, size = s[first[unseen]], (e - s)[first[unseen]]
+        ends = np.cumsum(size + 2)
+        marked = np.empty(ends[-1], np.uint32)
+        marked[ends - size - 2], marked[ends - 1] = ord("^"), ord("$")
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        marked[np.repeat(ends - size - 1, size) + inner] = low[np.repeat(a, size) + inner]
+        scores[unseen], told[unseen] = _backoff_of(marked, ends, model)
     doc = np.repeat(np.arange(len(counts)), counts)
     total = np.stack([np.bincount(doc, scores[which, k], len(counts)) for k in range(n)], axis=1)
     return total / np.maximum(counts, 1)[:, None], counts, np.bincount(doc, told[which], len(counts)).astype(np.int64)
@@ -172,7 +187,7 @@ def _judge(model: dict, data: np.ndarray, off: np.ndarray):
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, detected, lead, accepted) of every document."""
     model = train(docs) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: WORDS_KEPT and GRAMS_KEPT a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as SAMPLE documents a language are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +195,7 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.tolist(), pa.string()), pa.array(np.round(lead, 6)), pa.array((found != "und").tolist(), pa.bool_())], ["doc_id", "detected", "lead", "accepted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, detected string, lead double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(kernel.releasing(run), f"doc_id {kind}, detected string, lead double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -194,4 +209,4 @@ def keep_identified(docs: DataFrame, model: dict | None = None) -> DataFrame:
             found, _ = _judge(shared.value, *kernel.text_buffers(batch.column(at)))
             yield batch.filter(pa.array((found != "und").tolist(), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.releasing(run), docs.schema)
