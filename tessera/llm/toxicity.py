@@ -6,7 +6,8 @@ toxic documents hold significantly more often (G-squared of ``SIGNIFICANCE`` or
 more) and far more often (log likelihood ratio of ``LEAST_WEIGHT`` or more), and
 that ``LEAST_TOXIC`` of them hold, become evidence, weighted by that ratio; copies
 of one text count once. A character trigram model is counted over all documents,
-labelled or not: each word of up to 64 bytes counts once for every row it stands in.
+labelled or not: each word, whatever its length, counts once for every row it stands in.
+Words are runs of Unicode letters; the n-grams and trigrams are of their UTF-8 bytes.
 
 Scoring runs over whole texts. Tokens that may be disguised (digits or symbols
 within letters, letters with separators between them, letters three or more times
@@ -30,7 +31,7 @@ columns play no part.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,6 @@ SAMPLE = 20_000
 SIGNIFICANCE = 24.0
 LEAST_TOXIC = 3
 LEAST_WEIGHT = 4.0
-KEPT = 20_000
 GRAM = 5
 STEM = 4
 STEM_RATIO = 8.0
@@ -63,16 +63,19 @@ CODE[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = np.arange(1, 155)
 CODES = 155
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[list(b"._-*~^'`,/\\")] = True
+_SIGN_BYTES = [k.encode() for k in LEET]
 LEET_COST, KEEP_COST, DROP_COST, RUN_COST = 1.0, 6.0, 0.3, 0.7
 
 
 # ------------------------------------------------------------------- features
-def _padded(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with a space before, between and after them, and their new offsets."""
+def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in lower case with a space before, between and after them, which bytes are letters', and the new offsets."""
     n = len(off) - 1
-    out = np.full(len(low) + n + 1, 32, np.uint8)
-    out[np.arange(len(low)) + np.repeat(np.arange(n) + 1, np.diff(off))] = low
-    return out, off + np.arange(n + 1) + 1
+    text, mask = kernel.lower_bytes(data)
+    low, letter = np.full(len(data) + n + 1, 32, np.uint8), np.zeros(len(data) + n + 1, bool)
+    at = np.arange(len(data)) + np.repeat(np.arange(n) + 1, np.diff(off))
+    low[at], letter[at] = text, mask
+    return low, letter, off + np.arange(n + 1) + 1
 
 
 def _grams(letters: np.ndarray) -> np.ndarray:
@@ -92,27 +95,58 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of stems (``s``) the different words are counted, by language, and in docs the toxic
     documents; ``n`` has a language's different words and toxic documents."""
     for batch in batches:
-        toxic = np.asarray(batch.column(0)).astype(bool)
+        labels = np.asarray(batch.column(0)).astype(bool)
         data, off = kernel.text_buffers(batch.column(1))
         langs = [x.encode() + b"\0" for x in batch.column(2).to_pylist()]
-        counts: dict = {}
-        for d in range(len(toxic)):
-            low, o = _padded(kernel.lowered(data[off[d] : off[d + 1]]), np.array([0, off[d + 1] - off[d]]))
-            s, e, _ = kernel.spans(low, np.array([0, len(low)]), kernel.LETTER)
-            raw = low.tobytes()
-            words = {raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True) if b - a <= 64}
-            letters = np.where(kernel.LETTER[low], low, np.uint8(32))
-            keys = [("w", w) for w in words]
-            keys += [("g", int(g).to_bytes(8, "little")[:GRAM]) for g in np.unique(_grams(letters)).tolist()]
-            t = int(toxic[d])
-            for key in keys:
-                counts.setdefault(key, [0, 0, 0])[1 - t] += 1
-            for key, n in [(("n", langs[d]), len(words)), *((("s", langs[d] + k), n) for k, n in Counter(w[:STEM] for w in words if len(w) > STEM).items())]:
-                c = counts.setdefault(key, [0, 0, 0])
-                c[1 - t] += n
-                c[2] += t
-        kinds = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kinds], pa.string()), pa.array([k[1] for k in kinds], pa.binary()), *(pa.array([counts[k][i] for k in kinds], pa.int64()) for i in range(3))], ["kind", "key", "toxic", "clean", "docs"])
+        for i, j in kernel.blocks(off):
+            yield _counted(data[off[i] : off[j]], off[i : j + 1] - off[i], labels[i:j], langs[i:j])
+
+
+def _distinct(own: np.ndarray, key: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each key, its toxic and clean documents), of the places that are the first of their key in a document (``own``)."""
+    first = np.unique(own, return_index=True)[1]
+    _, at, which = np.unique(key[first], return_index=True, return_inverse=True)
+    bad = np.bincount(which, toxic[first], len(at)).astype(np.int64)
+    return first[at], bad, np.bincount(which, minlength=len(at)) - bad
+
+
+def _counted(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, langs: list[bytes]) -> pa.RecordBatch:
+    low, letter, o = _padded(data, off)
+    s, e, at = kernel.runs(letter, o)
+    doc = np.repeat(np.arange(len(toxic)), np.diff(at))
+    spread = np.uint64(kernel.BASE)
+    h = kernel.span_hashes(kernel.prefix_sums(low), s, e)
+    own = kernel.mixed(h + doc.astype(np.uint64) * spread)
+    raw = low.tobytes()
+    place, bad, good = _distinct(own, h, toxic[doc].astype(float))
+    keys = [raw[s[k] : e[k]] for k in place.tolist()]
+    out = [(["w"] * len(keys), keys, bad, good, np.zeros(len(keys), np.int64))]
+    grams = _grams(np.where(letter, low, np.uint8(32)))
+    held = np.clip(np.searchsorted(o, np.arange(len(grams)) + 1, "right") - 1, 0, len(toxic) - 1)
+    inside = np.arange(len(grams)) + GRAM <= o[held + 1]  # none spans two texts
+    grams, held = grams[inside], held[inside]
+    place, bad, good = _distinct(kernel.mixed(grams + held.astype(np.uint64) * spread), grams, toxic[held].astype(float))
+    keys = [int(g).to_bytes(8, "little")[:GRAM] for g in grams[place].tolist()]
+    out.append((["g"] * len(keys), keys, bad, good, np.zeros(len(keys), np.int64)))
+    # stems: a document's different words, summed by language
+    first = np.unique(own, return_index=True)[1]
+    counts: dict = {}
+    for k in range(len(toxic)):
+        counts.setdefault(("n", langs[k]), [0, 0, 0])[2] += int(toxic[k])
+    for k, n in zip(*(x.tolist() for x in np.unique(doc[first], return_counts=True)), strict=True):
+        counts["n", langs[k]][1 - int(toxic[k])] += n
+    long = first[e[first] - s[first] > STEM]
+    stem = np.zeros(len(long), np.uint64)
+    for i in range(STEM):
+        stem |= low[s[long] + i].astype(np.uint64) << np.uint64(8 * i)
+    pair = np.stack([doc[long].astype(np.uint64), stem], axis=1)
+    for (k, g), n in zip(*(x.tolist() for x in np.unique(pair, axis=0, return_counts=True)), strict=True):
+        c = counts.setdefault(("s", langs[k] + int(g).to_bytes(8, "little")[:STEM]), [0, 0, 0])
+        c[1 - int(toxic[k])] += n
+        c[2] += int(toxic[k])
+    kinds = list(counts)
+    out.append(([k[0] for k in kinds], [k[1] for k in kinds], *(np.array([counts[k][i] for k in kinds], np.int64) for i in range(3))))
+    return pa.RecordBatch.from_arrays([pa.array(sum((x[0] for x in out), []), pa.string()), pa.array(sum((x[1] for x in out), []), pa.binary()), *(pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in (2, 3, 4))], ["kind", "key", "toxic", "clean", "docs"])
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +155,16 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = kernel.text_buffers(batch.column(0))
         for i, j in kernel.blocks(off):
-            low, o = _padded(kernel.lowered(data[off[i] : off[j]]), off[i : j + 1] - off[i])
-            s, e, at = kernel.spans(low, o, kernel.LETTER)
+            low, letter, o = _padded(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            s, e, at = kernel.runs(letter, o)
             if not len(s):
                 continue
             doc = np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(at))
             own = kernel.mixed(kernel.span_hashes(kernel.prefix_sums(low), s, e) + doc * np.uint64(kernel.BASE))
             first = np.unique(own, return_index=True)[1]
             s, n = s[first], (e - s)[first]
-            s, n = s[n <= 64], n[n <= 64]
             place = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-            code = CODE[low]
+            code = np.where(letter, CODE[low], 0)
             np.add.at(table, (code[place - 1] * CODES + code[place]) * CODES + code[place + 1], 1)
     found = np.flatnonzero(table)
     byte = np.zeros(CODES, np.uint8)
@@ -169,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     toxic, clean = classes.get(True, 0), classes.get(False, 0)
     if not toxic or not clean:
         return {"classes": (toxic, clean)}
-    summed = rows.mapInArrow(_features, "kind string, key binary, toxic long, clean long, docs long").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
+    summed = rows.mapInArrow(kernel.releasing(_features), "kind string, key binary, toxic long, clean long, docs long").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
     # at least twice as common in toxic documents, whatever the classes' sizes
     more = (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic)
     # words and n-grams below the least weight (with room for rounding) need not come here: ``build`` drops them
@@ -177,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     wanted = (F.col("kind") == "n") | (more & heavy)
     features = [(r["kind"], bytes(r["key"]), r["toxic"], r["clean"], r["docs"]) for r in summed.where(wanted).collect()]
     # a table a task, so at most CODES**3 rows whatever the input
-    letters = docs.select("text").where("text IS NOT NULL").mapInArrow(_trigrams, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    letters = docs.select("text").where("text IS NOT NULL").mapInArrow(kernel.releasing(_trigrams), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     return build(features, toxic, clean, {bytes(r["key"]): r["n"] for r in letters})
 
 
@@ -221,7 +254,7 @@ def build(features: list[tuple[str, bytes, int, int, int]], toxic: int, clean: i
                 if g < SIGNIFICANCE or weight < LEAST_WEIGHT:
                     continue
         weighed[kind].append((g, key, weight))
-    best = {k: sorted(sorted(v, key=lambda x: (-x[0], x[1]))[:KEPT], key=lambda x: x[1]) for k, v in weighed.items()}
+    best = {k: sorted(v, key=lambda x: x[1]) for k, v in weighed.items()}
     keys = kernel.hash_words([x[1] for x in best["w"]])
     order = np.argsort(keys)
     packed = np.array([int.from_bytes(x[1], "little") for x in best["g"]], np.uint64)
@@ -321,12 +354,11 @@ class Channel:
         return found
 
 
-def suspects(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suspects(low: np.ndarray, letter: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, documents) of stretches that may be disguised words."""
     s, e, at = kernel.spans(low, off, kernel.NOT_SPACE)
     if not len(s):
         return s, e, s
-    letter = kernel.LETTER[low]
     sign = SIGNS[low]
     nxt = np.zeros(len(low), bool)
     nxt[:-1] = letter[1:]
@@ -358,17 +390,16 @@ def suspects(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 # --------------------------------------------------------------------- scores
-def _weights(low: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
-    """Summed word weights of each text of padded, lowered bytes."""
+def _weights(low: np.ndarray, letter: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
+    """Summed word weights of each of the ``_padded`` texts."""
     n = len(off) - 1
-    s, e, at = kernel.spans(low, np.array([0, len(low)]), kernel.LETTER)
+    s, e, at = kernel.runs(letter, np.array([0, len(low)]))
     if not len(s):
         return np.zeros(n)
     words, grams = model["words"], model["grams"]
     weight = np.zeros(len(s))
     if len(grams[0]):
-        letters = np.where(kernel.LETTER[low], low, np.uint8(32))
-        packed = _grams(letters)
+        packed = _grams(np.where(letter, low, np.uint8(32)))
         spread = np.uint64(0x9E3779B97F4A7C15)
         maybe = np.zeros(1 << 16, bool)
         maybe[(grams[0] * spread) >> np.uint64(48)] = True
@@ -385,11 +416,11 @@ def _weights(low: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     return np.bincount(np.clip(doc, 0, n - 1), weight, n)
 
 
-def _stem_scores(low: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
+def _stem_scores(low: np.ndarray, letter: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     """Likelihood ratio of each text's strongest stem, 0 at least."""
     out = np.zeros(len(off) - 1)
     keys, rates = model["stems"]
-    s, e, at = kernel.spans(low, off, kernel.LETTER)
+    s, e, at = kernel.runs(letter, off)
     long = np.flatnonzero(e - s > STEM)
     if not len(keys) or not len(long):
         return out
@@ -408,12 +439,17 @@ def _stem_scores(low: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     return out
 
 
+def signed(token: bytes, reading: bytes) -> bool:
+    """Whether a sign of the token became a letter."""
+    return sum(reading.count(c) for c in _SIGN_BYTES) < sum(token.count(c) for c in _SIGN_BYTES) and len(reading) > sum(chr(c).isalpha() for c in token if c < 128)
+
+
 def score_texts(data: np.ndarray, off: np.ndarray, model: dict, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """(score, words restored) of each text of a block."""
     n = len(off) - 1
-    low = kernel.lowered(data)
-    score = model["prior"] + _weights(*_padded(low, off), model) + _stem_scores(low, off, model)
-    s, e, doc = suspects(low, off)
+    low, letter = kernel.lower_bytes(data)
+    score = model["prior"] + _weights(*_padded(data, off), model) + _stem_scores(low, letter, off, model)
+    s, e, doc = suspects(low, letter, off)
     restored = np.zeros(n, np.int64)
     if len(s):
         raw = low.tobytes()
@@ -426,10 +462,11 @@ def score_texts(data: np.ndarray, off: np.ndarray, model: dict, channel: Channel
                 owner.append(d)
         if texts:
             d = np.array(owner)
-            restored = np.bincount(d, minlength=n)
             new, old = ([t[i] for t in texts] for i in (1, 0))
             gain = _listed(new, model) - _listed(old, model)  # what its plain reading has added is not added twice
             score += np.bincount(d, np.maximum(gain, 0), n)
+            # a separator or a long run alone is no disguise: a sign read as a letter is, and so is a reading that tells
+            restored = np.bincount(d, (gain > 0) | np.array([signed(o, r) for o, r in zip(old, new, strict=True)]), n).astype(np.int64)
     return score, restored
 
 
@@ -441,12 +478,15 @@ def _listed(words: list[bytes], model: dict) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame | None = None, model: dict | None = None) -> DataFrame:
     """(doc_id, score, restored, toxic) of every document; ``restored`` counts its deobfuscated words."""
     model = train(docs, labels) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT and the trigrams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as the sample and the table of trigrams are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         usable = min(known["classes"]) > 0
-        channel = Channel(known["trigrams"]) if usable else None
+        cache = kernel.worker_cache()
+        if usable and cache.get("channel", (None,))[0] is not known:  # one decoder a worker and model
+            cache["channel"] = known, Channel(known["trigrams"])
+        channel = cache["channel"][1] if usable else None
         for batch in batches:
             n = batch.num_rows
             points, restored = np.zeros(n), np.zeros(n, np.int64)
@@ -457,4 +497,4 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: dict | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(points, 6)), pa.array(restored), pa.array(usable & (points > 0))], ["doc_id", "score", "restored", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, restored long, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(kernel.releasing(run), f"doc_id {kind}, score double, restored long, toxic boolean")

@@ -1,6 +1,6 @@
 """Embedding near-dedup by Euclidean p-stable hashing.
 
-Equal vectors are folded into one node first. Table t hashes a normalised vector by
+Equal vectors are folded into one node first, on the map side. Table t hashes a normalised vector by
 floor((a.x + b) / WIDTH) for several Gaussian a, so that near vectors share a bucket
 of some table. The number of projections follows ln(rows / BUCKET) / ln(1/p2), p2 the
 chance that unrelated unit vectors agree in one of them, so that about ``BUCKET``
@@ -73,9 +73,13 @@ def bits_apart(threshold: float = THRESHOLD) -> int:
     return min(SIGNS, math.ceil(SIGNS * p + 5 * math.sqrt(SIGNS * p * (1 - p))))
 
 
-def unit_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, v) of every row: the normalised vector as little-endian doubles, null where it has no direction."""
-    kind = table.schema["vec_id"].dataType.simpleString()
+def _element(table: DataFrame) -> type:
+    return np.float32 if table.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
+def directed_vectors(table: DataFrame) -> DataFrame:
+    """(vec_id, v) of every row: the vector's bytes, as doubles or, of a column of floats, as floats; null where it has no direction."""
+    kind, element = table.schema["vec_id"].dataType.simpleString(), _element(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,21 +87,20 @@ def unit_vectors(table: DataFrame) -> DataFrame:
             n, out = batch.num_rows, [None] * batch.num_rows
             sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             whole = lists.flatten()
-            x = np.asarray(pc.fill_null(whole, math.nan)).astype(np.float64)
+            x = np.asarray(pc.fill_null(whole, math.nan)).astype(element)
             at = np.cumsum(sizes) - sizes
             for size in np.unique(sizes[sizes > 0]).tolist():
                 rows = np.flatnonzero(sizes == size)
                 y = x[at[rows][:, None] + np.arange(size)]
                 with np.errstate(all="ignore"):
-                    norm = np.sqrt((y * y).sum(axis=1))
+                    norm = (y.astype(np.float64) ** 2).sum(axis=1)
                     ok = np.isfinite(norm) & (norm > 0)
-                    y = y / norm[:, None]
                 for i, r in enumerate(rows.tolist()):
                     if ok[i]:
                         out[r] = y[i].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()) if n else pa.array([], pa.binary())], ["vec_id", "v"])
 
-    return table.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).mapInArrow(run, f"vec_id {kind}, v binary")
+    return table.select("vec_id", F.col("embedding").cast("array<float>" if element == np.float32 else "array<double>").alias("e")).mapInArrow(kernel.releasing(run), f"vec_id {kind}, v binary")
 
 
 class Tables:
@@ -130,20 +133,21 @@ class Tables:
         return cache["tables"][1]
 
 
-def _by_length(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, matrix) of the vectors of each length."""
+def _by_length(column, element: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of each length."""
     raw = column.to_pylist()
     sizes = np.array([len(r) for r in raw], np.int64)
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
-        yield at, np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
+        x = np.frombuffer(b"".join(raw[i] for i in at), element).reshape(len(at), -1).astype(np.float64)
+        yield at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(k: int, tables: int):
+def _keys(k: int, tables: int, element: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = np.asarray(batch.column(0))
-            for at, x in _by_length(batch.column(1)):
+            for at, x in _by_length(batch.column(1), element):
                 for i in range(0, len(at), 4096):
                     some = x[i : i + 4096]
                     t = Tables.cached(x.shape[1], k, tables)
@@ -184,7 +188,7 @@ def _thinned(most: int):
     return run
 
 
-def _check(k: int, tables: int, threshold: float, pairs: bool):
+def _check(k: int, tables: int, element: type, threshold: float, pairs: bool):
     """Rows (key, i, j, side, node, copies, v) sorted by (key, i, j) -> links of nodes and joining edges, or the pairs."""
 
     def group(x, keys, table, i, j, side, ids, many):
@@ -227,7 +231,7 @@ def _check(k: int, tables: int, threshold: float, pairs: bool):
         for batch in groups.grouped_batches(batches, 3, 1 << 13):
             kept: list = []
             whole = [np.asarray(batch.column(c)) for c in range(6)]
-            for at, x in _by_length(batch.column(6)):
+            for at, x in _by_length(batch.column(6), element):
                 columns = [c[at] for c in whole]
                 t = Tables.cached(x.shape[1], k, tables)
                 keys = t.keys(x)
@@ -249,33 +253,35 @@ def _check(k: int, tables: int, threshold: float, pairs: bool):
 
 def _nodes(table: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(rows: row, vec_id, v; nodes: node, copies, v; number of nodes). A node is a distinct vector, named by its least row."""
-    rows = written(unit_vectors(table).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = written(directed_vectors(table).withColumn("row", F.monotonically_increasing_id()), "vectors")
     nodes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "nodes")
     return rows, nodes, nodes.count()
 
 
-def _checked(nodes: DataFrame, count: int, threshold: float, recall: float, pairs: bool = False) -> DataFrame:
+def _checked(nodes: DataFrame, count: int, element: type, threshold: float, recall: float, pairs: bool = False) -> DataFrame:
     k, tables = parameters(count, threshold, recall)
-    buckets = nodes.select("node", "v").mapInArrow(_keys(k, tables), "key long, node long, bits_1 long, bits_2 long")
-    members = buckets.repartition("key").sortWithinPartitions("key").mapInArrow(_thinned(bits_apart(threshold)), "key long, node long, n long")
+    buckets = nodes.select("node", "v").mapInArrow(kernel.releasing(_keys(k, tables, element)), "key long, node long, bits_1 long, bits_2 long")
+    members = buckets.repartition("key").sortWithinPartitions("key").mapInArrow(kernel.releasing(_thinned(bits_apart(threshold))), "key long, node long, n long")
     members = groups.blocked(members, F.col("n"), "node").join(nodes, "node").select("key", "block_i", "block_j", "block_side", "node", "copies", "v")
     members = members.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
-    return members.mapInArrow(_check(k, tables, threshold, pairs), "a long, b long, cosine double" if pairs else "node long, to long, links long")
+    return members.mapInArrow(kernel.releasing(_check(k, tables, element, threshold, pairs)), "a long, b long, cosine double" if pairs else "node long, to long, links long")
 
 
 def near_links(table: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, class_id, links) of every row: see the module's text."""
     rows, nodes, count = _nodes(table)
-    found = written(_checked(nodes, count, threshold, recall), "links")
+    found = written(_checked(nodes, count, _element(table), threshold, recall), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    parts = written(parts, "parts")
+    linked = nodes.where("copies = 1").join(links.join(parts, "node", "left"), "node").select(F.col("node").alias("row"), F.col("node"), "links", "component")
+    own = rows.join(linked, "row").select("row", "vec_id", F.coalesce("component", "node").alias("component"), "links")
     # rows whose vector others hold too are told by the vector; the others are their own node
     several = nodes.where("copies > 1").select(F.col("v").alias("same"), F.col("node").alias("first"), "copies")
-    placed = rows.where("v IS NOT NULL").join(several, F.col("v") == F.col("same")).select("row", "vec_id", "first", "copies")
-    linked = nodes.where("copies = 1").join(links.join(parts, "node", "left"), "node").select(F.col("node").alias("row"), F.col("node"), "links", "component")
-    own = placed.join(links, placed["first"] == links["node"], "left").drop("node").join(parts, F.col("first") == parts["node"], "left")
-    own = own.select("row", "vec_id", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    own = own.unionByName(rows.join(linked, "row").select("row", "vec_id", F.coalesce("component", "node").alias("component"), "links"))
+    if not several.isEmpty():
+        placed = rows.where("v IS NOT NULL").join(several, F.col("v") == F.col("same")).select("row", "vec_id", "first", "copies")
+        placed = placed.join(links, placed["first"] == links["node"], "left").drop("node").join(parts, F.col("first") == parts["node"], "left")
+        own = own.unionByName(placed.select("row", "vec_id", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     own = written(own, "linked")
     least = own.groupBy("component").agg(F.min("vec_id").alias("class_id"))
     told = own.join(least, "component").select("vec_id", "class_id", "links")
@@ -286,7 +292,7 @@ def near_links(table: DataFrame, threshold: float = THRESHOLD, recall: float = R
 def near_pairs(table: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_a, vec_b, cosine) between distinct vectors, each by its least row's id, vec_a < vec_b where they differ."""
     rows, nodes, count = _nodes(table)
-    found = _checked(nodes, count, threshold, recall, pairs=True)
+    found = _checked(nodes, count, _element(table), threshold, recall, pairs=True)
     name = nodes.join(rows.select(F.col("row").alias("node"), "vec_id"), "node").select("node", "vec_id")
     out = found.join(name.select(F.col("node").alias("a"), F.col("vec_id").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("vec_id").alias("y")), "b")
     return out.select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), F.round("cosine", 6).alias("cosine"))

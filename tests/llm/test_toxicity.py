@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -93,12 +94,11 @@ def test_a_long_clean_text_hides_nothing(spark):
 
 
 def test_trigrams_are_counted_over_all_documents(spark):
-    texts = ["The GARDEN, the garden; a p4th", "zxqvyk Čaj été", "Zxqvyk " + "x" * 70, "", None, "1234"]
+    texts = ["The GARDEN, the garden; a p4th", "zxqvyk Čaj été", "Zxqvyk " + "x" * 70, "", None, "1234", "“Москва” — yes…"]
     want: dict = {}
     for t in texts:
-        low = "".join(c.lower() if c.isascii() or ord(c) < 256 else c for c in t or "").encode()
-        for w in {x for x in bytes(b if toxicity.kernel.LETTER[b] else 32 for b in low).split(b" ") if x and len(x) <= 64}:
-            m = b"^" + w + b"$"
+        for w in set("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()):
+            m = b"^" + w.encode() + b"$"
             for i in range(len(m) - 2):
                 want[m[i : i + 3]] = want.get(m[i : i + 3], 0) + 1
     docs = table(spark, list(enumerate(texts)))
@@ -119,3 +119,110 @@ def test_a_rare_insult_of_a_small_language_is_evidence(spark):
     model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     test = table(spark, [(1, "a grobnicek"), (2, "a gr0bn1c3k"), (3, "a path and text"), (4, "a wretchedfool")])
     assert {r.doc_id: r.toxic for r in toxicity.score(test, model=model).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_ordinary_text_is_not_restored(spark):
+    docs, labels, half, model = learned(spark)
+    rows = [(1, "a well-known state-of-the-art e-mail: don't hum mmm, it's 3 o'clock and/or half-past"), (2, "an 1d10t, a w0rthle55 one"), (3, "an i.d.i.o.t")]
+    got = {r.doc_id: r.restored for r in toxicity.score(table(spark, rows), model=model).collect()}
+    assert got[1] == 0 and got[2] == 2 and got[3] >= 1
+
+
+# ------------------------------------------------- brute force, a character at a time
+def lower(text):
+    return "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) and len(c.lower()) == 1 else c for c in text or "")
+
+
+def words_of(text):
+    return "".join(c if c.isalpha() else " " for c in lower(text)).split()
+
+
+def grams_of(text):
+    flat = b" " + "".join(c if c.isalpha() else " " * len(c.encode()) for c in lower(text)).encode() + b" "
+    return flat, {flat[i : i + toxicity.GRAM] for i in range(len(flat) - toxicity.GRAM + 1)}
+
+
+def features_of(rows):
+    counts: dict = {}
+    for text, lang, toxic in rows:
+        words, key = {w.encode() for w in words_of(text)}, (lang or "").encode() + b"\0"
+        for k in [("w", w) for w in words] + [("g", g) for g in grams_of(text)[1]]:
+            counts.setdefault(k, [0, 0, 0])[1 - toxic] += 1
+        for k, n in [(("n", key), len(words)), *((("s", key + stem), n) for stem, n in Counter(w[: toxicity.STEM] for w in words if len(w) > toxicity.STEM).items())]:
+            c = counts.setdefault(k, [0, 0, 0])
+            c[1 - toxic] += n
+            c[2] += toxic
+    return [(*k, *c) for k, c in counts.items()]
+
+
+def weight_of(text, words, grams):
+    total = 0.0
+    for w in words_of(text):
+        raw = w.encode()
+        marked = b" " + raw + b" "
+        total += words[raw] if raw in words else max([0.0, *(grams.get(marked[i : i + toxicity.GRAM], 0.0) for i in range(len(marked) - toxicity.GRAM + 1))])
+    return total
+
+
+def suspicious(text):
+    sign, separator = set("0123456789@$!|+("), set("._-*~^'`,/\\")
+    tokens, at = [], 0
+    low = lower(text)
+    for t in "".join(c if c not in " \t\n\r\x0b\x0c" else " " for c in low).split(" "):
+        if t:
+            tokens.append((at, t))
+        at += len(t) + 1
+    for _, t in tokens:
+        p = [" ", " ", *t, " ", " "]
+        odd = any(
+            c in sign and p[i + 1].isalpha() or c in separator and p[i + 1].isalpha() and p[i - 1].isalpha() or c.isalpha() and c == p[i - 1] == p[i - 2] and len(c.encode()) <= 2
+            or c in sign and p[i - 1].isalpha() and (p[i + 1].isalpha() or p[i + 1] in sign)
+            for i, c in enumerate(p) if 2 <= i < len(p) - 2
+        )
+        if odd and any(c.isalpha() for c in t):
+            yield t
+    single = [len(t) == 1 and (t.isalpha() and ord(t) < 0x80 or t in sign or 0xC0 <= ord(t) < 0x800) for _, t in tokens] + [False]
+    run = 0
+    for i, one in enumerate(single):
+        if not one and run >= 3:
+            yield low[tokens[i - run][0] : tokens[i - 1][0] + 1]
+        run = run + 1 if one else 0
+
+
+def test_query_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    planted = [(-1, "you st.u.pid 1d10t", "en", "s"), (-2, "l o s e r and «\u0418\u0434\u0438\u043e\u0442» \u0436\u0436\u0436\u0436\u0430", "en", "s"), (-3, None, None, None), (-4, "", "en", "s")]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(table(spark, planted))
+    marks = {r.doc_id: r.toxic for r in labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect()}
+    rows = docs.collect()
+    seen: dict = {}
+    for r in rows:
+        if r.text is not None and marks.get(r.doc_id) is not None:
+            old = seen.get(r.text, (None, 0))
+            seen[r.text] = (min(x for x in (r.lang, old[0]) if x is not None), max(marks[r.doc_id], old[1]))
+    sample = [(t, *v) for t, v in seen.items()]
+    toxic = sum(x[2] for x in sample)
+    clean = len(sample) - toxic
+    trigrams = Counter(m[i : i + 3] for r in rows for w in set(words_of(r.text)) for m in [b"^" + w.encode() + b"$"] for i in range(len(m) - 2))
+    wanted = [f for f in features_of(sample) if f[0] == "n" or f[2] >= toxicity.LEAST_TOXIC and f[2] * clean > 2 * f[3] * toxic]
+    model = toxicity.build(wanted, toxic, clean, trigrams)
+    mine = toxicity.train(docs, labels)
+    for part in ("words", "grams"):
+        assert (model[part][0] == mine[part][0]).all() and abs(model[part][1] - mine[part][1]).max(initial=0) < 1e-9
+    words = {}
+    for kind, key, a, b, _ in wanted:
+        if kind == "w" and (k := int(toxicity.kernel.lookup(model["words"][0], toxicity.kernel.hash_words([key]))[0])) >= 0:
+            words[key] = float(model["words"][1][k])
+    grams = {int(g).to_bytes(8, "little")[: toxicity.GRAM]: float(w) for g, w in zip(*model["grams"], strict=True)}
+    stems = {int(k).to_bytes(8, "little")[: toxicity.STEM]: tuple(r) for k, r in zip(*model["stems"], strict=True)}
+    channel = toxicity.Channel(trigrams)
+    got = {r.doc_id: r for r in toxicity.score(docs, model=mine).collect()}
+    for r in rows:
+        own = {w.encode() for w in words_of(r.text)}
+        want = model["prior"] + weight_of(r.text, words, grams)
+        want += max([0.0, *(sum(w[: toxicity.STEM] == k and len(w) > toxicity.STEM for w in own) * math.log(a / b) - len(own) * (a - b) for k, (a, b) in stems.items() if any(w[: toxicity.STEM] == k and len(w) > toxicity.STEM for w in own))])
+        for token in suspicious(r.text):
+            token = token.rstrip(".,;:!?\"'()")
+            if (reading := channel.restore(token)) != token.encode():
+                want += max(0.0, weight_of(reading.decode(errors="replace"), words, grams) - weight_of(token, words, grams))
+        assert abs(got[r.doc_id].score - want) < 1e-5 and got[r.doc_id].toxic == (want > 0), (r.doc_id, got[r.doc_id].score, want)
