@@ -2,13 +2,14 @@
 
 Copies within one Arrow batch are folded before anything moves, so a text that
 fills the corpus crosses the shuffle once a batch. What is left is shuffled once,
-by its text's hash, so equal texts meet in one bucket of the index (a shuffle
-partition). There a cuckoo filter holds the fingerprint
-of every live digest. A text whose fingerprint is absent is new without further
-work; a hit is checked against the bucket's stored content, byte for byte, so a
-fingerprint or digest collision never drops a document. Fingerprints can be
-deleted again; an insertion that finds no room doubles the table and refills it
-from the stored digests.
+by its text's 64-bit digest, so equal texts meet in one bucket of the index (a shuffle
+partition), in the digest's order. A cuckoo filter over the live digests alone says
+what is there: an absent digest is new without further work, a hit is checked against
+the bucket's content of that digest, byte for byte, so neither a fingerprint's nor a
+digest's collision drops a document. Content is kept only while its digest is under
+way, since the bucket is sorted: what stays in memory is two bytes a fingerprint and
+eight a digest, from which an overflowing filter is made anew at twice the size.
+Digests whose last copy is deleted leave the filter (``replay``).
 
 Defined cases: the least doc_id of equal texts is kept (a null id sorts first);
 rows with equal ids and texts are copies, of which one stays; a null text is
@@ -23,129 +24,180 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernel import fresh
+from tessera.llm.kernel import fresh, releasing
 
 
 class CuckooFilter:
-    """Partial-key cuckoo filter: 4 fingerprints of 16 bits a bucket, full digests kept for resizing.
+    """Partial-key cuckoo filter: 4 fingerprints of 16 bits a bucket, the live digests stored for resizing.
 
-    ``keys`` is a function that lists the live 64-bit digests."""
+    Digests are 64-bit numbers in arrays; one that is inserted twice stands in it twice."""
 
-    WAYS, KICKS = 4, 200
+    WAYS, KICKS, FULL = 4, 200, 0.9
 
-    def __init__(self, keys, buckets: int = 256):
-        self.keys, self.resizes = keys, 0
+    def __init__(self, buckets: int = 256):
+        self.resizes, self._turn = 0, 0
+        self.keys, self.size = np.zeros(256, np.uint64), 0
         self._make(buckets)
 
     def _make(self, buckets: int) -> None:
-        self.mask = buckets - 1
-        self.slots = [0] * (buckets * self.WAYS)
-        self._turn = 0
-
-    def _places(self, digest: int) -> tuple[int, int, int]:
-        mark = (digest >> 48) or 1
-        one = digest & self.mask
-        return mark, one, one ^ (mark * 0x5BD1E995 & self.mask)
-
-    def __contains__(self, digest: int) -> bool:
-        mark, one, two = self._places(digest)
-        s, w = self.slots, self.WAYS
-        return mark in s[one * w : one * w + w] or mark in s[two * w : two * w + w]
-
-    def _put(self, digest: int) -> bool:
-        mark, one, two = self._places(digest)
-        s, w = self.slots, self.WAYS
+        self.mask = np.uint64(buckets - 1)
+        self.slots = np.zeros((buckets, self.WAYS), np.uint16)
+
+    def _hop(self, mark):
+        return mark * np.uint64(0x5BD1E995) & self.mask
+
+    def _places(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mark = np.maximum(digests >> np.uint64(48), np.uint64(1))
+        one = digests & self.mask
+        return mark.astype(np.uint16), one.astype(np.int64), (one ^ self._hop(mark)).astype(np.int64)
+
+    def contains(self, digests) -> np.ndarray:
+        mark, one, two = self._places(np.asarray(digests, np.uint64))
+        return (self.slots[one] == mark[:, None]).any(axis=1) | (self.slots[two] == mark[:, None]).any(axis=1)
+
+    def insert(self, digests) -> None:
+        """Add digests. On overflow the table doubles and is filled again from the stored ones."""
+        digests = np.asarray(digests, np.uint64)
+        if self.size + len(digests) > len(self.keys):
+            self.keys = np.concatenate([self.keys[: self.size], np.zeros(max(self.size, len(digests)), np.uint64)])
+        self.keys[self.size : self.size + len(digests)] = digests
+        self.size += len(digests)
+        new = digests
+        while self.size > self.FULL * self.slots.size or not self._put(new):
+            self.resizes += 1
+            self._make(2 * len(self.slots))
+            new = self.keys[: self.size]
+
+    def _put(self, digests: np.ndarray) -> bool:
+        mark, one, two = self._places(digests)
+        left = np.arange(len(digests))
         for place in (one, two):
-            for i in range(place * w, place * w + w):
-                if not s[i]:
-                    s[i] = mark
-                    return True
-        place = two
+            for way in range(self.WAYS):
+                free = np.flatnonzero(self.slots[place[left], way] == 0)
+                bucket, first = np.unique(place[left[free]], return_index=True)  # one for each bucket
+                self.slots[bucket, way] = mark[left[free[first]]]
+                left = np.delete(left, free[first])
+        return all(self._kick(int(mark[i]), int(two[i])) for i in left.tolist())
+
+    def _kick(self, mark: int, place: int) -> bool:
         for _ in range(self.KICKS):
-            self._turn = (self._turn + 1) % w
-            i = place * w + self._turn
-            s[i], mark = mark, s[i]
-            place ^= mark * 0x5BD1E995 & self.mask
-            for i in range(place * w, place * w + w):
-                if not s[i]:
-                    s[i] = mark
-                    return True
+            self._turn = (self._turn + 1) % self.WAYS
+            mark, self.slots[place, self._turn] = int(self.slots[place, self._turn]), mark
+            place ^= mark * 0x5BD1E995 & int(self.mask)
+            free = np.flatnonzero(self.slots[place] == 0)
+            if len(free):
+                self.slots[place, free[0]] = mark
+                return True
         return False
 
-    def insert(self, digest: int) -> None:
-        """Add a digest; the caller's ``keys`` must list it already. On overflow the table doubles."""
-        if self._put(digest):
-            return
-        size = self.mask + 1
-        while True:
-            size *= 2
-            self.resizes += 1
-            self._make(size)
-            if all(self._put(k) for k in self.keys()):
-                return
-
     def delete(self, digest: int) -> bool:
-        """Take out one fingerprint of a live digest."""
-        mark, one, two = self._places(digest)
-        w = self.WAYS
-        for place in (one, two):
-            for i in range(place * w, place * w + w):
-                if self.slots[i] == mark:
-                    self.slots[i] = 0
-                    return True
+        """Take out one fingerprint of a live digest, and the digest from those stored."""
+        mark, one, two = self._places(np.array([digest], np.uint64))
+        for place in (int(one[0]), int(two[0])):
+            at = np.flatnonzero(self.slots[place] == mark[0])
+            if len(at):
+                self.slots[place, at[0]] = 0
+                last = self.size - 1  # mostly the latest one, as a bucket is worked through in order
+                held = np.array([last]) if last >= 0 and self.keys[last] == np.uint64(digest) else np.flatnonzero(self.keys[: self.size] == np.uint64(digest))
+                if len(held):
+                    self.size -= 1
+                    self.keys[held[0]] = self.keys[self.size]
+                return True
         return False
 
 
 class Bucket:
-    """One bucket of the index: the filter, and the live contents it is verified against."""
+    """One bucket of the index, which meets its rows in their digests' order.
 
-    def __init__(self, digest=xxhash.xxh3_64_intdigest):
-        self.digest = digest
-        self.live: dict[int, list] = {}
-        self.filter = CuckooFilter(self._keys)
-        self.false_hits = 0
+    ``held``: the live contents of the digest under way, as [holder, text, copies]."""
 
-    def _keys(self):
-        return list(self.live)
+    def __init__(self):
+        self.filter = CuckooFilter()
+        self.digest: int | None = None
+        self.held: list[list] = []
+        self.false_hits = 0
 
-    def insert(self, doc_id, text: bytes):
+    def judge(self, digests: np.ndarray, ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(whether each row's content was there before, the id that holds it). A null text is new and not kept."""
+        n, texts = len(digests), texts.cast(pa.large_binary())
+        rows = np.flatnonzero(np.asarray(texts.is_valid()))
+        copy, holder, values = np.zeros(n, bool), np.arange(n), []
+        if not len(rows):
+            return copy, ids
+        d = digests[rows]
+        begins = np.ones(len(rows), bool)
+        begins[1:] = d[1:] != d[:-1]
+        begins[0] = self.digest is None or int(d[0]) != self.digest
+        # a digest that begins has no content here yet: a hit is another one's fingerprint
+        self.false_hits += int(self.filter.contains(d[begins]).sum())
+        self.filter.insert(d[begins])
+        more = np.flatnonzero(~begins)
+        there = self.filter.contains(d[more])
+        run, starts = np.cumsum(begins), np.flatnonzero(begins)
+
+        def first_of(r: int) -> list[list]:
+            at = int(rows[starts[r - 1]])
+            return [[ids[at].as_py(), texts[at].as_py(), 1]]
+
+        now, held = 0, self.held
+        for k, hit in zip(more.tolist(), there.tolist(), strict=True):
+            if run[k] != now:
+                now, held = int(run[k]), first_of(int(run[k]))
+            row = int(rows[k])
+            text = texts[row].as_py()
+            same = next((h for h in held if h[1] == text), None) if hit else None
+            if same is None:
+                held.append([ids[row].as_py(), text, 1])
+            else:
+                same[2] += 1
+                copy[row], holder[row] = True, n + len(values)
+                values.append(same[0])
+        self.digest = int(d[-1])
+        self.held = held if run[-1] == now else first_of(int(run[-1]))
+        return copy, pa.concat_arrays([ids, pa.array(values, ids.type)]).take(pa.array(holder))
+
+    def _turn_to(self, digest: int) -> bool:
+        """Whether the filter holds the digest, whose contents are now under way."""
+        if digest != self.digest:
+            self.digest, self.held = digest, []
+        hit = bool(self.filter.contains([digest])[0])
+        self.false_hits += hit and not self.held
+        return hit
+
+    def insert(self, digest: int, doc_id, text: bytes):
         """The id that holds this content already, else ``doc_id`` itself, which then holds it; and whether it was new."""
-        d = self.digest(text)
-        if d in self.filter:
-            for held in self.live.get(d, ()):
-                if held[1] == text:
-                    held[2] += 1
-                    return held[0], False
-            self.false_hits += 1
-        if d in self.live:  # a digest stands in the filter once, whatever contents share it
-            self.live[d].append([doc_id, text, 1])
-        else:
-            self.live[d] = [[doc_id, text, 1]]
-            self.filter.insert(d)
+        same = next((h for h in self.held if h[1] == text), None) if self._turn_to(digest) else None
+        if same is not None:
+            same[2] += 1
+            return same[0], False
+        if not self.held:  # a digest stands in the filter once, whatever contents share it
+            self.filter.insert([digest])
+        self.held.append([doc_id, text, 1])
         return doc_id, True
 
-    def delete(self, text: bytes) -> bool:
+    def delete(self, digest: int, text: bytes) -> bool:
         """Forget one copy of a content; with its last copy the digest leaves the filter."""
-        d = self.digest(text)
-        if d not in self.filter:
+        same = next((h for h in self.held if h[1] == text), None) if self._turn_to(digest) else None
+        if same is None:
             return False
-        for held in self.live.get(d, ()):
-            if held[1] == text:
-                held[2] -= 1
-                if not held[2]:
-                    self.live[d].remove(held)
-                    if not self.live[d]:
-                        del self.live[d]
-                        self.filter.delete(d)
-                return True
-        return False
+        same[2] -= 1
+        if not same[2]:
+            self.held.remove(same)
+            if not self.held:
+                self.filter.delete(digest)
+        return True
+
+
+def _digests(batch: pa.RecordBatch) -> np.ndarray:
+    """The digests, which are the last column."""
+    return np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64)
 
 
 def _bucketed(df: DataFrame, text: str, order: list) -> tuple[DataFrame, str]:
+    """Rows by their text's digest, in its order, as the last column."""
     key = fresh("bucket_key", df.columns)
     keyed = df.withColumn(key, F.xxhash64(F.col(f"`{text}`"), F.when(F.col(f"`{text}`").isNull(), F.col(order[0]))))
     return keyed.repartition(key).sortWithinPartitions(key, *order), key
@@ -186,15 +238,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket()
         for batch in batches:
-            texts, first, ids = batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            found = [(i, True) if t is None else bucket.insert(i, t) for i, t in zip(first, texts, strict=True)]
+            first, ids = batch.column(1), batch.column(2)
+            again, kept = bucket.judge(_digests(batch), first, batch.column(0))
             sizes = np.asarray(pc.list_value_length(ids)).astype(np.int64)
             copy = np.ones(int(sizes.sum()), bool)
-            copy[np.cumsum(sizes) - sizes] = [not f[1] for f in found]
-            kept = pa.array([f[0] for f in found], batch.column(1).type).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([ids.flatten(), kept, pa.array(copy)], ["doc_id", "kept_id", "duplicate"])
+            copy[np.cumsum(sizes) - sizes] = again
+            yield pa.RecordBatch.from_arrays([ids.flatten(), kept.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(copy)], ["doc_id", "kept_id", "duplicate"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, kept_id {kind}, duplicate boolean")
+    return rows.mapInArrow(releasing(run), f"doc_id {kind}, kept_id {kind}, duplicate boolean")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
@@ -212,11 +263,10 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket()
         for batch in batches:
-            ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).cast(pa.large_binary()).to_pylist()
-            keep = pa.array([t is None or bucket.insert(i, t)[1] for i, t in zip(ids, texts, strict=True)], pa.bool_())
-            yield batch.select(list(range(batch.num_columns - 1))).filter(keep)
+            again, _ = bucket.judge(_digests(batch), batch.column(id_at), batch.column(text_at))
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(~again))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(releasing(run), docs.schema)
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -231,15 +281,15 @@ def replay(log: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket()
         for batch in batches:
-            ops, ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary()).to_pylist()
+            ops, ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()
             holder, applied = [], []
-            for op, i, t in zip(ops, ids, texts, strict=True):
-                h, a = (None, False) if t is None or op not in ("insert", "delete") else bucket.insert(i, t) if op == "insert" else (None, bucket.delete(t))
+            for op, i, t, d in zip(ops, ids, texts, _digests(batch).tolist(), strict=True):
+                h, a = (None, False) if t is None or op not in ("insert", "delete") else bucket.insert(d, i, t) if op == "insert" else (None, bucket.delete(d, t))
                 holder.append(h)
                 applied.append(a)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(holder, batch.column(2).type), pa.array(applied, pa.bool_())], ["seq", "op", "doc_id", "holder_id", "applied"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 ORACLE = """
@@ -248,3 +298,20 @@ SELECT doc_id,
        text IS NOT NULL AND row_number() OVER w > 1 AS duplicate
 FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id NULLS FIRST)
 """
+
+
+def log_of(docs: DataFrame) -> DataFrame:
+    """Every document inserted by its id's order, and every third one's text deleted right after."""
+    rows = docs.select((F.col("doc_id") * 2).alias("seq"), F.lit("insert").alias("op"), "doc_id", "text")
+    gone = docs.where("doc_id % 3 = 0").select((F.col("doc_id") * 2 + 1).alias("seq"), F.lit("delete").alias("op"), F.lit(None).cast("long").alias("doc_id"), "text")
+    return rows.unionByName(gone)
+
+
+REPLAY_ORACLE = """
+WITH l AS (SELECT doc_id * 2 AS seq, 'insert' AS op, doc_id, text, 1 AS d FROM documents
+  UNION ALL SELECT doc_id * 2 + 1, 'delete', NULL, text, -1 FROM documents WHERE doc_id % 3 = 0),
+c AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY text ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+h AS (SELECT *, max(CASE WHEN op = 'insert' AND before = 0 THEN seq END) OVER (PARTITION BY text ORDER BY seq) AS since FROM c)
+SELECT seq, op, doc_id, CASE WHEN op = 'insert' AND text IS NOT NULL THEN since // 2 END AS holder_id,
+       text IS NOT NULL AND CASE op WHEN 'insert' THEN before = 0 ELSE before > 0 END AS applied FROM h
+"""

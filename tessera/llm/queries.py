@@ -13,6 +13,7 @@ QUERIES = {
     "op1_sharding": lambda spark, d: sharding.shard_documents(_table(spark, d)),
     "op2_bpe": lambda spark, d: bpe.encode(_table(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact.exact_dedup(_table(spark, d)),
+    "exact_replay": lambda spark, d: exact.replay(exact.log_of(_table(spark, d))),
     "op4_suffix_dedup": lambda spark, d: suffix.repeated_passages(_table(spark, d)),
     "op5_secret_scan": lambda spark, d: secrets.scan(_table(spark, d)),
     "op6_embedding_dedup": lambda spark, d: vectors.near_links(_table(spark, d, "embeddings")),
@@ -26,6 +27,7 @@ QUERIES = {
 ORACLES = {
     "op1_sharding": sharding.ORACLE,
     "op3_exact_dedup": exact.ORACLE,
+    "exact_replay": exact.REPLAY_ORACLE,
     "op5_secret_scan": secrets.ORACLE,
     "op6_embedding_dedup": vectors.ORACLE,
     "embedding_planted": vectors.PLANTED_ORACLE,
