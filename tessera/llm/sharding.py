@@ -7,7 +7,8 @@ so the map is the one thing here that is broadcast (its size is a constant).
 
 Defined cases: a null key hashes like the empty string; a null text weighs 0
 bytes; repeated rows share a slot and each adds its bytes; an empty table leaves
-version 2 equal to version 1; columns other than key and text are ignored.
+version 2 equal to version 1; of texts of no bytes at all, slots of removed shards go
+to the first shard; columns other than key and text are ignored.
 """
 
 from __future__ import annotations
@@ -53,15 +54,19 @@ def rebalance(mapping: DataFrame, weights: DataFrame, shards: int = SHARDS, slac
 
     ``mapping``: (version, slot, shard), one row for each slot. Each shard keeps
     its slots in slot order while they fit under the mean load plus the slack, and
-    releases the rest; released slots, in slot order, fill the shards' free room
-    in shard order. A shard ends within its limit plus one slot."""
+    releases the rest, a shard beyond ``shards`` all of them; released slots, in slot
+    order, fill the shards' free room in shard order. A shard ends within its limit
+    plus one slot."""
+    if not 1 <= shards <= SLOTS:
+        raise ValueError(f"shards must be 1..{SLOTS}")
     w = mapping.join(weights.select("slot", "n_bytes"), "slot", "left").select("version", "slot", "shard", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
     whole = Window.partitionBy(F.lit(0))
     # SLOTS rows in all: windows over one partition are of constant size
     w = w.withColumn("cap", F.ceil(F.sum("n_bytes").over(whole) * (100 + slack_percent) / (100 * shards)))
     w = w.withColumn("cum", F.sum("n_bytes").over(Window.partitionBy("shard").orderBy("slot")))
-    kept = w.where("cum <= cap").select("version", "slot", "shard", "n_bytes", "cap")
-    freed = w.where("cum > cap").select("version", "slot", "n_bytes", (F.sum("n_bytes").over(Window.partitionBy(F.lit(0)).orderBy("slot")) - F.col("n_bytes")).alias("at"))
+    stays = (F.col("cum") <= F.col("cap")) & F.col("shard").between(0, shards - 1)
+    kept = w.where(stays).select("version", "slot", "shard", "n_bytes", "cap")
+    freed = w.where(~stays).select("version", "slot", "n_bytes", (F.sum("n_bytes").over(Window.partitionBy(F.lit(0)).orderBy("slot")) - F.col("n_bytes")).alias("at"))
     load = kept.groupBy("shard").agg(F.sum("n_bytes").alias("load"))
     cap = w.agg(F.max("cap").alias("cap"))
     room = (
@@ -70,11 +75,11 @@ def rebalance(mapping: DataFrame, weights: DataFrame, shards: int = SHARDS, slac
         .join(load, "shard", "left")
         .crossJoin(cap)
         .select("shard", (F.col("cap") - F.coalesce("load", F.lit(0))).alias("room"))
-        .where("room > 0")
+        .where("room > 0")  # some room there always is: the limits sum to more than the load
         .withColumn("upto", F.sum("room").over(Window.partitionBy(F.lit(0)).orderBy("shard")))
         .select("shard", (F.col("upto") - F.col("room")).alias("from_"), "upto")
     )
-    moved = freed.join(F.broadcast(room), (F.col("at") >= F.col("from_")) & (F.col("at") < F.col("upto"))).select("version", "slot", "shard")
+    moved = freed.join(F.broadcast(room), (F.col("at") >= F.col("from_")) & (F.col("at") < F.col("upto")), "left").select("version", "slot", F.coalesce("shard", F.lit(0)).alias("shard"))
     return kept.select("version", "slot", "shard").unionByName(moved).withColumn("version", F.col("version") + 1)
 
 
@@ -91,8 +96,11 @@ class SlotMap:
         return self.spark.read.schema("version int, slot int, shard int").parquet(f"{self.root}/v={version}")
 
     def edit(self, version: int, moves: dict[int, int]) -> int:
-        """Move single slots by hand; gives the new version's number."""
+        """Move single slots by hand; gives the new version's number. Slots that there are not, and negative shards, are an error."""
         old = self.load(version)
+        bad = {s: t for s, t in moves.items() if not 0 <= s < SLOTS or not 0 <= t < SLOTS}
+        if bad:
+            raise ValueError(f"no such slot or shard: {bad}")
         if moves:
             given = self.spark.createDataFrame([(int(s), int(t)) for s, t in moves.items()], "slot int, to_ int")
             old = old.join(F.broadcast(given), "slot", "left").select("version", "slot", F.coalesce("to_", "shard").alias("shard"))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from tests.llm.data import SF, documents
@@ -29,3 +31,24 @@ def test_versions_stay(spark, tmp_path):
     assert {s for s in one if one[s] != two[s]} == {0, 4095} and two[0] == 3
     with pytest.raises(Exception, match="(?i)exists"):
         store.save(sharding.initial_map(spark, 4), 1)
+
+
+@pytest.mark.parametrize("heavy", [1000, 0])
+def test_fewer_shards_leave_no_slot_on_a_removed_one(spark, heavy):
+    weights = spark.range(sharding.SLOTS).selectExpr("CAST(id AS int) AS slot", f"CAST({heavy} AS long) AS n_bytes")
+    old = sharding.initial_map(spark, 64)
+    rows = sharding.rebalance(old, weights, 32).collect()
+    assert sorted(r.slot for r in rows) == list(range(sharding.SLOTS)) and {r.shard for r in rows} <= set(range(32))
+    if heavy:
+        load = Counter(r.shard for r in rows)
+        assert max(load.values()) <= 1.05 * sharding.SLOTS / 32 + 1
+        before = {r.slot: r.shard for r in old.collect()}
+        assert all(before[r.slot] == r.shard for r in rows if before[r.slot] < 32)
+
+
+def test_edits_name_slots_that_exist(spark, tmp_path):
+    store = sharding.SlotMap(spark, str(tmp_path / "map"))
+    store.save(sharding.initial_map(spark, 4), 1)
+    for moves in ({sharding.SLOTS: 0}, {-1: 0}, {0: -1}):
+        with pytest.raises(ValueError, match="no such slot"):
+            store.edit(1, moves)
