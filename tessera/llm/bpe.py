@@ -22,6 +22,7 @@ reuses it as well.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,14 +57,20 @@ class Vocabulary:
 
     @classmethod
     def cached(cls, raw: bytes) -> Vocabulary:
-        cache = kernel.worker_cache()
-        if cache.get("vocabulary", (None,))[0] != len(raw):
-            cache["vocabulary"] = (len(raw), cls(raw))
+        cache, key = kernel.worker_cache(), hashlib.sha256(raw).digest()
+        if cache.get("vocabulary", (None,))[0] != key:
+            cache["vocabulary"] = (key, cls(raw))
         return cache["vocabulary"][1]
 
     def encode(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(self.encoding._core_bpe.encode_to_tiktoken_buffer(raw.decode(), set()), np.uint32)
 
+    def text(self, tokens: list | None) -> str | None:
+        """The text of tokens, null where one is unknown."""
+        if tokens is None or any(t is None or not 0 <= t < len(self.lengths) or not self.lengths[t] for t in tokens):
+            return None
+        return self.decode(tokens).decode(errors="replace")
+
     def decode(self, tokens) -> bytes:
         return self.encoding.decode_bytes(tokens.tolist() if isinstance(tokens, np.ndarray) else tokens)
 
@@ -214,7 +221,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
         shared_words = spark.sparkContext.broadcast(f.read())  # a fixed file of under 2 MB
     k, owner, own, part_key, parts_name = (fresh(n, taken) for n in ("chunk_key", "chunk_owner", "chunk_own", "chunk_part_key", "chunk_parts"))
     keyed = docs.withColumn(k, F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
-    cut = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), "text").mapInArrow(_chunk_rows, "digest binary, k long, start int, size int, n long")
+    cut = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), "text").mapInArrow(kernel.releasing(_chunk_rows), "digest binary, k long, start int, size int, n long")
     # places are joined to their chunk, never collected by it: a chunk may stand in any number of documents
     chunks = written(cut.groupBy("digest", "k", "start", "size").agg(F.sum("n").alias("n")), "chunks")
     again = chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.sum("n").alias("n")).where("n > 1").select("digest", "owner")
@@ -244,7 +251,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
     text_at = docs.columns.index("text")
     # both joins read one and the same shuffle of the documents
-    once = keyed.join(owned, keyed[k] == owned[owner]).mapInArrow(encode_owned, "digest binary, tokens binary").dropDuplicates(["digest"])
+    once = keyed.join(owned, keyed[k] == owned[owner]).mapInArrow(kernel.releasing(encode_owned), "digest binary, tokens binary").dropDuplicates(["digest"])
     parts = places.select("digest", F.col("k").alias(part_key), "start", "size").join(once, "digest").select(part_key, F.struct("start", "size", "tokens").alias("part"))
     plan = parts.groupBy(part_key).agg(F.collect_list("part").alias(parts_name))
     names = [fresh(n, taken) for n in ("tokens", "n_tokens", "exact")]
@@ -281,7 +288,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: width - 1], column, count, pa.array(good, pa.bool_())], columns)
 
     schema = StructType([*docs.schema.fields, StructField(names[0], ArrayType(IntegerType())), StructField(names[1], LongType()), StructField(names[2], BooleanType())])
-    return keyed.join(plan, keyed[k] == plan[part_key], "left").mapInArrow(finish, schema)
+    return keyed.join(plan, keyed[k] == plan[part_key], "left").mapInArrow(kernel.releasing(finish), schema)
 
 
 def _unpack(packed: bytes, size: int, words: Vocabulary) -> np.ndarray:
@@ -298,15 +305,18 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) from (doc_id, tokens); null tokens give a null text."""
+    """(doc_id, text) from (doc_id, tokens); null tokens give a null text.
+
+    Tokens that are in no vocabulary, or null ones, make the text null; bytes that are no
+    UTF-8 (tokens that cut a character) become U+FFFD."""
     with open(vocabulary, "rb") as f:
         shared_words = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary.cached(shared_words.value)
         for batch in batches:
-            text = [None if t is None else words.decode(t).decode() for t in batch.column(1).to_pylist()]
+            text = [words.text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "tokens").mapInArrow(kernel.releasing(run), f"doc_id {kind}, text string")

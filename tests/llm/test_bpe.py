@@ -62,3 +62,25 @@ def test_packed_tokens_come_back():
     for tokens in ([], [1, 2, 3], [70000, 5]):
         x = np.array([t for t in tokens if t < len(WORDS.lengths)], np.uint32)
         assert bpe._unpack(bpe._pack(x), int(WORDS.lengths[x].sum()) if len(x) else 0, WORDS).tolist() == x.tolist()
+
+
+def test_unknown_tokens_and_cut_characters(spark):
+    cut = WORDS.encoding.encode_ordinary("\U0001f600")
+    rows = [(1, [10**6]), (2, [-1]), (3, None), (4, []), (5, [None]), (6, cut[:1])]
+    got = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, tokens array<int>")).collect()}
+    assert got[1] is got[2] is got[3] is got[5] is None and got[4] == "" and (len(cut) == 1 or "\ufffd" in got[6])
+
+
+def test_vocabularies_of_one_size_are_told_apart(spark, tmp_path):
+    import base64
+
+    def file(name, order):
+        letters = [bytes((b,)) for b in range(256)]
+        letters[97], letters[98] = letters[order], letters[195 - order]
+        path = tmp_path / name
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(letters)))
+        return str(path)
+
+    docs = table(spark, [(1, "ab")])
+    one, two = file("one", 97), file("two", 98)
+    assert [list(bpe.encode(docs, v).collect()[0].tokens) for v in (one, two, one)] == [[97, 98], [98, 97], [97, 98]]
