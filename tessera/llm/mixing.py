@@ -22,7 +22,7 @@ place. There are at most as many segments as sources, each with one period. Only
 with ``targets``, which are weights to hold, the mix ends at that slot, and later
 blocks get a null position. A source's last block may be short. Defined cases: a null source is a source of its own; rows with the
 same id tie, and are told apart by their text's hash, then by nothing (equal
-rows are interchangeable); an empty table gives an empty result; a source that
+rows are interchangeable); a table without ``source`` is one source; an empty table gives an empty result; a source that
 ``targets`` leaves out, or gives 0, has no position, and one that has no rows is
 left out of the weights; extra columns are carried.
 """
@@ -43,6 +43,7 @@ BLOCK = 4
 ALPHA = 0.7
 PERIOD = 1000
 BUCKETS = 1024
+BROADCAST_ROWS = 1 << 18
 
 
 def integer_weights(weights: dict, period: int = PERIOD) -> dict:
@@ -114,7 +115,12 @@ def segments(weights: dict, blocks: dict, period: int = PERIOD, go_on: bool = Tr
 
 
 def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with mix_block and mix_position (row order of the mix, null without a place in it) added.
+    """``docs`` with mix_block and mix_position (row order of the mix, null without a place in it) added."""
+    return _mix(docs, targets, block, period, alpha, buckets)[0]
+
+
+def _mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+    """``mix``, and a bound that all positions are under.
 
     A source's rows are numbered without a sort over the whole source: rows are
     counted by (source, hash bucket), the counts summed up, and only the rows of
@@ -127,7 +133,8 @@ def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period
     s, h, b, r, before, k, slot = (new[n] for n in ("mix_s", "mix_h", "mix_b", "mix_r", "mix_before", "mix_k", "mix_slot"))
     g, c, q, low, high, start = (new[n] for n in ("mix_g", "mix_c", "mix_q", "mix_from", "mix_to", "mix_start"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.withColumn(s, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))).withColumn(h, F.md5(key.cast("binary")))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.withColumn(s, F.coalesce(F.concat(F.lit("="), source), F.lit("null"))).withColumn(h, F.md5(key.cast("binary")))
     rows = rows.withColumn(b, F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
     counts = written(rows.groupBy(s, b).agg(F.count("*").alias(r)), "mix-counts")
     totals = {x[s]: x["n"] for x in counts.groupBy(s).agg(F.sum(r).alias("n")).collect()}
@@ -147,15 +154,22 @@ def mix(docs: DataFrame, targets: dict | None = None, block: int = BLOCK, period
     held = spark.createDataFrame(stretches, f"`{s}` string, `{g}` int, `{c}` long, `{q}` long, `{low}` long, `{high}` long, `{start}` long")
     slots = spark.createDataFrame(table, f"`{g}` int, `{s}` string, `{k}` long, `{slot}` long")
     tie = [h, F.col("doc_id"), F.xxhash64("text")]
-    # starts: sources x buckets rows, held: sources x segments, slots: one period a segment; none grows with the rows
-    placed = rows.join(F.broadcast(starts), [s, b]).withColumn(r, F.row_number().over(Window.partitionBy(s, b).orderBy(*tie)) - 1 + F.col(before)).withColumn(new["mix_block"], F.floor(F.col(r) / block))
-    held = F.broadcast(held.withColumnRenamed(s, other := fresh("mix_other", taken)))
+    # starts: sources x buckets rows, held: sources x segments, slots: one period a segment; with very many sources they are shuffled
+    starts, held, slots = (_small(x, n) for x, n in ((starts, len(totals) * buckets), (held, len(stretches)), (slots, len(table))))
+    placed = rows.join(starts, [s, b]).withColumn(r, F.row_number().over(Window.partitionBy(s, b).orderBy(*tie)) - 1 + F.col(before)).withColumn(new["mix_block"], F.floor(F.col(r) / block))
+    held = held.withColumnRenamed(s, other := fresh("mix_other", taken))
     placed = placed.join(held, (F.col(s) == F.col(other)) & (F.col(new["mix_block"]) >= F.col(low)) & (F.col(new["mix_block"]) < F.col(high)), "left")
     nth = F.col(new["mix_block"]) - F.col(low)
-    placed = placed.withColumn(k, nth % F.col(c)).join(F.broadcast(slots), [g, s, k], "left")
+    placed = placed.withColumn(k, nth % F.col(c)).join(slots, [g, s, k], "left")
     at = F.col(start) + F.floor(nth / F.col(c)) * F.col(q) + F.col(slot)
     position = at * block + F.col(r) % block
-    return placed.withColumn(new["mix_position"], position.cast("long")).select(*[F.col(f"`{x}`") for x in docs.columns], new["mix_block"], new["mix_position"])
+    placed = placed.withColumn(new["mix_position"], position.cast("long")).select(*[F.col(f"`{x}`") for x in docs.columns], new["mix_block"], new["mix_position"])
+    return placed, sum(-(-n // block) for n in totals.values()) * block
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
@@ -166,6 +180,9 @@ def mix_query(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, in its order, with the columns of ``docs``."""
-    position = fresh("mix_position", docs.columns)
-    out = mix(docs)
-    return out.where(F.col(position).isNotNull()).orderBy(position).select(*[F.col(f"`{x}`") for x in docs.columns])
+    position, part = fresh("mix_position", docs.columns), fresh("mix_part", docs.columns)
+    placed, end = _mix(docs)
+    # places are dense, so equal runs of them make the partitions: no sampling, which would make the mix twice
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = F.floor(F.col(position) * partitions / F.lit(max(end, 1))).cast("int")
+    return placed.withColumn(part, run).repartitionById(partitions, part).sortWithinPartitions(position).select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -132,7 +132,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(node, doc_id, text_hash, sketch, bands) of every document, written; ``node`` numbers its row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    signed = rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, sketch binary, bands array<long>")
+    signed = rows.mapInArrow(kernel.releasing(_sign), f"doc_id {kind}, text_hash long, sketch binary, bands array<long>")
     return written(signed.select(F.monotonically_increasing_id().alias("node"), "*"), "signatures")
 
 
@@ -184,7 +184,7 @@ def near_edges(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = told.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key", "n")
     members = groups.blocked(bands.join(buckets, "key"), F.col("n"), "node").join(reps.select("node", "sketch"), "node")
     members = members.select("key", "block_i", "block_j", "block_side", "node", "sketch").repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
-    return members.mapInArrow(_verify(most_ones(threshold)), "a long, b long").distinct()
+    return members.mapInArrow(kernel.releasing(_verify(most_ones(threshold))), "a long, b long").distinct()
 
 
 def near_groups(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

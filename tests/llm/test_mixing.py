@@ -1,4 +1,5 @@
 import hashlib
+import math
 from fractions import Fraction
 
 import pytest
@@ -25,22 +26,44 @@ def test_more_sources_than_slots():
     assert sum(shares.values()) == 70 and sorted(mixing.edf_period(shares)) == sorted(shares)
 
 
+def shares_of(weights, period):
+    """Largest remainders, one slot at least, by plain fractions."""
+    period, names = max(period, len(weights)), sorted(weights, key=lambda k: (k != "null", k))
+    exact = {k: Fraction(weights[k]) * period / sum(map(Fraction, weights.values())) for k in names}
+    out = {k: max(1, int(exact[k])) for k in names}
+    while sum(out.values()) < period:
+        out[max(names, key=lambda k: (exact[k] - out[k], -names.index(k)))] += 1
+    while sum(out.values()) > period:
+        out[max((k for k in names if out[k] > 1), key=lambda k: (out[k] - exact[k], -names.index(k)))] -= 1
+    return out
+
+
 def brute(rows, targets, block, period):
-    """Positions by walking the schedule slot by slot."""
+    """Positions by walking slot by slot: of the released blocks the one due first, sources without blocks leaving."""
     queues: dict = {}
-    for i, source in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+    for i, source in rows:
         queues.setdefault("null" if source is None else f"={source}", []).append(i)
-    # the order within a source: its hash bucket first, then the hash
-    for q in queues.values():
-        q.sort(key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % mixing.BUCKETS, hashlib.md5(str(i).encode()).hexdigest()))
-    wanted = {k: len(q) ** mixing.ALPHA for k, q in queues.items()} if targets is None else {f"={k}": v for k, v in targets.items() if f"={k}" in queues}
-    plan, out, t = mixing.edf_period(mixing.integer_weights(wanted, period)), {}, 0
-    taken = dict.fromkeys(queues, 0)
-    while queues.get(k := plan[t % len(plan)], [])[taken[k] :]:
-        for r, i in enumerate(queues[k][taken[k] : taken[k] + block]):
-            out[i] = t * block + r
-        taken[k] += block
-        t += 1
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    for q in queues.values():  # the order within a source: its hash bucket first, then the hash
+        q.sort(key=lambda i: (int(digest(i)[:8], 16) % mixing.BUCKETS, digest(i)))
+    wanted = {k: len(q) ** mixing.ALPHA for k, q in queues.items()} if targets is None else {f"={k}": v for k, v in targets.items() if f"={k}" in queues and v > 0}
+    out, slot, taken = {}, 0, dict.fromkeys(queues, 0)
+    while live := {k: v for k, v in wanted.items() if taken[k] < len(queues[k])}:
+        shares = shares_of(live, period)
+        names, t, had = sorted(live, key=lambda k: (k != "null", k)), 0, dict.fromkeys(live, 0)
+        q = sum(shares.values())
+        while True:
+            free = [k for k in names if had[k] * q // shares[k] <= t]
+            k = min(free, key=lambda k: (math.ceil(Fraction((had[k] + 1) * q, shares[k])), names.index(k)))
+            if taken[k] >= len(queues[k]):
+                break
+            for r, i in enumerate(queues[k][taken[k] : taken[k] + block]):
+                out[i] = slot * block + r
+            had[k] += 1
+            taken[k] += block
+            t, slot = t + 1, slot + 1
+        if targets is not None:
+            break
     return out
 
 
@@ -91,3 +114,26 @@ def test_every_document_has_a_place_when_sources_run_dry(spark):
     blocks = {r.mix_position // mixing.BLOCK for r in got}
     assert blocks == set(range(sum(-(-n // mixing.BLOCK) for n in sizes.values())))
     assert sorted(r.doc_id for r in mixing.mixed_documents(docs).collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_one_tiny_source_ends_nothing(spark):
+    docs = documents(spark)
+    many = docs.crossJoin(spark.range(16).withColumnRenamed("id", "copy")).selectExpr("doc_id * 100 + copy AS doc_id", "text", "lang", "source", "n_chars")
+    one = table(spark, [(-1, "alone", "en", "a new source")])
+    both = many.unionByName(one)
+    rows = [(r.doc_id, r.source) for r in both.select("doc_id", "source").collect()]
+    got = {r.doc_id: r.mix_position for r in mixing.mix_query(both).collect()}
+    assert len(got) == len(rows) > 3000 and got == brute(rows, None, mixing.BLOCK, mixing.PERIOD)
+
+
+def test_joins_without_broadcasts_give_the_same_mix(spark, monkeypatch):
+    docs = documents(spark)
+    want = sorted((r.doc_id, r.mix_position) for r in mixing.mix_query(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted((r.doc_id, r.mix_position) for r in mixing.mix_query(docs).collect()) == want
+
+
+def test_a_table_without_sources_is_one_source(spark):
+    docs = documents(spark).drop("source")
+    got = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    assert sorted(got) == sorted(r.doc_id for r in docs.collect())
