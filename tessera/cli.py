@@ -1,4 +1,4 @@
-"""Command line: compile, validate, inspect, export and reference-eval over build directories."""
+"""Command line: compile, validate, inspect, export, reference-eval and package over build directories."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from tessera.operators import build, export, importers, verify
+from tessera.functions.canonical import record_json
+from tessera.operators import build, export, importers
 from tessera.sources import readers, sinks
 
 
@@ -24,9 +27,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--rule-tasks")
     c.add_argument("--document-id", default="document")
     c.add_argument("--seed", type=int, default=0)
-    c.add_argument("--group-by", choices=("rule_family", "knowledge_unit"), default="rule_family")
+    c.add_argument("--group-by", choices=("rule_family", "knowledge_unit", "knowledge_component"), default="rule_family")
     c.add_argument("--source-revision")
-    for name in ("validate", "inspect"):
+    for name in ("validate", "inspect", "inspect-artifacts"):
         commands.add_parser(name).add_argument("build")
     e = commands.add_parser("export")
     e.add_argument("build")
@@ -36,6 +39,12 @@ def parser() -> argparse.ArgumentParser:
     r = commands.add_parser("reference-eval")
     r.add_argument("build")
     r.add_argument("--split", default="test")
+    r.add_argument("--output")
+    k = commands.add_parser("package")
+    k.add_argument("build")
+    k.add_argument("--output", required=True)
+    k.add_argument("--test-only", action="store_true")
+    k.add_argument("--check", action="store_true")
     return top
 
 
@@ -47,35 +56,27 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
         if args.units:
             units = readers.read_units(spark, args.units)
         else:
-            rules = readers.read_records(spark, args.rules, _rule_ddl(), "rules")
-            units = importers.import_rules(rules, args.document_id)
-            if args.rule_tasks:
-                ddl = "task_id string, description string, applicable_rules array<string>, expected_outcome string, task_family string, task_type string, required_actions array<string>, forbidden_actions array<string>, procedure_order array<string>, terms array<string>, tags array<string>"
-                imported = importers.import_tasks(readers.read_records(spark, args.rule_tasks, ddl, "tasks"), units, args.document_id)
+            rules = readers.read_records(spark, args.rules, importers.RULE, "rules")
+            given = readers.read_records(spark, args.rule_tasks, importers.RULE_TASK, "tasks") if args.rule_tasks else None
+            units, imported = importers.import_bundle(rules, given, args.document_id)
             units = units.drop("legacy_rule_id", "path")
         return build.compile_build(units, args.output, args.volume_id, args.seed, args.group_by, imported, args.source_revision)
     if args.command == "validate":
         return build.validate_build(spark, args.build)
-    if args.command == "inspect":
+    if args.command in ("inspect", "inspect-artifacts"):
         return build.inspect_build(spark, args.build)
     _, _, tasks = build.load_build(spark, args.build)
+    if args.command == "package":
+        if args.check:
+            build.check_package(tasks, args.output, args.test_only)
+            return {"reproducible": True}
+        return build.package_taskset(tasks, args.output, args.test_only)
     tasks = build.select_split(tasks, args.split)
     if args.command == "export":
         records = export.sft_records(tasks) if args.format == "sft" else export.grpo_records(tasks)
-        return sinks.write_lines(records, args.output, f"{args.format}-{args.split}.jsonl", "id").as_dict()
-    ledgers = verify.verify(export.symbolic_responses(tasks), tasks, evidence=False)
-    summary = verify.score_summary(ledgers).first().asDict()
-    means = {r["component_id"]: r["mean_score"] for r in verify.component_means(ledgers).orderBy("component_id").collect()}
-    return {**summary, "split": args.split, "component_means": means}
-
-
-def _rule_ddl() -> str:
-    inner = importers.rule_schema()[len("struct<") : -1]
-    depth, out = 0, ""
-    for c in inner:
-        depth += (c == "<") - (c == ">")
-        out += " " if c == ":" and not depth else c
-    return out
+        ref = sinks.write_lines(records.select("id", record_json(F.struct(*records.columns)).alias("line")), args.output, f"{args.format}-{args.split}.jsonl", "id", text="line")
+        return {**ref.as_dict(), "format": args.format, "split": args.split}
+    return build.reference_eval(tasks, args.output, args.split)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -87,6 +88,9 @@ def main(argv: list[str] | None = None) -> int:
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    except PySparkException as e:  # records that a reader or importer refused
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

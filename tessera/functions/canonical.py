@@ -56,6 +56,20 @@ def canonical_column(*columns: str) -> Column:
     return F.arrow_udf(encode, StringType())(F.struct(*columns))
 
 
+def record_json(record: Column) -> Column:
+    """UTF-8 JSON of a struct with sorted keys and spaced separators, as lines of trainer records are."""
+
+    def encode(rows: pa.Array) -> pa.Array:
+        return pa.array([json.dumps(jsonable(r), sort_keys=True, ensure_ascii=False) for r in rows.to_pylist()], pa.string())
+
+    return F.arrow_udf(encode, StringType())(record)
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string, other characters than ASCII as they are; null stays null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
+
+
 def training_json(record: Column) -> Column:
     """ASCII JSON of a struct with sorted keys and spaced separators, as chat trainers store answers."""
 

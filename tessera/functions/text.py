@@ -1,7 +1,8 @@
 """Text normalisation, set and sequence scoring as Column expressions.
 
-Column functions stay in the JVM. Unicode compatibility forms and full case
-folding have no built-in, so texts outside ``SIMPLE`` go through an Arrow UDF.
+Column functions stay in the JVM. Unicode compatibility forms and full case folding
+have no built-in, so texts outside ``SIMPLE`` go through the ICU library that Spark
+ships, by ``reflect``; which way a text goes is told row by row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import DoubleType
 
 #: characters for which the built-in path gives exactly what ``normalize_python`` gives
 SIMPLE = "^[\\x00-\\x7F\\u00C0-\\u00FF\\u2010-\\u2027]*$"
@@ -34,9 +35,21 @@ def cleaned(values: Column) -> Column:
     return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), strip), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(c: Column) -> Column:
+    """Compatibility form (NFKC) and full case folding."""
+    icu = lambda cls, method, x: F.reflect(F.lit(f"com.ibm.icu.{cls}"), F.lit(method), x, F.lit(True))
+    plain = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    return F.when(c.rlike(SIMPLE), plain).otherwise(icu("lang.UCharacter", "foldCase", icu("text.Normalizer", "compose", c)))
+
+
 def normalize(c: Column) -> Column:
-    """Lower case, every run of non-word characters one space, trimmed; for ``SIMPLE`` texts."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]+", " "))
+    """Folded, every run of non-word characters one space, trimmed."""
+    return F.trim(F.regexp_replace(_folded(c), r"[^\p{L}\p{N}_]+", " "))
 
 
 def normalize_python(value: str) -> str:
@@ -44,23 +57,22 @@ def normalize_python(value: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\w]+", " ", folded)).strip()
 
 
-def _normalize_lists(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else [normalize_python(x) for x in v])
-
-
-def normalize_all(values: Column, simple: bool = False) -> Column:
-    """Each item normalised. With ``simple`` the caller vouches that all texts are."""
-    fast = F.transform(values, normalize)
-    if simple:
-        return fast
-    plain = F.forall(values, lambda x: x.rlike(SIMPLE))
-    return F.when(plain, fast).otherwise(F.pandas_udf(_normalize_lists, ArrayType(StringType()))(F.when(~plain, values)))
+def normalize_all(values: Column) -> Column:
+    """Each item normalised, all of a list in one go: items joined by NUL, which joins with no letter, and cut apart again."""
+    cut = lambda joined: F.split(F.trim(F.regexp_replace(F.regexp_replace(_folded(joined), r"[^\p{L}\p{N}_\x00]+", " "), r" ?\x00 ?", "\0")), "\0")
+    # an item that is null or holds NUL itself makes the count differ
+    parts = let(let(F.array_join(values, "\0"), cut), lambda p: F.when(F.size(p) == F.size(values), p).otherwise(F.transform(values, normalize)))
+    return F.when(F.size(values) == 0, values).otherwise(parts)
 
 
 def unique_keys(norms: Column, values: Column) -> Column:
     """[(k, v)] of the first item for each non-empty key, in order."""
-    pairs = F.zip_with(norms, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    return F.filter(pairs, lambda p, i: (p.k != "") & (F.array_position(norms, p.k) == i + 1))
+
+    def firsts(n: Column) -> Column:
+        pairs = F.zip_with(n, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        return F.filter(pairs, lambda p, i: (p.k != "") & (F.array_position(n, p.k) == i + 1))
+
+    return let(norms, firsts)
 
 
 def texts(pairs: Column) -> Column:
@@ -81,47 +93,30 @@ def share(found: Column, expected: Column) -> Column:
     return F.when(F.size(expected) == 0, F.lit(1.0)).otherwise(F.size(found) / F.size(expected))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table is folded for each item of b."""
-    width = F.size(a)
+def lcs_places(expected: Column | str, actual: Column | str) -> Column:
+    """0-based places of ``expected`` in one longest common subsequence; on a tie the shorter prefix of ``expected`` wins.
 
-    def next_row(row: Column, item: Column) -> Column:
-        def cell(acc: Column, i: Column) -> Column:
-            diagonal = F.element_at(row, i)  # row has a leading 0
-            up = F.element_at(row, i + 1)
-            left = F.element_at(acc, -1)
-            return F.concat(acc, F.array(F.when(F.element_at(a, i) == item, diagonal + 1).otherwise(F.greatest(up, left))))
+    One row of the table is folded for each expected item; a cell holds the places
+    themselves, so nothing is traced back."""
+    e, a = (F.col(x) if isinstance(x, str) else x for x in (expected, actual))
 
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
+    def next_row(row: Column, at: Column) -> Column:
+        def cell(acc: Column, j: Column) -> Column:
+            up, left = F.get(row, j + 1), F.element_at(acc, -1)
+            longer = F.when(F.size(up) >= F.size(left), up).otherwise(left)
+            return F.concat(acc, F.array(F.when(F.get(e, at) == F.get(a, j), F.concat(F.get(row, j), F.array(at))).otherwise(longer)))
 
-    zeros = F.array_repeat(F.lit(0), width + 1)
-    return F.when((width == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(b, zeros, next_row), -1))
+        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.array(F.array().cast("array<int>")), cell)
 
+    empty = F.array().cast("array<int>")
+    table = F.aggregate(F.sequence(F.lit(0), F.size(e) - 1), F.array_repeat(empty, F.size(a) + 1), next_row)
+    # most answers keep the order: then all places are taken as they are
+    return F.when((F.size(e) == 0) | (F.size(a) == 0), empty).when(e == a, F.sequence(F.lit(0), F.size(e) - 1)).otherwise(F.element_at(table, -1))
 
-def lcs_places(expected: Column | str, actual: Column | str) -> Column:
-    """0-based places of ``expected`` in one longest common subsequence; on a tie the shorter prefix of ``expected`` wins."""
-
-    def trace(e, a) -> list[int]:
-        n, m = len(e), len(a)
-        table = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                table[i][j] = table[i - 1][j - 1] + 1 if e[i - 1] == a[j - 1] else max(table[i - 1][j], table[i][j - 1])
-        i, j, out = n, m, []
-        while i and j:
-            if e[i - 1] == a[j - 1]:
-                out.append(i - 1)
-                i, j = i - 1, j - 1
-            elif table[i - 1][j] >= table[i][j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
-
-    def places(e: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([trace(list(x), list(y)) for x, y in zip(e, a, strict=True)])
-
-    return F.pandas_udf(places, ArrayType(IntegerType()))(expected, actual)
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    return F.size(lcs_places(a, b))
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
@@ -140,14 +135,33 @@ def phrases_in(expected: Column, searched: Column) -> Column:
 
 
 def slug(c: Column, prefix: str = "") -> Column:
-    """``prefix`` and the text's letters and digits with single hyphens; null where nothing is left."""
+    """``prefix`` and the text's letters and digits with single hyphens; null where nothing is left (``required_slug`` raises)."""
     body = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.concat(F.lit(prefix), F.nullif(body, F.lit("")))
 
 
+def required(c: Column, what: str, of: Column | None = None) -> Column:
+    """Stripped text; a null or blank one is an error that names what is missing."""
+    whose = F.lit("") if of is None else F.concat(F.lit(" of "), F.coalesce(of.cast("string"), F.lit("a record without id")))
+    return F.coalesce(optional(c), F.raise_error(F.concat(F.lit(f"missing or blank {what}"), whose)).cast("string"))
+
+
+def required_slug(c: Column, prefix: str = "") -> Column:
+    """``slug`` of an id, where an id of no letter or digit is an error; a null stays null."""
+    failed = F.raise_error(F.concat(F.lit("no letter or digit in the id "), c)).cast("string")
+    return F.when(c.isNotNull(), F.coalesce(slug(c, prefix), failed))
+
+
 def short_number(c: Column) -> Column:
-    """Six significant digits without trailing zeros, for values in [0, 1]."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c), "0+$", ""), r"\.$", "")
+    """Six significant digits without trailing zeros, as ``%.6g`` writes values in [0, 1]; halves go to the even digit."""
+    exact = c.cast("decimal(38,30)")
+    cut = lambda x: F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")
+    power = F.floor(F.log10(c)).cast("int")
+    small = F.round(c / F.pow(F.lit(10.0), power), 5)  # below 1e-4
+    out = F.when(c == 0, "0")
+    for least, digits in ((0.1, 6), (0.01, 7), (0.001, 8), (0.0001, 9)):
+        out = out.when(c >= least, cut(F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")))
+    return out.otherwise(F.concat(cut(F.format_string("%.5f", small)), F.lit("e-"), F.lpad(F.abs(power).cast("string"), 2, "0")))
 
 
 def digest(c: Column, length: int | None = None) -> Column:

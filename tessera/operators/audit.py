@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import schemas
@@ -39,9 +39,9 @@ def overlaps(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return reduce(DataFrame.unionByName, [parts[a].intersect(parts[b]).withColumn("pair", F.lit(f"{a}+{b}")) for a, b in pairs])
 
 
-def ordinal_breaks(df: DataFrame, group: str, ordinal: str) -> DataFrame:
-    """Rows whose ordinal does not exceed the one before it in the group."""
-    w = Window.partitionBy(group).orderBy(ordinal)
+def ordinal_breaks(df: DataFrame, group: str, ordinal: str, position: str | None = None) -> DataFrame:
+    """Rows whose ordinal does not exceed the one before it in the group, along ``position`` (the ordinal itself without one)."""
+    w = Window.partitionBy(group).orderBy(position or ordinal)
     return df.withColumn("previous", F.lag(ordinal).over(w)).where(F.col(ordinal) <= F.col("previous"))
 
 
@@ -64,14 +64,21 @@ def span_faults(spans: DataFrame, document_id: str | None = None) -> DataFrame:
     return spans.withColumn("faults", faults).select("span_id", F.explode("faults").alias("fault"))
 
 
+def _among(column: str, values: tuple[str, ...]) -> Column:
+    """Whether a column has one of the values; a null has none."""
+    return F.coalesce(F.col(column).isin(*values), F.lit(False))
+
+
 def unit_faults(units: DataFrame) -> DataFrame:
     """(unit_id, fault) of knowledge units."""
     checks = {
         "blank unit id": F.coalesce(strip(F.col("unit_id")), F.lit("")) == "",
+        "blank title": F.coalesce(strip(F.col("title")), F.lit("")) == "",
+        "blank text": F.coalesce(strip(F.col("text")), F.lit("")) == "",
         "no citation": F.coalesce(F.size("citations"), F.lit(0)) < 1,
-        "unknown kind": ~F.col("kind").isin(*schemas.KINDS),
-        "unknown review status": ~F.col("review_status").isin(*schemas.REVIEWS),
-        "confidence outside 0..1": ~F.col("confidence").between(0, 1),
+        "unknown kind": ~_among("kind", schemas.KINDS),
+        "unknown review status": ~_among("review_status", schemas.REVIEWS),
+        "confidence outside 0..1": ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)),
     }
     faults = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in checks.items()]))
     return units.withColumn("faults", faults).select("unit_id", F.explode("faults").alias("fault"))
@@ -81,8 +88,9 @@ def task_faults(tasks: DataFrame) -> DataFrame:
     """(task_id, fault): tasks without units, or whose key names units they do not have."""
     checks = {
         "no unit": F.coalesce(F.size("knowledge_unit_ids"), F.lit(0)) < 1,
-        "key outside units": F.size(F.array_except("answer_key.applicable_unit_ids", "knowledge_unit_ids")) > 0,
-        "unknown family": ~F.col("task_family").isin(*schemas.ALL_FAMILIES),
+        "blank task id": F.coalesce(strip(F.col("task_id")), F.lit("")) == "",
+        "key outside units": F.coalesce(F.size(F.array_except("answer_key.applicable_unit_ids", "knowledge_unit_ids")) > 0, F.lit(True)),
+        "unknown family": ~_among("task_family", schemas.ALL_FAMILIES),
     }
     faults = F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))
     return tasks.withColumn("faults", faults).select("task_id", F.explode("faults").alias("fault"))

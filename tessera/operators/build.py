@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import filecmp
 import json
 import os
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import schemas
 from tessera.functions.canonical import digest
-from tessera.operators import audit, compile as compiler, export, split
+from tessera.operators import audit, compile as compiler, export, split, verify
 from tessera.sources import readers, sinks
 from tessera.sources.work import written
 
@@ -54,7 +56,7 @@ def load_manifest(root: str) -> dict:
         return json.load(f)
 
 
-TASK = "task_id string, task_family string, rule_family string, group_key string, split string, knowledge_unit_ids array<string>, prompt string, answer_key struct<applicable_unit_ids:array<string>,required_actions:array<string>,forbidden_actions:array<string>,procedure_order:array<string>,terms:array<string>,reference_answer:string>, citations array<" + schemas.CITATION + ">"
+TASK = "task_id string, task_family string, rule_family string, group_key string, split string, knowledge_unit_ids array<string>, prompt string, answer_key struct<applicable_unit_ids:array<string>,required_actions:array<string>,forbidden_actions:array<string>,procedure_order:array<string>,terms:array<string>,reference_answer:string,citations:array<" + schemas.CITATION + ">>, citations array<" + schemas.CITATION + ">"
 
 
 def load_build(spark: SparkSession, root: str) -> tuple[dict, DataFrame, DataFrame]:
@@ -103,6 +105,35 @@ def inspect_build(spark: SparkSession, root: str) -> dict:
     return {**report, "compiler_version": manifest["compiler_version"], "seed": manifest["seed"], "task_families": families, "artifacts": [sinks.check(root, o) for o in manifest["outputs"]]}
 
 
+def reference_eval(tasks: DataFrame, root: str | None, split: str) -> dict:
+    """Tasks answered from their own keys and scored: the summary; with ``root`` also responses, ledgers and evaluation as artefacts."""
+    audit.demand_empty(audit.duplicates(tasks, "task_id"), "repeated task ids")
+    responses = written(export.symbolic_responses(tasks), "responses")
+    ledgers = written(verify.verify(responses, tasks), "ledgers")
+    scores = verify.score_summary(ledgers).first()
+    families = {r["task_family"]: r["n"] for r in tasks.groupBy("task_family").agg(F.count("*").alias("n")).orderBy("task_family").collect()}
+    means = {r["component_id"]: r["mean_score"] for r in verify.component_means(ledgers).orderBy("component_id").collect()}
+    likeness = verify.fidelity(responses, tasks).agg(F.avg("fidelity")).first()[0]
+    summary = {
+        "reference_type": "symbolic-answer-key", "neural_model": False, "model_id": "symbolic-answer-key", "split": split, "count": scores["n"], "mean_total_score": scores["mean_score"], "min_total_score": scores["min_score"], "max_total_score": scores["max_score"],
+        "task_family_counts": families, "mean_reference_answer_fidelity_unscored": likeness, "component_means": means,
+    }
+    if root is None:
+        return summary
+    refs = [sinks.write_lines(responses, root, "responses.jsonl", "task_id"), sinks.write_lines(ledgers, root, "reward_ledgers.jsonl", "task_id"), sinks.write_json(root, "evaluation.json", summary)]
+    return {**summary, "output_dir": os.path.realpath(root), "artifacts": [r.as_dict() for r in refs]}
+
+
+def check_package(tasks: DataFrame, root: str, test_only: bool = False) -> None:
+    """Raise unless packaging the tasks again gives the files under ``root`` byte for byte."""
+    with tempfile.TemporaryDirectory() as again:
+        package_taskset(tasks, again, test_only)
+        for name in ("taskset.jsonl.gz", "taskset-manifest.json"):
+            there = os.path.join(root, name)
+            if not os.path.isfile(there) or not filecmp.cmp(there, os.path.join(again, name), shallow=False):
+                raise ValueError(f"{name} is missing or stale")
+
+
 def package_taskset(tasks: DataFrame, root: str, test_only: bool = False) -> dict:
     """Single-unit tasks as deterministic gzip JSON lines with a manifest of counts and hashes."""
     packaged = export.packaged(tasks)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import schemas
 from tessera.functions.canonical import training_json
 from tessera.functions.text import digest
+from tessera.operators.segments import numbered
 
 SYSTEM_PROMPT = "Answer from the cited source alone and fill in every field of the JSON contract."
 RESPONSE_CONTRACT = "Reply with one JSON object that has these keys and no others: " + ", ".join(schemas.ANSWER_FIELDS) + "."
@@ -36,9 +37,14 @@ def _metadata(tasks: DataFrame) -> Column:
 
 
 def sft_records(tasks: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """Chats of three messages; the assistant's is the reference answer as sorted ASCII JSON."""
-    answer = F.struct(*[reference_answer()[f].alias(f) for f in schemas.ANSWER_FIELDS], F.lit(schemas.SCHEMA_VERSION).alias("schema_version"))
-    said = tasks.withColumn("content", training_json(answer))
+    """Chats of three messages; the assistant's is the reference answer as sorted ASCII JSON.
+
+    Tasks compiled with ``trained`` bring that JSON's beginning, made once a unit."""
+    if "answer_head" in tasks.columns:
+        content = F.concat("answer_head", "family_json", F.lit("}"))
+    else:
+        content = training_json(F.struct(*[reference_answer()[f].alias(f) for f in schemas.ANSWER_FIELDS], F.lit(schemas.SCHEMA_VERSION).alias("schema_version")))
+    said = tasks.withColumn("content", content)
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return said.select(F.col("task_id").alias("id"), F.array(message("system", F.lit(system_prompt)), message("user", F.col("prompt")), message("assistant", F.col("content"))).alias("messages"), _metadata(tasks).alias("metadata"))
 
@@ -52,12 +58,22 @@ def grpo_records(tasks: DataFrame) -> DataFrame:
 def packaged(tasks: DataFrame) -> DataFrame:
     """Single-unit tasks with their response contract, group and position by task id.
 
-    Positions come from counts by id prefix, so no task sorts the whole set."""
+    Ids alone are sorted, by ranges, whatever they look like; the tasks move once, to meet their positions."""
     single = tasks.where(F.size("knowledge_unit_ids") == 1)
-    single = single.withColumn("p", F.substring("task_id", 1, 8))
-    starts = single.groupBy("p").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("p")) - F.col("n")).select("p", "start")
-    numbered = single.join(starts, "p").withColumn("idx", (F.col("start") + F.row_number().over(Window.partitionBy("p").orderBy("task_id")) - 1).cast("long"))
-    return numbered.select("idx", "task_id", F.concat("prompt", F.lit("\n\n" + RESPONSE_CONTRACT)).alias("prompt"), "split", "task_family", "knowledge_unit_ids", F.col("knowledge_unit_ids")[0].alias("group_id"), "answer_key", "citations")
+    places = numbered(single.select("task_id"), "task_id").select("task_id", (F.col("row_number") - 1).alias("idx"))
+    placed = single.join(places, "task_id")
+    return placed.select("idx", "task_id", F.concat("prompt", F.lit("\n\n" + RESPONSE_CONTRACT)).alias("prompt"), "split", "task_family", "knowledge_unit_ids", F.col("knowledge_unit_ids")[0].alias("group_id"), "answer_key", "citations")
+
+
+def parity_faults(tasks: DataFrame, package: DataFrame) -> DataFrame:
+    """(task_id, fault): single-unit tasks and packaged ones that do not stand for each other."""
+    mine = tasks.where(F.size("knowledge_unit_ids") == 1).select("task_id", F.concat("prompt", F.lit("\n\n" + RESPONSE_CONTRACT)).alias("prompt"), "split", "task_family", "knowledge_unit_ids", "answer_key")
+    theirs = package.select(F.col("task_id").alias("id"), *[F.col(c).alias(f"p_{c}") for c in mine.columns[1:]])
+    both = mine.join(theirs, F.col("task_id") == F.col("id"), "full")
+    here = F.col("task_id").isNotNull() & F.col("id").isNotNull()
+    checks = {"not packaged": F.col("id").isNull(), "no such task": F.col("task_id").isNull()} | {f"another {c}": here & ~F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in mine.columns[1:]}
+    faults = F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))
+    return both.select(F.coalesce("task_id", "id").alias("task_id"), F.explode(faults).alias("fault"))
 
 
 def trace_id() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import canonical_column
 from tessera.functions.schemas import SEVERITIES
 from tessera.operators.verify import FORBIDDEN, SAFETY, component_rows
 from tessera.sources.work import written
@@ -71,6 +72,27 @@ def cluster_failures(ledgers: DataFrame, tasks: DataFrame | None = None, thresho
     return out.select("cluster_id", "component", "severity", "count", "mean_score", "task_ids", units.alias("knowledge_unit_ids"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
+def cluster_members(ledgers: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """(cluster_id, component, task_id, first_response, n): the tasks of each cluster as rows, so that no row grows with the failures."""
+    rows = failing(ledgers, threshold).groupBy("component", "task_id").agg(F.min("response_id").alias("first_response"), F.count("*").alias("n"))
+    return rows.select(F.concat(F.lit("failure:"), "component").alias("cluster_id"), "component", "task_id", "first_response", "n")
+
+
+def curriculum_summary(ledgers: DataFrame, tasks: DataFrame, limit: int | None = None, threshold: float = 1.0, minimum: int = 1) -> DataFrame:
+    """The ranked requests with counts in place of lists: (request_id, component, priority, severity, count, n_tasks, n_units, task_family).
+
+    Clusters are ranked from partial sums first; only members of those that stay meet
+    their tasks. ``cluster_members`` has the members."""
+    rows = written(failing(ledgers, threshold).select("component", "task_id", "score", "diagnostics"), "failing")
+    ranked = written(rank_clusters(_summary(rows, minimum), limit), "ranked")  # as many rows as components
+    members = rows.join(F.broadcast(ranked.select("component")), "component").select("component", "task_id").distinct()
+    known = written(members.join(tasks.select("task_id", "task_family", "knowledge_unit_ids"), "task_id", "left"), "members")
+    told = known.groupBy("component").agg(F.count("*").alias("n_tasks"), F.min_by("task_family", F.when(F.col("task_family").isNotNull(), F.col("task_id"))).alias("family"))
+    units = known.select("component", F.explode("knowledge_unit_ids").alias("unit")).distinct().groupBy("component").agg(F.count("*").alias("n_units"))
+    out = ranked.join(told, "component").join(units, "component", "left")
+    return out.select(F.concat(F.lit("curriculum:"), "cluster_id").alias("request_id"), "component", "priority", "severity", "count", "n_tasks", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("family", F.lit("applied_scenario")).alias("task_family"))
+
+
 def goal() -> Column:
     aim = (
         F.when(F.col("component") == SAFETY, "drill each mandatory action until none is left out")
@@ -115,6 +137,38 @@ def build_curriculum(clusters: DataFrame, tasks: DataFrame, limit: int | None =
     return out.withColumn("goal", goal())
 
 
+def curriculum_records(clusters: DataFrame, tasks: DataFrame, limit: int | None = None) -> DataFrame:
+    """(request_id, priority, record): the requests of ``build_curriculum`` as canonical JSON, for a next batch's JSON lines."""
+    requests = build_curriculum(clusters, tasks, limit)
+    return requests.select("request_id", "priority", canonical_column(*requests.columns).alias("record"))
+
+
+def run_means(ledgers: DataFrame, run: str) -> DataFrame:
+    """(run, kind, name, mean, n) of each run: its total, components, diagnostics and the share of ledgers that reconcile."""
+    parts = F.aggregate("components", F.lit(0.0), lambda s, c: s + c.weighted_score)
+    sound = (F.abs(parts - F.col("ungated_total_score")) <= 1e-9) & (F.abs(F.col("ungated_total_score") * F.col("gate_multiplier") - F.col("total_score")) <= 1e-9)
+    entry = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    diagnostics = ("schema_validity", "source_grounding", "unsafe_recommendation_detected")
+    fixed = [entry("total", F.lit("total_score"), F.col("total_score")), *(entry("diagnostic", F.lit(d), F.col(f"diagnostics.{d}")) for d in diagnostics), entry("reconciliation", F.lit("reconciled"), sound.cast("int"))]
+    listed = F.transform("components", lambda c: entry("component", c.component_id, c.score))
+    return ledgers.select(F.col(run).alias("run"), F.inline(F.concat(F.array(*fixed), listed))).groupBy("run", "kind", "name").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+
+
+OUTCOMES = ("valid", "invalid", "error", "missing", "timeout")
+
+
+def outcome_histogram(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """(outcome, n, share) over all tasks: those without a result are missing, an unknown or null outcome is an error; every outcome has a row.
+
+    Of several results of one task the first of ``OUTCOMES`` counts."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome")), F.lit(0)), F.lit(3))
+    best = results.groupBy("task_id").agg(F.min(rank).alias("rank"))
+    counted = tasks.select("task_id").join(best, "task_id", "left").groupBy(F.get(F.array(*[F.lit(o) for o in OUTCOMES]), (F.coalesce("rank", F.lit(4)) - 1).cast("int")).alias("outcome")).agg(F.count("*").alias("n"))
+    every = tasks.sparkSession.createDataFrame([(o,) for o in OUTCOMES], "outcome string").join(counted, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).alias("n"))
+    total = tasks.agg(F.count("*").alias("total"))
+    return every.crossJoin(F.broadcast(total)).select("outcome", "n", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("share"))
+
+
 def compare_runs(ledgers: DataFrame, run: str, baseline, adapted) -> DataFrame:
     """Counts, means, absolute and relative change of two runs told apart by column ``run``."""
     side = lambda v, f, c: f(F.when(F.col(run) == v, F.col(c)))

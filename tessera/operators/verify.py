@@ -66,6 +66,16 @@ def parsed(raw: Column, allow_version: bool = True) -> Column:
     return F.from_json(F.pandas_udf(valid, StringType())(raw), schemas.ANSWER)
 
 
+def _listed(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+def scoring_key(key: str = "answer_key") -> Column:
+    """What scoring reads of an answer key: the first item of each normal form, (k, v), of every list."""
+    lists = {"req": "required_actions", "forb": "forbidden_actions", "rule": "applicable_unit_ids", "proc": "procedure_order", "term": "terms"}
+    return F.struct(*[T.unique_keys(T.normalize_all(_listed(F.col(f"{key}.{c}"))), _listed(F.col(f"{key}.{c}"))).alias(n) for n, c in lists.items()])
+
+
 def verify(
     responses: DataFrame,
     tasks: DataFrame,
@@ -73,17 +83,17 @@ def verify(
     hard_gate: bool = True,
     threshold: float = 1.0,
     evidence: bool = True,
-    simple: bool = False,
-    broadcast_tasks: bool = False,
     allow_version: bool = True,
 ) -> DataFrame:
     """One ledger for each response.
 
     ``responses``: task_id, response_id (null: ``<task_id>.response``), and a
     struct ``answer`` that is trusted, or ``raw_text`` that is parsed strictly
-    where ``answer`` is null or absent. Without ``evidence`` no Python runs but for
-    ``raw_text``; ``simple`` vouches for texts that normalise by built-ins alone.
-    Responses to unknown tasks give no ledger (see ``unanswerable``)."""
+    where ``answer`` is null or absent; only that parsing runs in Python. ``tasks`` may
+    bring the column ``scoring_key`` that ``scoring_key()`` makes, once a unit instead of
+    once a task. ``evidence=False`` leaves out the evidence and notes of components.
+    A response to an unknown task is an error; task ids must be unique
+    (``audit.duplicates``), as every build's are."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
     w = weights_of(weights)
@@ -91,25 +101,15 @@ def verify(
     if "raw_text" in responses.columns:
         answer = F.coalesce(answer, parsed(F.when(answer.isNull(), F.col("raw_text")), allow_version))
     given = responses.select("task_id", F.coalesce("response_id", F.concat("task_id", F.lit(".response"))).alias("response_id") if "response_id" in responses.columns else F.concat("task_id", F.lit(".response")).alias("response_id"), answer.alias("given"))
-    known = tasks.select("task_id", F.col("answer_key").alias("key"))
-    rows = given.join(F.broadcast(known) if broadcast_tasks else known, "task_id")
-
-    empty = F.array().cast("array<string>")
-    get = lambda c: F.coalesce(c, empty)
+    known = tasks.select("task_id", (F.col("scoring_key") if "scoring_key" in tasks.columns else scoring_key()).alias("key"))
+    rows = given.join(known, "task_id", "left")
+    stray = F.raise_error(F.concat(F.lit("response to an unknown task: "), F.coalesce("task_id", F.lit("null")))).cast("string")
+    rows = rows.withColumn("task_id", F.when(F.col("key").isNotNull(), F.col("task_id")).otherwise(stray))
     # each list is normalised once, before anything is scored
-    for name, c in {
-        "e_req": F.col("key.required_actions"), "e_forb": F.col("key.forbidden_actions"), "e_rule": F.col("key.applicable_unit_ids"),
-        "e_proc": F.col("key.procedure_order"), "e_term": F.col("key.terms"), "a_req": F.col("given.required_actions"),
-        "a_forb": F.col("given.forbidden_actions"), "a_rule": F.col("given.applicable_rules"), "a_proc": F.col("given.procedure_order"),
-        "a_final": F.array(F.coalesce("given.final_answer", F.lit(""))),
-    }.items():
-        rows = rows.withColumn(name, T.normalize_all(get(c), simple))
-    pairs = lambda norm, original: T.unique_keys(F.col(norm), get(original))
     rows = rows.select(
-        "task_id", "response_id", F.col("given").isNotNull().alias("valid"), "a_req", "a_forb", "a_rule", "a_proc", F.col("a_final")[0].alias("final"),
-        pairs("e_req", F.col("key.required_actions")).alias("req"), pairs("e_forb", F.col("key.forbidden_actions")).alias("forb"),
-        pairs("e_rule", F.col("key.applicable_unit_ids")).alias("rule"), pairs("e_proc", F.col("key.procedure_order")).alias("proc"),
-        pairs("e_term", F.col("key.terms")).alias("term"),
+        "task_id", "response_id", F.col("given").isNotNull().alias("valid"),
+        *[T.normalize_all(_listed(F.col(f"given.{c}"))).alias(n) for n, c in (("a_req", "required_actions"), ("a_forb", "forbidden_actions"), ("a_rule", "applicable_rules"), ("a_proc", "procedure_order"))],
+        T.normalize(F.coalesce("given.final_answer", F.lit(""))).alias("final"), *[F.col(f"key.{n}").alias(n) for n in ("req", "forb", "rule", "proc", "term")],
     )
     rows = (
         rows.withColumn("m_req", T.held(F.col("req"), F.col("a_req")))
@@ -118,12 +118,10 @@ def verify(
         .withColumn("m_term", T.phrases_in(F.col("term"), F.col("final")))
         .withColumn("unsafe", T.held(F.col("forb"), F.concat("a_req", "a_proc")))
         .withColumn("proc_keys", F.transform("proc", lambda p: p.k))
+        .withColumn("places", T.lcs_places("proc_keys", "a_proc"))
+        .withColumn("m_proc", F.transform("places", lambda i: F.get("proc", i)))
     )
-    if evidence:
-        rows = rows.withColumn("places", T.lcs_places("proc_keys", "a_proc")).withColumn("m_proc", F.transform("places", lambda i: F.get("proc", i)))
-        lcs = F.size("m_proc")
-    else:
-        lcs = T.lcs_length(F.col("proc_keys"), F.col("a_proc"))
+    lcs = F.size("places")
     found = {
         SAFETY: ("req", T.share(F.col("m_req"), F.col("req")), "m_req"),
         FORBIDDEN: ("forb", F.when(F.size("unsafe") > 0, 0.0).otherwise(T.share(F.col("m_forb"), F.col("forb"))), "m_forb"),
@@ -133,6 +131,7 @@ def verify(
     }
     for i, (_, score, _) in enumerate(found.values()):
         rows = rows.withColumn(f"score_{i}", F.when(F.col("valid"), score).otherwise(0.0))
+    empty = F.array().cast("array<string>")
     components = []
     for i, (component, (expected, _, matched)) in enumerate(found.items()):
         score = F.col(f"score_{i}")
@@ -171,7 +170,7 @@ def verify(
 
 
 def unanswerable(responses: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Responses that name no known task: an error at the public entry points."""
+    """Responses that name no known task, which ``verify`` refuses."""
     return responses.join(tasks.select("task_id"), "task_id", "left_anti")
 
 
@@ -191,9 +190,22 @@ def score_summary(ledgers: DataFrame) -> DataFrame:
     return ledgers.agg(F.count("*").alias("n"), F.avg("total_score").alias("mean_score"), F.min("total_score").alias("min_score"), F.max("total_score").alias("max_score"))
 
 
-def metrics(ledgers: DataFrame) -> DataFrame:
-    """Components and diagnostics as columns of one row a response."""
-    return ledgers.select(
+def fidelity(responses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, response_id, fidelity): likeness of each answer's text to its reference text, both normalised; unscored.
+
+    0 without a valid answer or a reference. Answers that equal their reference, the
+    usual case of references themselves, are 1 without a comparison."""
+    reference = T.normalize(F.coalesce("answer_key.reference_answer", F.lit("")))
+    rows = responses.select("task_id", "response_id", T.normalize(F.col("answer.final_answer")).alias("said")).join(tasks.select("task_id", reference.alias("reference")), "task_id")
+    differs = F.col("said").isNotNull() & (F.col("reference") != "") & (F.col("said") != F.col("reference"))
+    likeness = T.similarity(F.when(differs, F.col("said")), F.when(differs, F.col("reference")))
+    same = F.col("said").isNotNull() & (F.col("reference") != "") & (F.col("said") == F.col("reference"))
+    return rows.select("task_id", "response_id", F.when(same, 1.0).when(differs, likeness).otherwise(0.0).alias("fidelity"))
+
+
+def metrics(ledgers: DataFrame, likeness: DataFrame | None = None) -> DataFrame:
+    """Components and diagnostics as columns of one row a response; with ``fidelity``'s rows also reference_fidelity."""
+    out = ledgers.select(
         "task_id",
         "response_id",
         *[F.element_at("components", i + 1).score.alias(f"component_{k}") for i, k in enumerate(WEIGHTS)],
@@ -202,6 +214,9 @@ def metrics(ledgers: DataFrame) -> DataFrame:
         F.col("diagnostics.schema_validity").alias("schema_validity"),
         "total_score",
     )
+    if likeness is None:
+        return out
+    return out.join(likeness, ["task_id", "response_id"], "left").withColumnRenamed("fidelity", "reference_fidelity")
 
 
 def gold_valid(ledgers: DataFrame) -> DataFrame:

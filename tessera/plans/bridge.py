@@ -32,12 +32,23 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_units(units(spark, sf_dir))
+def tasks(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return compile_units(units(spark, sf_dir), **options)
+
+
+#: full-width forms of the small letters, which normalisation undoes
+_WIDE = "".join(chr(0xFF41 + i) for i in range(26))
+
+
+def disguised(items: F.Column, kind: F.Column) -> F.Column:
+    """The same items in other Unicode forms: full-width letters (0), ligatures (1) or capitals (2); equal to them once normalised."""
+    wide = F.transform(items, lambda x: F.translate(x, "abcdefghijklmnopqrstuvwxyz", _WIDE))
+    bound = F.transform(items, lambda x: F.replace(F.replace(x, F.lit("fi"), F.lit("\ufb01")), F.lit("st"), F.lit("\ufb06")))
+    return F.when(kind == 0, wide).when(kind == 1, bound).otherwise(F.transform(items, F.upper))
 
 
 def responses(built: DataFrame) -> DataFrame:
-    """One response a task, spoiled in one of seven ways (``VARIANTS``)."""
+    """One response a task, spoiled in one of seven ways (``VARIANTS``), with items of perfect ones in other Unicode forms."""
     doc = F.substr(F.col("knowledge_unit_ids")[0], F.lit(5)).cast("long")
     v = F.pmod(doc + F.col("family_index"), F.lit(7))
     ref = reference_answer()
@@ -45,14 +56,20 @@ def responses(built: DataFrame) -> DataFrame:
     answer = F.struct(
         F.when(v == 5, F.array(F.lit("doc-none"))).otherwise(ref.applicable_rules).alias("applicable_rules"),
         ref.situation_type.alias("situation_type"),
-        F.when(v == 1, F.slice(ref.required_actions, F.lit(1), F.greatest(n - 1, F.lit(0)))).when(v == 2, F.concat(ref.required_actions, ref.forbidden_actions)).otherwise(ref.required_actions).alias("required_actions"),
+        F.when(v == 1, F.slice(ref.required_actions, F.lit(1), F.greatest(n - 1, F.lit(0)))).when(v == 2, F.concat(ref.required_actions, ref.forbidden_actions)).when(v == 0, disguised(ref.required_actions, F.pmod(doc, F.lit(3)))).otherwise(ref.required_actions).alias("required_actions"),
         ref.forbidden_actions.alias("forbidden_actions"),
-        F.when(v == 3, F.reverse(ref.procedure_order)).otherwise(ref.procedure_order).alias("procedure_order"),
+        F.when(v == 3, F.reverse(ref.procedure_order)).when(v == 0, disguised(ref.procedure_order, F.pmod(doc + 1, F.lit(3)))).otherwise(ref.procedure_order).alias("procedure_order"),
         F.when(v == 4, F.lit("")).otherwise(ref.final_answer).alias("final_answer"),
     )
     return built.select("task_id", F.concat("task_id", F.lit(".response")).alias("response_id"), F.when(v != 6, answer).alias("answer"), v.alias("variant"))
 
 
+def part_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks over parts: an order refers to all parts of its lines, which nearly all orders share in the end."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("p"), "l_partkey"))).alias("knowledge_unit_ids"))
+
+
 def unit_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks over several units: an order refers to its lines' part, quantity and place."""
     rows = table(spark, sf_dir, "lineitem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -52,7 +52,7 @@ _W = dict(verify.WEIGHTS)
 _K = (
     _T
     + f""",
-r AS (SELECT task_id, doc_id, fam, (doc_id + fi) % 7 AS v, {_REF} AS ref, {_NL("req")} AS nreq, {_NL("forb")} AS nforb, {_NL("proc")} AS nproc, {_NL("terms")} AS nterm, unit_id FROM t),
+r AS (SELECT task_id, doc_id, fam, (doc_id + fi) % 7 AS v, {_REF} AS ref, {_NL("req")} AS nreq, {_NL("forb")} AS nforb, {_NL("proc")} AS nproc, {_NL("terms")} AS nterm, unit_id, req AS oreq, forb AS oforb, terms AS oterm FROM t),
 a AS (SELECT *, CASE v WHEN 1 THEN nreq[1:greatest(len(nreq) - 1, 0)] WHEN 2 THEN list_concat(nreq, nforb) ELSE nreq END AS areq,
   CASE WHEN v = 3 THEN list_reverse(nproc) ELSE nproc END AS aproc, CASE WHEN v = 4 THEN '' ELSE {NORM.format("ref")} END AS fin,
   {_UNIQ("nreq")} AS ereq, {_UNIQ("nforb")} AS eforb, {_UNIQ("nproc")} AS eproc, {_UNIQ("nterm")} AS eterm FROM r),
@@ -73,9 +73,8 @@ c AS (SELECT task_id, doc_id, fam, v, bad, ungated * gate AS total, unnest([{",
 
 
 def _ledgers(spark: SparkSession, d: str, evidence: bool = False) -> DataFrame:
-    built = bridge.tasks(spark, d)
-    # the test texts normalise by built-ins alone, so no Python runs
-    return verify.verify(bridge.responses(built), built, evidence=evidence, simple=True)
+    built = bridge.tasks(spark, d, scored=True)
+    return verify.verify(bridge.responses(built), built, evidence=evidence)
 
 
 def _r9(c) -> F.Column:
@@ -96,10 +95,11 @@ def q_units(spark, d):
     return rows.select("unit_id", "title", "family", "section", *[F.size(c).cast("long").alias(n) for c, n in (("required_actions", "n_required"), ("forbidden_actions", "n_forbidden"), ("procedure_steps", "n_procedure"), ("exceptions", "n_exceptions"))], F.array_join("terms", " ").alias("terms"), status.alias("review_status"))
 
 
-@query("SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS text_sha256 FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'given-' || doc_id WHEN text <> '' THEN sha256(text) END AS text_sha256 FROM documents")
 def q_hash_fill(spark, d):
-    """Missing text hashes filled in."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("text_sha256"))
+    """Text hashes filled in where they are missing or blank, kept where given."""
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("given-"), "doc_id")).when(F.col("doc_id") % 3 == 1, "")
+    docs = table(spark, d, "documents").select("doc_id", "text", given.alias("text_sha256"))
     return audit.filled_hashes(docs, "text", "text_sha256").select("doc_id", "text_sha256")
 
 
@@ -181,6 +181,28 @@ def q_split_components(spark, d):
     return split.split_tasks(bridge.unit_tasks(spark, d), SEED, "knowledge_unit").groupBy("split").agg(F.count("*").alias("n_tasks"), F.countDistinct("group_key").alias("n_groups"))
 
 
+#: least label of each part's component, label by label until none falls
+_PARTS = """
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, 'p' || l_partkey AS p FROM lineitem),
+fl AS (SELECT o, min(p) AS least FROM e GROUP BY 1),
+g AS (SELECT DISTINCT p, least AS q FROM e JOIN fl USING (o) UNION SELECT DISTINCT least, p FROM e JOIN fl USING (o)),
+cc(p, c) USING KEY (p) AS (SELECT DISTINCT p, p FROM e
+  UNION (SELECT u.p, min(v.c) FROM recurring.cc u JOIN g ON g.p = u.p JOIN cc v ON v.p = g.q WHERE v.c < u.c GROUP BY u.p)),
+ug AS (SELECT DISTINCT 'o' || o AS task_id, 'units-from:' || c AS group_key FROM e JOIN cc USING (p))"""
+
+
+@query(_PARTS + " SELECT task_id, group_key FROM ug")
+def q_components_parts(spark, d):
+    """Tasks by the parts they share, directly or through others: one giant component and what is left."""
+    return split.component_names(bridge.part_tasks(spark, d))
+
+
+@query(_PARTS + ", gk AS (SELECT DISTINCT group_key FROM ug)," + _APPORTION + " SELECT split, count(*) AS n_tasks, count(DISTINCT group_key) AS n_groups FROM ug JOIN asg USING (group_key) GROUP BY 1")
+def q_split_parts(spark, d):
+    """The split by shared parts: no part is in two splits, so a giant component is in one."""
+    return split.split_tasks(bridge.part_tasks(spark, d), SEED, "knowledge_component").groupBy("split").agg(F.count("*").alias("n_tasks"), F.countDistinct("group_key").alias("n_groups"))
+
+
 # ---------------------------------------------------------------------- audits
 _NAIVE = "CASE CAST('0x' || substr(sha256({}), 1, 1) AS INTEGER) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END"
 
@@ -204,6 +226,13 @@ def q_leakage_unit(spark, d):
     return audit.leaking(rows, "unit_id")
 
 
+@query(f"SELECT 'p' || l_partkey AS unit_id, count(DISTINCT {_NAIVE.format('CAST(l_orderkey AS VARCHAR)')}) AS n_splits FROM lineitem GROUP BY 1 HAVING n_splits > 1")
+def q_leakage_parts(spark, d):
+    """Parts that a naive per-order split leaks."""
+    rows = bridge.part_tasks(spark, d).withColumn("split", _naive(F.substr("task_id", F.lit(2)))).select("split", F.explode("knowledge_unit_ids").alias("unit_id"))
+    return audit.leaking(rows, "unit_id")
+
+
 @query("SELECT sha256(text) AS text_sha256, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1")
 def q_duplicates(spark, d):
     """Texts that occur more than once."""
@@ -243,8 +272,7 @@ def q_split_overlap(spark, d):
 def q_ordinal_check(spark, d):
     """Turn numbers (made to wrap) that do not rise within a conversation."""
     rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("position"), (F.col("turn") % 3).alias("turn"))
-    w = Window.partitionBy("conv_id").orderBy("position")
-    return rows.withColumn("previous", F.lag("turn").over(w)).where("turn <= previous").select("conv_id", "turn", "previous")
+    return audit.ordinal_breaks(rows, "conv_id", "turn", "position").select("conv_id", "turn", "previous")
 
 
 # --------------------------------------------------------------------- scoring
@@ -267,7 +295,7 @@ _RAW = (
 
 
 @query(
-    "WITH x AS (SELECT doc_id, kind, raw FROM documents CROSS JOIN (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in _RAW) + ") r(kind, raw)),\n"
+    "WITH x AS (SELECT doc_id, kind, replace(raw, '\"a\"', '\"' || source || doc_id || '\"') AS raw FROM documents CROSS JOIN (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in _RAW) + ") r(kind, raw)),\n"
     + "y AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM x)\n"
     + """SELECT doc_id, kind, coalesce(json_type(j) = 'OBJECT'
  AND len(list_filter(json_keys(j), lambda k: k NOT IN ('applicable_rules', 'situation_type', 'required_actions', 'forbidden_actions', 'procedure_order', 'final_answer', 'schema_version'))) = 0
@@ -279,8 +307,9 @@ _RAW = (
 def q_verify_invalid(spark, d):
     """Strict parsing of raw answers, one of each kind a document."""
     raws = spark.createDataFrame(list(_RAW), "kind string, raw string")
-    rows = table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(raws))
-    return rows.select("doc_id", "kind", verify.parsed(F.col("raw")).isNotNull().alias("valid"))
+    rows = table(spark, d, "documents").select("doc_id", "source").crossJoin(F.broadcast(raws))
+    raw = F.replace("raw", F.lit('"a"'), F.concat(F.lit('"'), "source", "doc_id", F.lit('"')))
+    return rows.select("doc_id", "kind", verify.parsed(raw).isNotNull().alias("valid"))
 
 
 @query(_K + " SELECT component_id, round(avg(score), 9) AS mean_score, count(*) AS n FROM c GROUP BY 1")
@@ -302,8 +331,8 @@ def q_metrics_pivot(spark, d):
 @query(_K.replace("(doc_id + fi) % 7 AS v", "0 AS v") + " SELECT task_id, round(ungated * gate, 9) AS total, ungated * gate = 1.0 AS valid FROM l")
 def q_symbolic_eval(spark, d):
     """Tasks answered from their own keys."""
-    built = bridge.tasks(spark, d)
-    ledgers = verify.verify(export.symbolic_responses(built), built, evidence=False, simple=True)
+    built = bridge.tasks(spark, d, scored=True)
+    ledgers = verify.verify(export.symbolic_responses(built), built, evidence=False)
     return ledgers.join(verify.gold_valid(ledgers), "task_id").select("task_id", _r9("total_score").alias("total"), "valid")
 
 
@@ -337,31 +366,107 @@ SELECT 'curriculum:failure:' || component AS request_id, priority, n_tasks, n_un
 )
 def q_curriculum_topk(spark, d):
     """The three most urgent requests with their source tasks."""
-    built = bridge.tasks(spark, d)
-    ledgers = verify.verify(bridge.responses(built), built, evidence=False, simple=True)
-    clusters = failures.cluster_failures(ledgers, built)
-    requests = failures.build_curriculum(clusters, built, 3)
-    return requests.select("request_id", F.col("priority").cast("long").alias("priority"), F.size("parent_task_ids").cast("long").alias("n_tasks"), F.size("knowledge_unit_ids").cast("long").alias("n_units"), "task_family")
+    built = bridge.tasks(spark, d, scored=True)
+    requests = failures.curriculum_summary(_ledgers(spark, d), built, 3)
+    return requests.select("request_id", F.col("priority").cast("long").alias("priority"), "n_tasks", "n_units", "task_family")
+
+
+@query(_K + " SELECT DISTINCT 'failure:' || component_id AS cluster_id, task_id, task_id || '.response' AS first_response FROM c WHERE score < 1")
+def q_cluster_members(spark, d):
+    """The tasks of each failure cluster, as rows."""
+    return failures.cluster_members(_ledgers(spark, d)).select("cluster_id", "task_id", "first_response")
+
+
+_HELD = lambda n, o, x: f"list_transform(list_filter(range(1, len({n}) + 1), lambda i: {n}[i] <> '' AND list_position({n}, {n}[i]) = i AND {x}), lambda i: {o}[i])"
+_SAID = lambda label, x: f"CASE WHEN len({x}) > 0 THEN '{label}' || array_to_string({x}, '; ') END"
+
+
+@query(
+    _K
+    + f""", p AS (SELECT task_id, v,
+  {_HELD("nreq", "oreq", "list_contains(areq, nreq[i])")} AS hr, {_HELD("nreq", "oreq", "NOT list_contains(areq, nreq[i])")} AS lr,
+  {_HELD("nforb", "oforb", "true")} AS hf, {_HELD("nforb", "oforb", "(list_contains(areq, nforb[i]) OR list_contains(aproc, nforb[i]))")} AS un,
+  CASE WHEN v = 5 THEN [] ELSE [unit_id] END AS hu, CASE WHEN v = 5 THEN [unit_id] ELSE [] END AS lu,
+  {_HELD("nterm", "oterm", "contains(' ' || fin || ' ', ' ' || nterm[i] || ' ')")} AS ht, {_HELD("nterm", "oterm", "NOT contains(' ' || fin || ' ', ' ' || nterm[i] || ' ')")} AS lt FROM s0),
+e AS (SELECT task_id, v, unnest(['{verify.SAFETY}', '{verify.FORBIDDEN}', '{verify.RULE}', '{verify.TERMINOLOGY}']) AS component_id, unnest([hr, hf, hu, ht]) AS held,
+  unnest([{_SAID("missing: ", "lr")}, {_SAID("positively recommended: ", "un")}, {_SAID("missing: ", "lu")}, {_SAID("missing: ", "lt")}]) AS said FROM p)
+SELECT task_id, component_id, CASE WHEN v = 6 THEN '' ELSE array_to_string(held, ' | ') END AS evidence, CASE WHEN v = 6 THEN '{verify.INVALID_NOTE}' ELSE said END AS notes FROM e"""
+)
+def q_verify_evidence(spark, d):
+    """Evidence and notes of every component but the ordered one, whose places q_ordered_places compares."""
+    rows = verify.component_rows(_ledgers(spark, d, evidence=True)).where(F.col("component_id") != verify.PROCEDURE)
+    return rows.select("task_id", "component_id", F.array_join("evidence", " | ").alias("evidence"), "notes")
 
 
 @query(_K + """, z AS (SELECT avg(CASE WHEN v = 0 THEN ungated * gate END) AS ad, avg(CASE WHEN v = 2 THEN ungated * gate END) AS ba, count(CASE WHEN v = 2 THEN 1 END) AS nb, count(CASE WHEN v = 0 THEN 1 END) AS na FROM l)
 SELECT nb AS baseline_n, na AS adapted_n, round(ba, 9) AS baseline_mean, round(ad, 9) AS adapted_mean, round(ad - ba, 9) AS absolute_delta, round(CASE WHEN ba = 0 THEN 0 ELSE 100 * (ad - ba) / ba END, 6) AS relative_percent FROM z""")
 def q_baseline_vs_adapted(spark, d):
     """Two variants compared as two runs."""
-    built = bridge.tasks(spark, d)
+    built = bridge.tasks(spark, d, scored=True)
     given = bridge.responses(built)
-    ledgers = verify.verify(given.where("variant IN (0, 2)"), built, evidence=False, simple=True).join(given.select("task_id", "variant"), "task_id")
+    ledgers = verify.verify(given.where("variant IN (0, 2)"), built, evidence=False).join(given.select("task_id", "variant"), "task_id")
     c = failures.compare_runs(ledgers, "variant", 2, 0)
     return c.select("baseline_n", "adapted_n", *[_r9(x).alias(x) for x in ("baseline_mean", "adapted_mean", "absolute_delta")], F.round("relative_percent", 6).alias("relative_percent"))
 
 
+@query(
+    _K
+    + """, m AS (SELECT v, 'total' AS kind, 'total_score' AS name, ungated * gate AS x FROM l UNION ALL SELECT v, 'component', component_id, score FROM c
+  UNION ALL SELECT v, 'diagnostic', 'schema_validity', ok::INT FROM l UNION ALL SELECT v, 'diagnostic', 'source_grounding', c2 FROM l
+  UNION ALL SELECT v, 'diagnostic', 'unsafe_recommendation_detected', bad::INT FROM l UNION ALL SELECT v, 'reconciliation', 'reconciled', 1 FROM l)
+SELECT v AS run, kind, name, round(avg(x), 9) AS mean, count(*) AS n FROM m GROUP BY 1, 2, 3"""
+)
+def q_run_means(spark, d):
+    """All means of seven runs: totals, components, diagnostics, reconciliation."""
+    built = bridge.tasks(spark, d, scored=True)
+    given = bridge.responses(built)
+    runs = failures.run_means(verify.verify(given, built, evidence=False).join(given.select("task_id", "variant"), "task_id"), "variant")
+    return runs.select("run", "kind", "name", _r9("mean").alias("mean"), "n")
+
+
+@query("""WITH o AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN toxic = 1 THEN 'error' WHEN quality = 1 THEN 'valid' ELSE 'invalid' END AS outcome
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id))
+SELECT n.outcome, count(o.doc_id) AS n, round(count(o.doc_id) / (SELECT count(*) FROM documents)::DOUBLE, 9) AS share
+FROM (VALUES ('valid'), ('invalid'), ('error'), ('missing'), ('timeout')) n(outcome) LEFT JOIN o USING (outcome) GROUP BY 1""")
+def q_outcomes(spark, d):
+    """Outcomes of a check of every document, those without one missing."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    results = labels.select(F.col("doc_id").alias("task_id"), F.when(F.col("toxic") == 1, "crashed").when(F.col("quality") == 1, "valid").otherwise("invalid").alias("outcome"))
+    return failures.outcome_histogram(table(spark, d, "documents").select(F.col("doc_id").alias("task_id")), results).withColumn("share", _r9("share"))
+
+
+_ORDERS = "SELECT conv_id, list(role ORDER BY turn) AS e, list(role ORDER BY turn DESC) AS a FROM conversations GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE x AS ({_ORDERS}),
+dp AS (SELECT conv_id, e, a, 0 AS i, list_transform(range(0, len(a) + 1), lambda j: 0) AS row FROM x
+  UNION ALL SELECT conv_id, e, a, i + 1, list_reduce(range(1, len(a) + 1), lambda acc, j: list_append(acc, CASE WHEN e[i + 1] = a[j] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[-1]) END), [0]) FROM dp WHERE i < len(e))
+SELECT conv_id, CAST(row[-1] AS BIGINT) AS n FROM dp WHERE i = len(e)""")
+def q_ordered_places(spark, d):
+    """Longest common subsequence of each conversation's roles with their reverse."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    e = rows.select("conv_id", F.transform("r", lambda x: x.role).alias("e")).withColumn("a", F.reverse("e"))
+    return e.select("conv_id", F.size(T.lcs_places("e", "a")).cast("long").alias("n"))
+
+
 # --------------------------------------------------------------------- exports
-@query(_T + f""" SELECT task_id AS id, 3 AS n_messages, 'assistant' AS last_role, sha256(concat_ws(chr(10), 'Task family: ' || fam, 'Source unit: ' || unit_id, 'Title: ' || title, 'Section: ' || nullif(section, ''), '', 'Source text:', body, '', 'Assignment:', instruction)) AS user_sha256, sha256({_REF}) AS final_sha256 FROM t""")
+_ESCAPED = """list_transform(string_split({x}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN ord(c) = 10 THEN '\\n' WHEN ord(c) = 13 THEN '\\r' WHEN ord(c) = 9 THEN '\\t' WHEN ord(c) = 8 THEN '\\b' WHEN ord(c) = 12 THEN '\\f'
+  WHEN ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN printf('\\u%04x', ord(c)) ELSE printf('\\u%04x\\u%04x', 55296 + ((ord(c) - 65536) >> 10), 56320 + ((ord(c) - 65536) & 1023)) END)"""
+_STRING = lambda x: "'\"' || array_to_string(" + _ESCAPED.format(x=x) + ", '') || '\"'"
+_ARRAY = lambda x: f"'[' || array_to_string(list_transform({x}, lambda z: {_STRING('z')}), ', ') || ']'"
+
+
+@query(
+    _T
+    + f""", h AS (SELECT unit_id AS hu, '{{"applicable_rules": [' || {_STRING("unit_id")} || '], "final_answer": ' || {_STRING(_REF)} || ', "forbidden_actions": ' || {_ARRAY("forb")} || ', "procedure_order": ' || {_ARRAY("proc")} || ', "required_actions": ' || {_ARRAY("req")} || ', "schema_version": "0.1", "situation_type": ' AS head FROM u)
+SELECT task_id AS id, 3 AS n_messages, 'assistant' AS last_role, sha256(concat_ws(chr(10), 'Task family: ' || fam, 'Source unit: ' || unit_id, 'Title: ' || title, 'Section: ' || nullif(section, ''), '', 'Source text:', body, '', 'Assignment:', instruction)) AS user_sha256,
+  sha256(head || '"' || fam || '"}}') AS answer_sha256 FROM t JOIN h ON hu = unit_id"""
+)
 def q_sft_messages(spark, d):
-    """Chat records; the assistant's JSON is read back for comparison."""
-    records = export.sft_records(bridge.tasks(spark, d))
+    """Chat records, compared byte by byte."""
+    records = export.sft_records(bridge.tasks(spark, d, trained=True))
     said = F.col("messages")
-    return records.select("id", F.size("messages").alias("n_messages"), said[2].role.alias("last_role"), F.sha2(said[1].content, 256).alias("user_sha256"), F.sha2(F.get_json_object(said[2].content, "$.final_answer"), 256).alias("final_sha256"))
+    return records.select("id", F.size("messages").alias("n_messages"), said[2].role.alias("last_role"), F.sha2(said[1].content, 256).alias("user_sha256"), F.sha2(said[2].content, 256).alias("answer_sha256"))
 
 
 @query(_T + f" SELECT task_id AS id, 6 AS n_fields, array_to_string(req, '; ') AS required, array_to_string(terms, '; ') AS terms, sha256({_REF}) AS reference_sha256, fam AS task_family FROM t")
@@ -377,6 +482,15 @@ def q_packaged_index(spark, d):
     return export.packaged(built).select("task_id", "group_id", "idx")
 
 
+@query(_T + """, x AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS idx FROM t)
+SELECT task_id, 'another prompt' AS fault FROM x WHERE idx % 10 = 0 AND idx % 7 <> 0 UNION ALL SELECT task_id, 'not packaged' FROM x WHERE idx % 7 = 0""")
+def q_parity(spark, d):
+    """A package with changed prompts and lost tasks against the tasks it came from."""
+    built = bridge.tasks(spark, d).withColumn("split", F.lit(None).cast("string"))
+    package = export.packaged(built).where("idx % 7 <> 0").withColumn("prompt", F.when(F.col("idx") % 10 == 0, F.concat("prompt", F.lit("!"))).otherwise(F.col("prompt")))
+    return export.parity_faults(built, package)
+
+
 @query(_U + " SELECT CAST(6 * count(CASE WHEN len(req) > 0 THEN 1 END) AS BIGINT) AS required, CAST(6 * count(CASE WHEN len(forb) > 0 THEN 1 END) AS BIGINT) AS forbidden, CAST(6 * count(CASE WHEN len(proc) > 0 THEN 1 END) AS BIGINT) AS procedure, CAST(6 * count(CASE WHEN len(terms) > 0 THEN 1 END) AS BIGINT) AS terms FROM u")
 def q_answer_key_nonempty(spark, d):
     return export.key_counts(bridge.tasks(spark, d))
@@ -435,7 +549,7 @@ def q_tree_flatten(spark, d):
     middle = table(spark, d, "nation").join(leaf, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     middle = middle.groupBy("n_regionkey").agg(F.collect_list(F.struct(*rule(F.concat(F.lit("n"), "n_nationkey"), F.col("n_name"), F.lit(None).cast("string")), "sub_rules")).alias("sub_rules"))
     top = table(spark, d, "region").join(middle, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(*rule(F.concat(F.lit("r"), "r_regionkey"), F.col("r_name"), F.col("r_name")), "sub_rules")
-    flat = importers.flatten_rules(top, 2)
+    flat = importers.flatten_rules(top)
     return flat.select("unit_id", T.slug(F.col("parent_rule_id"), "rule-").alias("parent"), "family", (F.size("path") - 1).alias("depth"))
 
 
@@ -462,12 +576,14 @@ def q_segments(spark, d):
     return out.groupBy(F.col("document_id").alias("doc_id"), "segment").agg(F.count("*").alias("n_lines"), F.min("line").cast("long").alias("first_line"))
 
 
-@query("SELECT conv_id, turn, string_agg(role, ',' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS n_before FROM conversations".replace("string_agg(role, ',' ORDER BY turn)", "string_agg(role, ',')"))
+@query("""WITH x AS (SELECT conv_id, turn, role, list(CASE WHEN role = 'user' THEN 'APPLY ONLY to ' || turn ELSE role || ' ' || turn END) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, array_to_string(p[list_position(list_transform(p, lambda z: z LIKE 'APPLY ONLY%'), true):], ' ') AS context FROM x WHERE role = 'assistant' AND list_contains(list_transform(p, lambda z: z LIKE 'APPLY ONLY%'), true)
+UNION ALL SELECT conv_id, turn, NULL FROM x WHERE role = 'assistant' AND NOT coalesce(list_contains(list_transform(p, lambda z: z LIKE 'APPLY ONLY%'), true), false)""")
 def q_lookback(spark, d):
-    """Roles of up to eight turns before each one."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-8, -1)
-    rows = table(spark, d, "conversations")
-    return rows.select("conv_id", "turn", F.nullif(F.array_join(F.collect_list("role").over(w), ","), F.lit("")).alias("before"), F.count("*").over(w).alias("n_before"))
+    """Up to eight turns before each answer, from the first heading among them on."""
+    said = F.when(F.col("role") == "user", F.concat(F.lit("APPLY ONLY to "), "turn")).otherwise(F.concat("role", F.lit(" "), "turn"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.lit(0).alias("page"), F.col("turn").alias("line"), said.alias("text"), "role")
+    return segments.lookback(rows, F.col("role") == "assistant").select(F.col("document_id").alias("conv_id"), F.col("line").alias("turn"), "context")
 
 
 @query("SELECT conv_id, turn, n AS occurrence, role || CASE WHEN n > 1 THEN '@p' || lpad(CAST(turn AS VARCHAR), 3, '0') || '-v' || n ELSE '' END AS unit_rule_id FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)")
@@ -483,6 +599,22 @@ def q_batches(spark, d):
     return importers.wrap_batches(table(spark, d, "events").select("event_id"), "event_id").select("event_id", F.col("batch").cast("long").alias("batch"))
 
 
+@query("WITH n AS (SELECT count(*) AS n FROM customer), x AS (SELECT c_custkey, r, p FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) CROSS JOIN range(3) q(p)) SELECT c_custkey, CAST(p * ((n + 3) // 4) + (r - 1) // 4 AS BIGINT) AS batch FROM x, n WHERE p * n + r <= n * 5 // 2")
+def q_wrapped_batches(spark, d):
+    """Customers gone through two and a half times, in batches of four."""
+    rows = table(spark, d, "customer").select("c_custkey")
+    return importers.wrap_batches(rows, "c_custkey", 4, rows.count() * 5 // 2).select("c_custkey", F.col("batch").cast("long").alias("batch"))
+
+
+@query("SELECT p_partkey, 'Rule ' || p_partkey AS start_name FROM part WHERE p_partkey IN (SELECT max(p_partkey) FROM part) UNION ALL SELECT p_partkey, 'Rule ' || (p_partkey - p_partkey % 3) FROM part WHERE p_partkey NOT IN (SELECT max(p_partkey) FROM part) AND p_partkey >= 3 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey < 3")
+def q_asof_table(spark, d):
+    """The last section at or below each part, from a table of sections too long to be a literal at size."""
+    parts = table(spark, d, "part").select("p_partkey")
+    last = parts.agg(F.max("p_partkey")).first()[0]
+    sections = parts.where(f"p_partkey > 2 AND p_partkey % 3 = 0 OR p_partkey = {last}").select(F.col("p_partkey").alias("start"), F.concat(F.lit("Rule "), "p_partkey").alias("start_name"))
+    return segments.section_of(parts, sections, "p_partkey", name="start_name")
+
+
 # ------------------------------------------------------------------------ rest
 @query("SELECT doc_id, round(0.5 * quality + 0.3 * (1 - toxic) + 0.2 * quality * (1 - toxic), 9) AS reward FROM labels".replace("0.5 *", "0.5::DOUBLE *").replace("0.3 *", "0.3::DOUBLE *").replace("0.2 *", "0.2::DOUBLE *"))
 def q_legacy_reward(spark, d):
@@ -493,6 +625,6 @@ def q_legacy_reward(spark, d):
 
 @query()
 def q_fidelity(spark, d):
-    """Text similarity of each answer with its first two lines, over all units."""
-    rows = bridge.units(spark, d).select("unit_id", F.array_join("required_actions", " ").alias("a"), F.array_join("procedure_steps", " ").alias("b"))
-    return rows.select("unit_id", _r9(T.similarity(T.normalize(F.col("a")), T.normalize(F.col("b")))).alias("fidelity"))
+    """Likeness of each answer's text to its reference text, over all responses."""
+    built = bridge.tasks(spark, d)
+    return verify.fidelity(bridge.responses(built), built).select("task_id", _r9("fidelity").alias("fidelity"))

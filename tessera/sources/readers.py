@@ -31,14 +31,23 @@ def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str, *wrappers: str) -> DataFrame:
-    """Records of a JSON-lines file, a JSON list, or an object that holds the list under one of ``wrappers``; an object with none of them is one record."""
+    """Records of a JSON-lines file, a JSON list, or an object that holds the list under one of ``wrappers``; an object with none of them is one record.
+
+    A text that is no JSON, a wrapper that holds no list, and an entry that is no object are errors."""
     if is_lines(path):
         return read_json_lines(spark, path, schema)
-    whole = spark.read.text(path, wholetext=True)
-    listed = [F.from_json(F.get_json_object("value", f"$.{w}"), f"array<struct<{_inner(schema)}>>") for w in wrappers]
-    one = F.array(F.from_json("value", f"struct<{_inner(schema)}>"))
-    rows = F.when(strip(F.col("value")).startswith("["), F.from_json("value", f"array<struct<{_inner(schema)}>>")).otherwise(F.coalesce(*listed, one))
-    return whole.select(F.inline(rows))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    value = strip(F.col("value"))
+    fail = lambda what: F.raise_error(F.concat(F.lit(what + ": "), "file")).cast("array<string>")
+    parsed = F.try_parse_json("value")
+    listed = F.when(value.startswith("["), F.from_json(value, "array<string>"))
+    for w in wrappers:
+        inside = F.get_json_object(value, f"$.{w}")
+        listed = F.coalesce(listed, F.when(inside.isNotNull(), F.when(inside.startswith("["), F.from_json(inside, "array<string>")).otherwise(fail(f"{w} holds no list"))))
+    items = F.when(parsed.isNull(), fail("not valid JSON")).otherwise(F.coalesce(listed, F.when(value.startswith("{"), F.array(value)), fail("neither a list nor an object")))
+    bad = F.exists("items", lambda x: x.isNull() | ~x.startswith("{"))
+    rows = whole.select("file", items.alias("items")).select(F.explode(F.when(bad, fail("an entry is no object")).otherwise(F.col("items"))).alias("item"))
+    return rows.select(F.from_json("item", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def _inner(schema: str) -> str:
@@ -81,9 +90,24 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, text) of whole text files; ``segments.page_lines`` cuts them at form feeds."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("document_id"), F.col("value").alias("text"))
+def read_pages(spark: SparkSession, path: str, pages: int | None = None) -> DataFrame:
+    """(document_id, text) of whole text files; ``segments.page_lines`` cuts them at form feeds. Another number of pages than ``pages`` is an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("document_id"), F.col("value").alias("text"))
+    if pages is None:
+        return rows
+    found = F.size(F.split("text", "\f")) - 1
+    wrong = F.raise_error(F.concat(F.lit(f"expected {pages} pages, found "), found.cast("string"), F.lit(": "), "document_id")).cast("string")
+    return rows.withColumn("text", F.when(found == pages, F.col("text")).otherwise(wrong))
+
+
+def read_examples(spark: SparkSession, path: str, max_examples: int = -1) -> DataFrame:
+    """(question, answer, info) of older task records, in their order; a positive ``max_examples`` keeps so many of the first."""
+    rows = read_records(spark, path, "task_id string, description string, expected_outcome string, applicable_rules array<string>")
+    shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    out = rows.select(
+        F.concat(F.lit("Task ID: "), shown("task_id"), F.lit("\nScenario: "), shown("description")).alias("question"), F.coalesce("expected_outcome", F.lit("")).alias("answer"), F.struct("task_id", "description", "applicable_rules").alias("info")
+    )
+    return out.limit(max_examples) if max_examples > 0 else out
 
 
 def read_catalogue(spark: SparkSession, root: str, schema: str = "volume_id string") -> DataFrame:

@@ -1,8 +1,8 @@
 """Sinks with content hashes: canonical JSON lines, trainer records, gzip, split folders.
 
-Tables go to Parquet. JSON-lines artefacts are single files by contract; their
-lines are made on executors and streamed through the driver one partition at a
-time (``toLocalIterator``), so the driver holds no more than that."""
+Tables go to Parquet, and large artefacts to folders of parts that executors write and
+hash (``write_parts``). Artefacts that are single files by contract are made on executors
+too, but streamed through the driver one partition at a time (``toLocalIterator``)."""
 
 from __future__ import annotations
 
@@ -77,6 +77,22 @@ def write_lines(df: DataFrame, root: str, relative: str, order: str | None = Non
     return _store(root, relative, ((r["line"] + "\n").encode() for r in lines.toLocalIterator(prefetchPartitions=True)), "application/gzip" if compress else "application/x-ndjson", compress)
 
 
+def write_parts(df: DataFrame, folder: str, order: str | None = None, text: str | None = None, parts: int | None = None) -> dict:
+    """Canonical JSON lines of ``df`` as a folder of parts, in order from part to part; ``folder`` may be on any file system.
+
+    Parts are written and hashed on executors. What comes here is a line a part: its
+    name, hash, size and records; the folder's hash is over those, in order."""
+    spark = df.sparkSession
+    if order is not None:
+        df = (df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)).sortWithinPartitions(order)
+    df.select((F.col(text) if text else canonical_column(*df.columns)).alias("value")).write.mode("error").text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    lines = F.length(F.col("content")) - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))
+    rows = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), lines.cast("long").alias("record_count")).orderBy("path").collect()
+    found = [r.asDict() for r in rows]
+    return {"parts": found, "record_count": sum(r["record_count"] for r in found), "sha256": hashlib.sha256("".join(f"{r['path'].split('-')[1]}:{r['sha256']}\n" for r in found).encode()).hexdigest()}
+
+
 def write_splits(tasks: DataFrame, root: str, order: str = "task_id") -> list[Artifact]:
     """``splits/{train,dev,test}.jsonl``; a split without tasks gets an empty file."""
     return [write_lines(tasks.where(F.col("split") == s), root, f"splits/{s}.jsonl", order) for s in SPLITS]

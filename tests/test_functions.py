@@ -19,9 +19,11 @@ def test_normalize_agrees_with_python(spark):
 
 
 def test_normalize_all_covers_other_scripts(spark):
-    values = ["ﬁn İstanbul", "ΣΑΣ — x", "a_b  C", "Ⅳ"]
-    row = spark.createDataFrame([(values,)], "v array<string>").select(T.normalize_all(F.col("v")).alias("n")).first()
-    assert row["n"] == [T.normalize_python(v) for v in values]
+    values = ["ﬁn İstanbul", "ΣΑΣ — x", "a_b  C", "Ⅳ", "Ｆｕｌｌ　１２", "", "x\0y", "Straße", "①½", "日本語、テスト"]
+    lists = [values, values[2:3], [], ["a", ""], ["plain", "Text!"]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<string>").select("i", T.normalize_all(F.col("v")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == [[T.normalize_python(x) for x in v] for v in lists]
+    row = rows[0]
     assert unicodedata.normalize("NFKC", "Ⅳ").casefold() in row["n"][3]
 
 
@@ -43,8 +45,24 @@ def test_lcs_length_and_places(spark):
 
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
     got = df.select("a", "b", T.lcs_length(F.col("a"), F.col("b")).alias("n"), T.lcs_places("a", "b").alias("p")).collect()
+    def traced(e, a):
+        n = [[0] * (len(a) + 1) for _ in range(len(e) + 1)]
+        for i, x in enumerate(e):
+            for j, y in enumerate(a):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+
+        def walk(i, j):
+            if not i or not j:
+                return []
+            if e[i - 1] == a[j - 1]:
+                return [*walk(i - 1, j - 1), i - 1]
+            return walk(i - 1, j) if n[i - 1][j] >= n[i][j - 1] else walk(i, j - 1)
+
+        return walk(len(e), len(a))
+
     for r in got:
         assert r["n"] == length(r["a"], r["b"]) == len(r["p"])
+        assert r["p"] == traced(r["a"], r["b"])
         rest = iter(r["b"])
         assert all(r["a"][i] in rest for i in r["p"])
 
@@ -60,6 +78,11 @@ def test_unique_coverage_and_phrases(spark):
 
 def test_slug_strip_and_numbers(spark):
     df = spark.createDataFrame([("  Rule 7(A) ", 0.5), (" -- ", 1.0), ("x", 1 / 3)], "s string, n double")
+    values = [0.0, 1.0, 1 / 3, 1 / 12, 1 / 1024, 73 / 256, 0.5, 2 / 3, 0.0123456789, 0.000123456, 1.5e-05, 0.1, 0.09999999, 1 / 7000]
+    short = spark.createDataFrame([(v,) for v in values], "n double").select(T.short_number(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in short] == [f"{v:.6g}" for v in values]
+    with pytest.raises(Exception, match="no letter or digit"):
+        spark.createDataFrame([("--",)], "s string").select(T.required_slug(F.col("s"))).collect()
     rows = df.select(T.slug(F.col("s"), "r-").alias("s"), T.short_number(F.col("n")).alias("n")).collect()
     assert [tuple(r) for r in rows] == [("r-rule-7-a", "0.5"), (None, "1"), ("r-x", f"{1 / 3:.6g}")]
 

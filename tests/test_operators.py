@@ -59,6 +59,8 @@ def test_tasks_that_share_units_share_a_split(spark):
     df = spark.createDataFrame([("t1", ["A"]), ("t2", ["A", "B"]), ("t3", ["B"]), ("t4", ["C"])], "task_id string, knowledge_unit_ids array<string>")
     keys = {r["task_id"]: r["group_key"] for r in split.component_keys(df).collect()}
     assert keys == {"t1": "units:A|B", "t2": "units:A|B", "t3": "units:A|B", "t4": "units:C"}
+    names = {r["task_id"]: r["group_key"] for r in split.component_names(df).collect()}
+    assert names == {"t1": "units-from:A", "t2": "units-from:A", "t3": "units-from:A", "t4": "units-from:C"}
     custom = split.split_tasks(df.withColumn("rule_family", F.lit(None).cast("string")), "7", F.substring("task_id", 1, 1))
     assert custom.select("split").distinct().count() == 1
     with pytest.raises(Exception, match="null"):
@@ -91,6 +93,27 @@ def test_connected_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_and_a_long_path_are_one_component(spark):
+    hub = spark.range(1, 4000).selectExpr("0L AS a", "id AS b")
+    path = spark.range(5000, 5300).selectExpr("id AS a", "id + 1 AS b")
+    got = connected_components(hub.union(path)).groupBy("component").agg(F.count("*").alias("n")).collect()
+    assert {(r["component"], r["n"]) for r in got} == {(0, 4000), (5000, 301)}
+
+
+def test_intermediate_tables_are_discarded(spark):
+    from tessera.sources import work
+
+    before = set(work._written)
+    connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in set(work._written) - before}
+    assert left == {"pairs", "edges"}
+    table = work.written(spark.range(3), "gone")
+    work.discard(table)
+    assert table._tessera_path not in work._written
+    with pytest.raises(Exception):
+        spark.read.parquet(table._tessera_path)
+
+
 TASK = ("t", [["r1"], ["Stop", "Look"], ["Run"], ["one", "two", "three"], ["signal"], "ref"])
 
 
@@ -137,6 +160,8 @@ def test_weights_and_options(spark):
         with pytest.raises(ValueError):
             verify.weights_of(bad)
     assert verify.unanswerable(spark.createDataFrame([("z",)], "task_id string"), tasks).count() == 1
+    with pytest.raises(Exception, match="unknown task: z"):
+        verify.verify(responses.withColumn("task_id", F.lit("z")), tasks).collect()
 
 
 def test_empty_expectations_score_one(spark):
@@ -165,6 +190,17 @@ def test_clusters_and_curriculum(spark):
     assert len(top) == 1 and top[0]["request_id"] == f"curriculum:failure:{verify.SAFETY}" and top[0]["expected_required_actions"] == ["Stop", "Look"] and "Stop; Look" in top[0]["goal"]
     assert failures.cluster_summary(verify.verify(responses, tasks), minimum=2).count() == 1
     assert failures.build_curriculum(clusters, tasks, 0).count() == 0
+    ledgers = verify.verify(responses, tasks)
+    short = failures.curriculum_summary(ledgers, tasks, 2).orderBy("priority").collect()
+    assert [(r["component"], r["n_tasks"], r["n_units"], r["task_family"]) for r in short] == [(verify.SAFETY, 1, 1, "edge_case"), (verify.FORBIDDEN, 1, 1, "edge_case")]
+    members = {(r["component"], r["task_id"], r["first_response"], r["n"]) for r in failures.cluster_members(ledgers).collect()}
+    assert members == {(verify.SAFETY, "t", "r0", 1), (verify.FORBIDDEN, "t", "r1", 1), (verify.RULE, "t", "r2", 2)}
+    record = json.loads(failures.curriculum_records(clusters, tasks, 1).first()["record"])
+    assert record["request_id"] == top[0]["request_id"] and record["parent_task_ids"] == ["t"]
+    means = {(r["run"], r["name"]): r["mean"] for r in failures.run_means(ledgers.withColumn("run", F.lit("x")), "run").collect()}
+    assert means["x", verify.RULE] == 0.5 and means["x", "reconciled"] == 1.0 and means["x", "unsafe_recommendation_detected"] == 0.25
+    outcomes = failures.outcome_histogram(spark.createDataFrame([("a",), ("b",), ("c",)], "task_id string"), spark.createDataFrame([("a", "invalid"), ("a", "valid"), ("b", "odd")], "task_id string, outcome string"))
+    assert {r["outcome"]: r["n"] for r in outcomes.collect()} == {"valid": 1, "invalid": 0, "error": 1, "missing": 1, "timeout": 0}
     for call in (lambda: failures.rank_clusters(clusters, -1), lambda: failures.failing(clusters, 2.0), lambda: failures.cluster_summary(verify.verify(responses, tasks), minimum=0)):
         with pytest.raises(ValueError):
             call()
@@ -176,20 +212,31 @@ def test_audits(spark):
     assert {f for _, f in faults} == {"pages reversed", "repeated span id", "blank text", "bad hash", "ordinal not rising"}
     units = make_units(spark, [{"unit_id": "a"}, cited("b", "f", kind="nonsense", confidence=2.0)])
     assert {(r[0], r[1]) for r in audit.unit_faults(units).collect()} == {("a", "no citation"), ("b", "unknown kind"), ("b", "confidence outside 0..1")}
+    none = units.where("unit_id = 'b'").withColumns({c: F.lit(None).cast(units.schema[c].dataType) for c in ("kind", "review_status", "confidence", "text")})
+    assert {r[1] for r in audit.unit_faults(none).collect()} == {"unknown kind", "unknown review status", "confidence outside 0..1", "blank text"}
+    built = compiler.compile_units(make_units(spark, [cited("u", "f")]))
+    assert audit.task_faults(built).count() == 0
+    assert {r[1] for r in audit.task_faults(built.withColumn("task_family", F.lit(None).cast("string"))).collect()} == {"unknown family"}
     left, right = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,), (3,)], "x int")
     assert {(r["x"], r["side"]) for r in audit.multiset_difference(left, right).collect()} == {(1, "left"), (3, "right")}
     with pytest.raises(ValueError):
         audit.demand_empty(left, "rows")
 
 
-def test_rule_import_is_preorder_with_inheritance(spark):
-    rules = [{"rule_id": "7", "text": "T", "category": "Flags", "section": "S", "page_number": 4, "sub_rules": [{"rule_id": "7A", "text": "U", "page_number": 0}, {"rule_id": "7B", "text": "V", "category": "Own", "page_number": 9}]}, {"rule_id": "42", "text": "W"}]
-    df = spark.createDataFrame([(json.dumps(rules),)], "v string").select(F.inline(F.from_json("v", f"array<{importers.rule_schema(2)}>")))
-    units = importers.import_rules(df, "doc", 2)
+def rules_of(spark, rules, tmp_path, name="rules.json"):
+    (tmp_path / name).write_text(json.dumps({"rules": rules}))
+    return readers.read_records(spark, str(tmp_path / name), importers.RULE, "rules")
+
+
+def test_rule_import_is_preorder_with_inheritance(spark, tmp_path):
+    rules = [{"rule_id": "7", "text": "T", "category": "Flags", "section": "S", "page_number": 4, "metadata": {"page_number": "old", "note": [1]}, "sub_rules": [{"rule_id": "7A", "text": "U", "page_number": 0}, {"rule_id": "7B", "text": "V", "category": "Own", "page_number": 9}]}, {"rule_id": "42", "text": "W"}]
+    units = importers.import_rules(rules_of(spark, rules, tmp_path), "doc")
     rows = units.orderBy("path").collect()
     assert [r["legacy_rule_id"] for r in rows] == ["7", "7A", "7B", "42"]
     assert [(r["family"], r["section"], r["citations"][0]["page_number"]) for r in rows] == [("Flags", "S", 4), ("Flags", "S", 4), ("Own", "S", 9), (None, None, None)]
     assert rows[1]["unit_id"] == "rule-7a" and json.loads(rows[1]["metadata"])["parent_unit_id"] == "rule-7"
+    assert json.loads(rows[0]["metadata"]) == {"note": [1], "legacy_rule_id": "7", "source_format": "rule_json", "page_number": 4}
+    assert audit.unit_faults(units).count() == 0
     tasks = spark.createDataFrame([("t1", "Do", ["7A", "99"], "out", "violation"), ("t2", "Do", ["7", "7B"], "out", None)], "task_id string, description string, applicable_rules array<string>, expected_outcome string, task_type string")
     got = {r["task_id"]: r for r in importers.import_tasks(tasks, units, "doc").collect()}
     assert got["t1"]["task_family"] == "violation_check" and got["t1"]["knowledge_unit_ids"] == ["rule-7a", "rule-99"]
@@ -197,30 +244,119 @@ def test_rule_import_is_preorder_with_inheritance(spark):
     assert got["t1"]["citations"][1]["span_id"] == "doc:rule:99"
 
 
-def test_fixture_import(spark):
-    row = {"task_id": "a", "expected_rule_ids": ["Rule 99"], "expected_required_actions": ["x"], "expected_forbidden_actions": [], "expected_procedure_order": [], "expected_terms": ["t"], "rule_family": "F", "source_citations": [{"confidence": 0.9}, {"confidence": 0.4}], "n": 1}
-    ddl = "task_id string, expected_rule_ids array<string>, expected_required_actions array<string>, expected_forbidden_actions array<string>, expected_procedure_order array<string>, expected_terms array<string>, rule_family string, source_citations array<struct<confidence:double>>, n int"
-    train = spark.createDataFrame([row, row | {"task_id": "b", "n": 2, "expected_required_actions": ["y"]}], ddl)
-    both = importers.fixture_rows(train, spark.createDataFrame([row | {"task_id": "c", "n": 3}], ddl))
-    assert {r["split"]: r["n"] for r in both.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"train": 2, "test": 1}
+def test_rules_nest_to_any_depth(spark, tmp_path):
+    rule = {"rule_id": "r0", "text": "t"}
+    for i in range(1, 12):
+        rule = {"rule_id": f"r{i}", "text": "t", "section": "deep" if i == 11 else None, "sub_rules": [rule]}
+    rows = importers.import_rules(rules_of(spark, [rule], tmp_path), "doc").orderBy("path").collect()
+    assert [r["legacy_rule_id"] for r in rows] == [f"r{i}" for i in range(11, -1, -1)] and {r["section"] for r in rows} == {"deep"}
+
+
+def test_aliases_and_coercions_of_rules_and_tasks(spark, tmp_path):
+    rules = [{"rule_id": 1, "text": " x ", "procedure": ["a", " b ", ""], "required_actions": "one string", "related_unit_ids": ["2"], "confidence": 0.5, "terms": None, "page_number": "3"}]
+    row = importers.import_rules(rules_of(spark, rules, tmp_path), "doc").first()
+    assert (row["unit_id"], row["text"], row["procedure_steps"], row["required_actions"], row["related_unit_ids"], row["confidence"], row["terms"]) == ("rule-1", "x", ["a", "b"], ["one string"], ["rule-2"], 0.5, [])
+    assert row["citations"][0]["page_number"] == 3 and row["citations"][0]["confidence"] == 0.5
+    (tmp_path / "tasks.json").write_text(json.dumps({"tasks": [{"task_id": "t", "description": "d", "applicable_rules": "1", "expected_outcome": "o", "procedure": "go", "tags": ["x", "imported"]}]}))
+    units, tasks = importers.import_bundle(rules_of(spark, rules, tmp_path), readers.read_records(spark, str(tmp_path / "tasks.json"), importers.RULE_TASK, "tasks"), "doc")
+    made = tasks.first()
+    assert (made["knowledge_unit_ids"], made["answer_key"]["procedure_order"], made["tags"]) == (["rule-1"], ["go"], ["imported", "x"])
+
+
+@pytest.mark.parametrize(
+    "rule,what",
+    [({"text": "x"}, "rule_id"), ({"rule_id": "1", "text": " "}, "blank text of 1"), ({"rule_id": "--", "text": "x"}, "no letter or digit"), ({"rule_id": "1", "text": "x", "sub_rules": ["y"]}, "list of objects"), ({"rule_id": "1", "text": "x", "terms": {"a": 1}}, "expected a text or a list"), ({"rule_id": "1", "text": "x", "metadata": [1]}, "metadata must be an object")],
+)
+def test_bad_rules_are_errors(spark, tmp_path, rule, what):
+    with pytest.raises(Exception, match=what):
+        importers.import_rules(rules_of(spark, [rule], tmp_path), "doc").collect()
+
+
+@pytest.mark.parametrize("change,what", [({"applicable_rules": []}, "no applicable_rules: task t"), ({"description": ""}, "description of t"), ({"expected_outcome": None}, "expected_outcome of t"), ({"task_id": " "}, "task_id")])
+def test_bad_rule_tasks_are_errors(spark, tmp_path, change, what):
+    units = importers.import_rules(rules_of(spark, [{"rule_id": "1", "text": "x"}], tmp_path), "doc")
+    (tmp_path / "tasks.json").write_text(json.dumps([{"task_id": "t", "description": "d", "applicable_rules": ["1"], "expected_outcome": "o"} | change]))
+    with pytest.raises(Exception, match=what):
+        importers.import_tasks(readers.read_records(spark, str(tmp_path / "tasks.json"), importers.RULE_TASK, "tasks"), units, "doc").collect()
+
+
+def test_colliding_rule_ids_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="collide"):
+        importers.import_bundle(rules_of(spark, [{"rule_id": "A 1", "text": "x"}, {"rule_id": "a-1", "text": "y"}], tmp_path))
+
+
+def fixture_row(**change):
+    cite = {"volume_title": "Big Book", "source_span": "s1", "rule_id": "Rule 99", "page_number": 2, "section": "S", "confidence": 0.9}
+    row = {"task_id": "a", "prompt": "p", "task_type": "edge_case", "expected_rule_ids": ["Rule 99"], "expected_required_actions": ["x", "z"], "expected_forbidden_actions": [], "expected_procedure_order": [], "expected_terms": ["t"], "rule_family": "F", "source_citations": [cite, cite | {"confidence": 0.4, "source_span": None}]}
+    return row | change
+
+
+def test_fixture_import(spark, tmp_path):
+    for name, rows in (("train", [fixture_row(), fixture_row(task_id="b", expected_required_actions=["y"], task_type="odd")]), ("test", [fixture_row(task_id="c")])):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    units, tasks = importers.load_fixture(spark, str(tmp_path))
+    unit = units.collect()
+    assert len(unit) == 1 and unit[0]["unit_id"] == "source-unit-rule-99" and unit[0]["required_actions"] == ["x", "z"] and unit[0]["confidence"] == 0.4
+    assert [c["span_id"] for c in unit[0]["citations"]] == ["s1", "Rule 99"] and unit[0]["citations"][0]["document_id"] == "big-book" and unit[0]["section"] == "S"
+    assert audit.unit_faults(units).count() == 0
+    got = {r["task_id"]: r for r in tasks.collect()}
+    assert {k: (r["split"], r["task_family"]) for k, r in got.items()} == {"a": ("train", "edge_case"), "b": ("train", "applied_scenario"), "c": ("test", "edge_case")}
+    assert got["a"]["answer_key"]["reference_answer"] == "x; z" and got["a"]["knowledge_unit_ids"] == ["source-unit-rule-99"]
+    rows = spark.read.json(str(tmp_path / "train.jsonl"), schema=importers._FIXTURE)
     weights = spark.createDataFrame([("rule 99", {"cond": 1.0})], "rule_id string, condition_weights map<string,double>")
-    units = importers.fixture_units(both, "n", weights).collect()
-    assert len(units) == 1 and units[0]["unit_id"] == "source-unit-rule-99" and units[0]["required_actions"] == ["x"] and units[0]["confidence"] == 0.4 and units[0]["conditions"] == ["cond"]
+    assert importers.fixture_units(rows, "task_id", weights).first()["conditions"] == ["cond"]
+    for bad, what in (({"expected_rule_ids": []}, "no expected rule"), ({"expected_rule_ids": ["Rule 1"], "source_citations": []}, "no source citation")):
+        (tmp_path / "test.jsonl").write_text(json.dumps(fixture_row(task_id="z", **bad)))
+        with pytest.raises(Exception, match=what):
+            [x.collect() for x in importers.load_fixture(spark, str(tmp_path))]
+
+
+SPAN_ROW = "document_id string, span_id string, ordinal int, text string, page_start int, page_end int, section_path array<string>"
+
+
+def extracted(spark, reply):
+    rows = [("doc", "s1", 3, "Span text", 5, 6, ["A", "B"], reply)]
+    return importers.extracted_units(spark.createDataFrame(rows, SPAN_ROW + ", reply string"), "doc").collect()
 
 
 def test_extraction_bridge(spark):
-    reply = json.dumps({"knowledge_units": [{"title": " T ", "text": "Body", "terms": ["a", " "]}]})
-    spans = [("s1", 3, "Span text", 5, 6, ["A", "B"], f"```json\n{reply}\n```"), ("s2", 4, "x", None, None, [], '{"other": 1}')]
-    rows = importers.extracted_units(spark.createDataFrame(spans, "span_id string, ordinal int, text string, page_start int, page_end int, section_path array<string>, reply string"), "doc").collect()
+    unit = {"title": " T ", "text": "Body", "terms": ["a"]}
+    rows = extracted(spark, f"```json\n{json.dumps({'knowledge_units': [unit]})}\n```")
     assert len(rows) == 1 and rows[0]["unit_id"].startswith("ku-") and rows[0]["title"] == "T" and rows[0]["terms"] == ["a"]
     assert rows[0]["citations"][0]["locator"] == "ordinal 3; pages 5-6; section A > B"
+    bad = ['{"other": 1}', "not json", json.dumps({"knowledge_units": []}), json.dumps({"knowledge_units": [unit], "more": 1})]
+    bad += [json.dumps({"knowledge_units": [unit | c]}) for c in ({"title": " "}, {"text": None}, {"family": " "}, {"terms": ["a", " "]})]
+    for reply in bad:
+        with pytest.raises(Exception, match="span s1|blank"):
+            extracted(spark, reply)
+
+
+def test_extraction_requests_and_markers(spark):
+    documents = spark.createDataFrame([("doc", 'The "Book"', None)], "document_id string, title string, edition string")
+    row = importers.extraction_requests(documents, spark.createDataFrame([("doc", "s1", 3, "é\n", 5, None, ["A"])], SPAN_ROW)).first()
+    source = {"document_id": "doc", "title": 'The "Book"', "edition": None, "span_id": "s1", "ordinal": 3, "pages": [5, None], "section_path": ["A"], "text": "é\n"}
+    assert row["prompt"] == "Source span:\n" + json.dumps(source, ensure_ascii=False, sort_keys=True) and row["max_tokens"] == 4096
+    texts = ["x ```json {} ``` y", "a ```b``` c", "plain"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(importers.after_marker(F.col("t")).alias("m")).collect()
+    assert [r["m"] for r in got] == ["{}", "b", "plain"]
+    assert len(importers.stamped(spark.range(1)).first()["generated_at"]) == 26
+    pages = spark.createDataFrame([("b", 2), ("a", 2), ("c", None)], "rule_id string, page_number int")
+    assert [r["rule_id"] for r in importers.by_page_and_rule(pages).collect()] == ["c", "a", "b"]
 
 
 def test_rule_segmentation(spark):
     pages = ["front", "GENERAL\nA. Obey all\nrules.\n", "APPLY ONLY IN YARDS\n1. Trains must stop-\nping here\n12\n2, not a rule\n3, but this is\n9. skip me\nS 4. Flag (A)\n", "1. Again\nTABLE OF CONTENTS\njunk"]
     df = spark.createDataFrame([("vol", "\f".join(pages))], "document_id string, text string")
     sections = spark.createDataFrame([(1, "General"), (2, "Yard")], "start int, section string")
-    out = segments.extract_rules(df, sections, ("S",), spark.createDataFrame([(2, "3")], "page int, rule_id string"), spark.createDataFrame([(2, "9")], "page int, rule_id string"), 1, ("GENERAL",), (3, 3))
+    commas, out_ = (spark.createDataFrame([(2, i)], "page int, rule_id string") for i in ("3", "9"))
+    out = segments.extract_rules(df, sections, ("S",), commas, out_, 1, ("GENERAL",), (3, 3))
+    starts = segments.rule_starts(segments.page_lines(df), ("S",), commas, out_, 1)
+    report = {(r["part"], r["key"]): (r["page_number"], r["n"]) for r in segments.extraction_report(out, starts).collect()}
+    assert report == {("rules", None): (None, 5), ("section", "General"): (None, 1), ("section", "Yard"): (None, 4), ("duplicate", "1"): (None, 2), ("correction", "3"): (2, 1), ("excluded", "9"): (2, 1)}
+    high = segments.extract_rules(df, sections, ("S",), commas, out_, 1, ("GENERAL",), (3, 3), (3, "High")).collect()
+    assert {r["unit_rule_id"]: r["section"] for r in high} == {"A": "General", "1": "Yard", "3": "High", "S-4": "Yard", "1@p003-v2": "Yard"}
+    with pytest.raises(Exception, match="empty text: rule 2"):
+        segments.extract_rules(spark.createDataFrame([("v", "1. x\n2.\n3. y")], "document_id string, text string"), sections).collect()
     rows = {r["unit_rule_id"]: r for r in out.collect()}
     assert set(rows) == {"A", "1", "3", "S-4", "1@p003-v2"}
     assert rows["A"]["text"] == "Obey all rules." and rows["1"]["text"] == "Trains must stopping here 2, not a rule"
@@ -229,6 +365,20 @@ def test_rule_segmentation(spark):
     assert rows["A"]["section"] == "General" and rows["S-4"]["section"] == "Yard"
 
 
+def test_long_section_tables_are_merged(spark, monkeypatch):
+    import bisect
+    import random
+
+    rng = random.Random(2)
+    starts = sorted(rng.sample(range(100, 5000), 400))
+    sections = spark.createDataFrame([(s, f"s{s}") for s in starts], "start int, section string")
+    rows = spark.createDataFrame([(i, rng.choice([None, rng.randrange(6000), rng.choice(starts)])) for i in range(900)], "id int, v int")
+    want = {r["id"]: None if r["v"] is None or r["v"] < starts[0] else f"s{starts[bisect.bisect_right(starts, r['v']) - 1]}" for r in rows.collect()}
+    assert {r["id"]: r["section"] for r in segments.section_of(rows, sections, "v").collect()} == want
+    monkeypatch.setattr(segments, "LITERALS", 10)
+    assert {r["id"]: r["section"] for r in segments.section_of(rows, sections, "v").collect()} == want
+
+
 def test_numbering_and_sampling(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
     rows = segments.numbered(df, "x").collect()
@@ -244,6 +394,11 @@ def test_exports(spark):
     assert list(said) == sorted(said) and said["schema_version"] == "0.1" and "\\u00e9" in sft["messages"][2]["content"]
     grpo = export.grpo_records(tasks).first()
     assert grpo["answer_contract"]["fields"] == list(schemas.ANSWER_FIELDS) and grpo["metadata"]["split"] == "train"
+    trained = compiler.compile_units(make_units(spark, [cited("u", "f", required_actions=["é"], text="x")]), scored=True, trained=True).withColumn("split", F.lit("train"))
+    assert {r["id"]: r["messages"] for r in export.sft_records(trained).collect()} == {r["id"]: r["messages"] for r in export.sft_records(tasks).collect()}
+    package = export.packaged(tasks)
+    assert export.parity_faults(tasks, package).count() == 0
+    assert {r["fault"] for r in export.parity_faults(tasks, package.where("idx > 0").withColumn("split", F.lit("dev"))).collect()} == {"not packaged", "another split"}
     packaged = export.packaged(tasks).orderBy("idx").collect()
     assert [r["idx"] for r in packaged] == list(range(6)) and [r["task_id"] for r in packaged] == sorted(r["task_id"] for r in packaged)
 
@@ -259,6 +414,10 @@ def test_build_round_trip(spark, tmp_path):
     assert report["splits"] == {"train": 6, "dev": 6, "test": 6} and len(report["artifacts"]) == 5
     _, _, tasks = build.load_build(spark, root)
     assert build.package_taskset(tasks, str(tmp_path / "p"))["taskset"]["record_count"] == 18
+    build.check_package(tasks, str(tmp_path / "p"))
+    (tmp_path / "p/taskset-manifest.json").write_text("{}")
+    with pytest.raises(ValueError, match="stale"):
+        build.check_package(tasks, str(tmp_path / "p"))
     with open(f"{root}/splits/dev.jsonl", "a") as f:
         f.write("{}\n")
     with pytest.raises(ValueError, match="differs"):

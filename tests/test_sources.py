@@ -20,6 +20,36 @@ def test_json_shapes(spark, tmp_path):
     assert readers.read_records(spark, str(tmp_path / "one.json"), ddl, "units").first()["id"] == "z"
 
 
+@pytest.mark.parametrize("body,what", [('[{"id": "a"}, {"id"', "not valid JSON"), ('{"units": [{"id": "a"}', "not valid JSON"), ('[1, {"id": "a"}]', "no object"), ('{"units": {"id": "a"}}', "holds no list"), ('"text"', "neither a list"), ("[null]", "no object")])
+def test_malformed_records_are_errors(spark, tmp_path, body, what):
+    (tmp_path / "x.json").write_text(body)
+    with pytest.raises(Exception, match=what):
+        readers.read_records(spark, str(tmp_path / "x.json"), "id string", "units").collect()
+
+
+def test_examples_and_page_counts(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps([{"task_id": f"t{i}", "description": "d", "expected_outcome": "o", "applicable_rules": ["1"]} for i in range(3)]))
+    rows = readers.read_examples(spark, str(tmp_path / "e.json"), 2).collect()
+    assert [r["question"] for r in rows] == ["Task ID: t0\nScenario: d", "Task ID: t1\nScenario: d"] and rows[0]["answer"] == "o" and rows[0]["info"]["applicable_rules"] == ["1"]
+    assert readers.read_examples(spark, str(tmp_path / "e.json")).count() == 3
+    (tmp_path / "book.txt").write_text("p0\fp1\f")
+    assert readers.read_pages(spark, str(tmp_path / "book.txt"), 2).count() == 1
+    with pytest.raises(Exception, match="expected 3 pages, found 2"):
+        readers.read_pages(spark, str(tmp_path / "book.txt"), 3).collect()
+
+
+def test_parts_are_ordered_and_hashed(spark, tmp_path):
+    df = spark.range(500).selectExpr("concat('k', lpad(id, 4, '0')) AS id", "id AS n")
+    told = sinks.write_parts(df.repartition(7), str(tmp_path / "out"), "id", parts=4)
+    lines = []
+    for part in told["parts"]:
+        raw = (tmp_path / "out" / part["path"]).read_bytes()
+        assert hashlib.sha256(raw).hexdigest() == part["sha256"] and raw.count(b"\n") == part["record_count"]
+        lines += raw.decode().splitlines()
+    assert told["record_count"] == 500 and [json.loads(x)["n"] for x in lines] == list(range(500))
+    assert sinks.write_parts(df.repartition(3), str(tmp_path / "again"), "id", parts=4)["sha256"] == told["sha256"]
+
+
 def test_bad_lines_and_checked_gzip(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"id": "a"}\n\nnope\n[1]\n')
     assert [(r["line"], r["text"]) for r in readers.bad_json_lines(spark, str(tmp_path / "b.jsonl")).orderBy("line").collect()] == [(3, "nope"), (4, "[1]")]
@@ -82,8 +112,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["inspect", out]) == 0
     capsys.readouterr()
     assert cli.main(["reference-eval", out, "--split", "test"]) == 0
-    assert json.loads(capsys.readouterr().out)["mean_score"] == 1.0
+    assert json.loads(capsys.readouterr().out)["mean_total_score"] == 1.0
+    assert cli.main(["reference-eval", out, "--split", "test", "--output", str(tmp_path / "eval")]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert sorted(p.name for p in (tmp_path / "eval").iterdir()) == ["evaluation.json", "responses.jsonl", "reward_ledgers.jsonl"] and told["mean_reference_answer_fidelity_unscored"] == 1.0
+    assert len((tmp_path / "eval/reward_ledgers.jsonl").read_text().splitlines()) == told["count"] == sum(told["task_family_counts"].values()) == 6
+    assert cli.main(["inspect-artifacts", out]) == 0
     assert cli.main(["export", out, "--format", "sft", "--output", str(tmp_path / "x")]) == 0
+    line = (tmp_path / "x/sft-train.jsonl").read_text().splitlines()[0]
+    assert line == json.dumps(json.loads(line), sort_keys=True, ensure_ascii=False) and json.loads(line)["messages"][2]["role"] == "assistant"
+    assert cli.main(["package", out, "--output", str(tmp_path / "pack")]) == 0
+    assert cli.main(["package", out, "--output", str(tmp_path / "pack"), "--check"]) == 0
     assert cli.main(["validate", str(tmp_path / "none")]) == 2
     (tmp_path / "rules.json").write_text(json.dumps({"rules": [{"rule_id": "1", "text": "x", "sub_rules": [{"rule_id": "1A", "text": "y"}]}]}))
     (tmp_path / "tasks.json").write_text(json.dumps({"tasks": [{"task_id": "t", "description": "d", "applicable_rules": ["1A"], "expected_outcome": "o"}]}))
@@ -91,6 +130,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["compile", "--volume-id", "v", "--rules", str(tmp_path / "rules.json"), "--rule-tasks", str(tmp_path / "tasks.json"), "--output", str(tmp_path / "b2")]) == 0
     made = json.loads(capsys.readouterr().out)
     assert made["metadata"]["task_count"] == 13 and made["metadata"]["imported_task_count"] == 1
+    (tmp_path / "bad.json").write_text('{"rules": [{"rule_id": "1"}]}')
+    assert cli.main(["compile", "--volume-id", "v", "--rules", str(tmp_path / "bad.json"), "--output", str(tmp_path / "b3")]) == 2
 
 
 def test_stream_scores_like_a_batch(spark, tmp_path):
