@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tessera.llm import bpe, exact, lang, mixing, near, secrets, sharding, suffix, toxicity, vectors
+from tessera.sources.work import spread
 
 
 def _table(spark, sf_dir, name="documents"):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 QUERIES = {
