@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import cleaned, normalize
 from tessera.operators.compile import compile_units
 from tessera.operators.export import reference_answer
+from tessera.sources.work import spread
 
 VARIANTS = ("perfect", "one action short", "forbidden recommended", "reversed", "silent", "wrong rule", "not json")
 
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit a document: its lines give actions, steps and exceptions."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     rows = docs.withColumn("lines", cleaned(F.split("text", "\n"))).withColumn("unit_id", F.concat(F.lit("doc-"), "doc_id"))
     citation = F.struct(
         F.col("source").alias("document_id"), F.col("unit_id").alias("span_id"), F.lit(None).cast("int").alias("page_number"), F.col("lang").alias("section"),

@@ -63,6 +63,12 @@ def _clean() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than those (a small file of one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(name: str, taken) -> str:
     """``name``, lengthened until it clashes with none of ``taken`` (case-insensitively)."""
     low = {t.lower() for t in taken}
