@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, SparkSession] = {}
+#: paths alone: functions that are sent to executors may carry their module's globals
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table stays until ``discard`` or the end of the program, since results are read lazily."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    _written.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -46,9 +47,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def _delete(path: str) -> None:
-    spark = _written.pop(path, None)
-    if spark is None:
+    spark = SparkSession.getActiveSession()
+    if path not in _written or spark is None:
         return
+    _written.discard(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
