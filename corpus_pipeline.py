@@ -3,7 +3,9 @@
 language ID -> exact dedup -> near dedup -> mixing -> BPE. Each stage takes and,
 but for the last, returns the columns of ``documents``; each is written as Parquet
 and reread as the next one's input, so a lost executor costs at most one stage's
-tasks. The last stage adds tokens, n_tokens and exact to the documents of the mix.
+tasks. The last stage adds place, tokens, n_tokens and exact to the documents of the
+mix: the mix's Parquet files hold its order, ``place`` is a document's rank in it, and
+the result comes in that order.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, exact, lang, mixing, near
-from tessera.sources.work import spread, written
+from tessera.sources.work import fresh, spread, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their tokens."""
-    return bpe.encode_documents(docs)
+    """Documents with their tokens and their place in the stored order of ``docs``, in that order."""
+    place = fresh("place", docs.columns)
+    rows, end = mixing.numbered(docs, place)
+    return mixing.in_order(bpe.encode_documents(rows), place, end)
 
 
 STAGES = [

@@ -29,6 +29,7 @@ left out of the weights; extra columns are carried.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from fractions import Fraction
 from heapq import heappop, heappush
@@ -179,10 +180,46 @@ def mix_query(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, in its order, with the columns of ``docs``."""
-    position, part = fresh("mix_position", docs.columns), fresh("mix_part", docs.columns)
+    """The documents of the mix, in its order, with the columns of ``docs``.
+
+    Written as Parquet, the files hold that order; ``numbered`` reads it off them."""
+    position = fresh("mix_position", docs.columns)
     placed, end = _mix(docs)
-    # places are dense, so equal runs of them make the partitions: no sampling, which would make the mix twice
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_order(placed, position, end).select(*[F.col(f"`{x}`") for x in docs.columns])
+
+
+def in_order(df: DataFrame, position: str, end: int) -> DataFrame:
+    """``df`` in the order of its column ``position``, whose values are nearly dense and under ``end``."""
+    part = fresh("mix_part", df.columns)
+    # places are dense, so equal runs of them make the partitions: no sampling, which would make the table twice
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = F.floor(F.col(position) * partitions / F.lit(max(end, 1))).cast("int")
-    return placed.withColumn(part, run).repartitionById(partitions, part).sortWithinPartitions(position).select(*[F.col(f"`{x}`") for x in docs.columns])
+    return df.withColumn(part, run).repartitionById(partitions, part).sortWithinPartitions(position).drop(part)
+
+
+def numbered(docs: DataFrame, place: str) -> tuple[DataFrame, int]:
+    """``docs`` with each row's place from 0 (a new column) in the order in which the table is stored, and their number.
+
+    That order is the one of the files' part numbers, then of the rows in a file; a scan
+    does not keep it, since it takes large files first. What is no plain table of files is
+    written as one. Rows are only counted by file; the driver holds a number a file."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, "numbered")
+    spark, columns = docs.sparkSession, list(docs.columns)
+    file, row, before = (fresh(n, [*columns, place]) for n in ("place_file", "place_row", "place_before"))
+    stored = docs.metadataColumn("_metadata")
+    counts = docs.groupBy(stored.getField("file_path").alias(file)).agg(F.count("*").alias(row)).collect()
+    starts, end = [], 0
+    for path, n in sorted(((x[file], x[row]) for x in counts), key=lambda x: _part_number(x[0])):
+        starts.append((path, end))
+        end += n
+    held = _small(spark.createDataFrame(starts, f"`{file}` string, `{before}` long"), len(starts))
+    rows = docs.select("*", stored.getField("file_path").alias(file), stored.getField("row_index").alias(row)).join(held, file)
+    return rows.select(*[F.col(f"`{x}`") for x in columns], (F.col(before) + F.col(row)).alias(place)), end
+
+
+def _part_number(path: str) -> tuple[str, int, str]:
+    """A file's folder, number and name; numbers of over five digits stand behind the others."""
+    folder, _, name = path.rpartition("/")
+    number = re.match(r"part-(\d+)", name)
+    return folder, int(number[1]) if number else -1, name
