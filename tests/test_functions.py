@@ -27,6 +27,12 @@ def test_normalize_all_covers_other_scripts(spark):
     assert unicodedata.normalize("NFKC", "Ⅳ").casefold() in row["n"][3]
 
 
+def test_null_texts_stay_null(spark):
+    df = spark.createDataFrame([(None, ["a", None, "Ⅳ"]), ("Ⅳ", None)], "t string, v array<string>")
+    rows = df.select(T.normalize(F.col("t")).alias("t"), T.normalize_all(F.col("v")).alias("v")).collect()
+    assert [tuple(r) for r in rows] == [(None, ["a", None, "iv"]), ("iv", None)]
+
+
 def test_lcs_length_and_places(spark):
     rng = random.Random(5)
     pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 6))], [rng.choice("abcd") for _ in range(rng.randint(0, 6))]) for _ in range(200)]

@@ -1,13 +1,16 @@
 import json
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import schemas
+from tessera.functions import schemas, text
 from tessera.operators import audit, build, compile as compiler, export, failures, importers, segments, split, verify
 from tessera.operators.graph import connected_components
+from tessera.plans import bridge, catalogue
 from tessera.sources import readers
 
+SF = "/root/testdata/sf0.001"
 UNIT_IDS = ("ledger-spend-light", "lantern-turn-open", "echo-card-exception")
 
 
@@ -426,3 +429,28 @@ def test_build_round_trip(spark, tmp_path):
         build.compile_build(units.limit(0), root, "vol")
     with pytest.raises(ValueError):
         build.select_split(tasks.limit(0), "test")
+
+
+def likeness(said, reference):
+    """Fidelity of one answer's text (None: no answer) by plain Python."""
+    if said is None or not reference:
+        return 0.0
+    return SequenceMatcher(None, text.normalize_python(said), text.normalize_python(reference)).ratio()
+
+
+def test_fidelity_equals_python(spark):
+    cases = [(s, r) for s in (None, "", "!?", "Stop and look", "ＳＴＯＰ, and  ﬁnd", "the ligature straße") for r in (None, "", "...", "stop AND look", "stop and find", "the ligature strasse")]
+    rows = [(f"t{i}", None if s is None else json.dumps({"final_answer": s}), json.dumps({} if r is None else {"reference_answer": r})) for i, (s, r) in enumerate(cases)] + [("none", "{}", '{"reference_answer": "x"}')]
+    df = spark.createDataFrame(rows, "task_id string, a string, k string")
+    responses = df.select("task_id", F.lit("r").alias("response_id"), F.from_json("a", schemas.ANSWER).alias("answer"))
+    tasks = df.select("task_id", F.from_json("k", "reference_answer string").alias("answer_key"))
+    got = {r["task_id"]: r["fidelity"] for r in verify.fidelity(responses, tasks).collect()}
+    assert got == {f"t{i}": likeness(s, r) for i, (s, r) in enumerate(cases)} | {"none": 0.0}
+
+
+def test_fidelity_query_gives_every_response(spark):
+    built = bridge.tasks(spark, SF)
+    said = {r["task_id"]: r["s"] for r in bridge.responses(built).select("task_id", F.col("answer.final_answer").alias("s")).collect()}
+    key = {r["task_id"]: r["k"] for r in built.select("task_id", F.col("answer_key.reference_answer").alias("k")).collect()}
+    got = {r["task_id"]: r["fidelity"] for r in catalogue.QUERIES["q_fidelity"](spark, SF).collect()}
+    assert got == {t: round(likeness(said[t], k), 9) for t, k in key.items()} and None in said.values() and len(got) == 1200
