@@ -40,7 +40,7 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their tokens and their place in the stored order of ``docs``, in that order."""
     place = fresh("place", docs.columns)
     rows, end = mixing.numbered(docs, place)
-    return mixing.in_order(bpe.encode_documents(rows), place, end)
+    return bpe.encode_documents(rows, arranged=lambda joined: mixing.in_order(joined, place, end))
 
 
 STAGES = [

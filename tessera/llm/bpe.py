@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,10 +212,12 @@ def _pack(tokens: np.ndarray) -> bytes:
     return tokens.astype(np.uint16 if not len(tokens) or tokens.max() < 1 << 16 else np.uint32).tobytes()
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, arranged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with tokens (array<int>), n_tokens and exact added (names lengthened on a clash).
 
-    ``exact``: the tokens decode to the text byte for byte."""
+    ``exact``: the tokens decode to the text byte for byte. ``arranged`` orders the rows
+    (all columns of ``docs`` and more, which it keeps) right before they get their tokens,
+    so that these need no shuffle; the result keeps that order."""
     spark, taken = docs.sparkSession, list(docs.columns)
     with open(vocabulary, "rb") as f:
         shared_words = spark.sparkContext.broadcast(f.read())  # a fixed file of under 2 MB
@@ -288,7 +290,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: width - 1], column, count, pa.array(good, pa.bool_())], columns)
 
     schema = StructType([*docs.schema.fields, StructField(names[0], ArrayType(IntegerType())), StructField(names[1], LongType()), StructField(names[2], BooleanType())])
-    return keyed.join(plan, keyed[k] == plan[part_key], "left").mapInArrow(kernel.releasing(finish), schema)
+    rows = keyed.join(plan, keyed[k] == plan[part_key], "left")
+    return (arranged(rows) if arranged else rows).mapInArrow(kernel.releasing(finish), schema)
 
 
 def _unpack(packed: bytes, size: int, words: Vocabulary) -> np.ndarray:
