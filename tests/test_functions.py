@@ -112,3 +112,30 @@ def test_canonical_sorts_sets_and_refuses_nan():
     assert canonical.canonical({"b": {3, 1}, "a": 1e-05}) == '{"a":1e-05,"b":[1,3]}'
     with pytest.raises(ValueError):
         canonical.canonical(float("nan"))
+
+
+def test_strip_leaves_separators_that_are_not_white_space(spark):
+    texts = [" \t\n\x0b\f\r", "", " a b \r\n", "  a  ", "\u0085 a \u0085", " a ", None, "x" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [None if t is None else t.strip(" \t\n\x0b\f\r") for t in texts]
+
+
+def test_first_words_are_those_of_the_normal_form(spark):
+    texts = ["", "...", "one", " -One_  TWO, three", "Ⅳ ﬁn drei", "a\nb", "straße", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.first_words(F.col("t"), 2).alias("w")).collect()
+    assert [r["w"] for r in rows] == [None if t is None else T.normalize_python(t).split()[:2] for t in texts]
+
+
+def test_normal_forms_with_and_without_known_items(spark):
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in (("stop", "Stop!"), ("look", "look"))])
+    rows = spark.createDataFrame([(["Stop!", "stop!", "LOOK", "", None, "Ⅳ"],), ([],)], "v array<string>").select(T.normal_forms(F.col("v"), known).alias("n")).collect()
+    assert [r["n"] for r in rows] == [["stop", "stop", "look", "", None, "iv"], []]
+
+
+def test_phrases_are_found_wherever_they_stand(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), "\n".join(words), " ".join(words[:15]) + "\n" + " ".join(words[15:]), ". ".join(words), "", "W0-W1", "w1 w0", " ".join(["w9"] * 30) + " Ｗ0"]
+    phrases = ["w0 w1", "w14 w15", "w15 w16", "w39", "w0", "w4"]
+    expected = F.array(*[F.struct(F.lit(p).alias("k"), F.lit(p).alias("v")) for p in phrases])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.texts(T.phrases_in_text(expected, F.col("t"))).alias("found")).collect()
+    assert [r["found"] for r in rows] == [[p for p in phrases if f" {p} " in f" {T.normalize_python(t)} "] for t in texts]

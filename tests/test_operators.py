@@ -454,3 +454,21 @@ def test_fidelity_query_gives_every_response(spark):
     key = {r["task_id"]: r["k"] for r in built.select("task_id", F.col("answer_key.reference_answer").alias("k")).collect()}
     got = {r["task_id"]: r["fidelity"] for r in catalogue.QUERIES["q_fidelity"](spark, SF).collect()}
     assert got == {t: round(likeness(said[t], k), 9) for t, k in key.items()} and None in said.values() and len(got) == 1200
+
+
+def test_responses_with_their_own_keys_score_as_joined_ones_without_a_shuffle(spark):
+    built = bridge.tasks(spark, SF, scored=True).where("family_index < 2")
+    given = bridge.responses(built)
+    alone = verify.verify(given, keep=("variant",))
+    assert {r["variant"] for r in alone.select("variant").distinct().collect()} == set(range(7))
+    joined = verify.verify(given.drop("scoring_key"), built.drop("scoring_key"))
+    rows = lambda df: sorted(map(str, df.drop("variant").collect()))
+    assert rows(alone) == rows(joined)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_own_key_that_is_missing_is_an_unknown_task(spark):
+    given = bridge.responses(bridge.tasks(spark, SF, scored=True)).limit(1).withColumn("scoring_key", F.when(F.lit(False), F.col("scoring_key")))
+    with pytest.raises(Exception, match="unknown task"):
+        verify.verify(given).select("task_id").collect()
