@@ -472,3 +472,9 @@ def test_own_key_that_is_missing_is_an_unknown_task(spark):
     given = bridge.responses(bridge.tasks(spark, SF, scored=True)).limit(1).withColumn("scoring_key", F.when(F.lit(False), F.col("scoring_key")))
     with pytest.raises(Exception, match="unknown task"):
         verify.verify(given).select("task_id").collect()
+
+
+def test_scoring_queries_score_once_and_shuffle_no_response(spark):
+    for name in ("q_symbolic_eval", "q_run_means", "q_baseline_vs_adapted", "q_verify_totals"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1, name
