@@ -478,3 +478,14 @@ def test_scoring_queries_score_once_and_shuffle_no_response(spark):
     for name in ("q_symbolic_eval", "q_run_means", "q_baseline_vs_adapted", "q_verify_totals"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") == 1, name
+
+
+def test_fidelity_without_tasks_equals_the_joined_one(spark):
+    cases = [(s, r) for s in (None, "", "!?", "ﹰ", "Stop", "stop", "a b c") for r in (None, "", "...", "ﹰ", "Stop", "stop!", "a b d")]
+    df = spark.createDataFrame([(f"t{i}", None if s is None else json.dumps({"final_answer": s}), r) for i, (s, r) in enumerate(cases)], "task_id string, a string, reference_answer string")
+    responses = df.select("task_id", F.lit("r").alias("response_id"), F.from_json("a", schemas.ANSWER).alias("answer"), "reference_answer")
+    tasks = df.select("task_id", F.struct("reference_answer").alias("answer_key"))
+    rows = lambda x: {r["task_id"]: r["fidelity"] for r in x.collect()}
+    assert rows(verify.fidelity(responses)) == rows(verify.fidelity(responses, tasks)) == {f"t{i}": likeness(s, r) for i, (s, r) in enumerate(cases)}
+    plan = catalogue.QUERIES["q_fidelity"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
