@@ -489,3 +489,24 @@ def test_fidelity_without_tasks_equals_the_joined_one(spark):
     assert rows(verify.fidelity(responses)) == rows(verify.fidelity(responses, tasks)) == {f"t{i}": likeness(s, r) for i, (s, r) in enumerate(cases)}
     plan = catalogue.QUERIES["q_fidelity"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_parity_compares_contents_and_moves_digests(spark):
+    made = bridge.tasks(spark, SF).limit(8).withColumn("split", F.lit(None).cast("string")).collect()
+    built = spark.createDataFrame(made, bridge.tasks(spark, SF).withColumn("split", F.lit(None).cast("string")).schema)
+    package = export.packaged(built)
+    assert export.parity_faults(built, package).count() == 0
+    ids = [r["task_id"] for r in package.orderBy("idx").collect()]
+    key = F.col("answer_key")
+    changed = (
+        F.when(F.col("task_id") == ids[0], key.withField("terms", F.lit(None).cast("array<string>")))
+        .when(F.col("task_id") == ids[1], key.withField("terms", F.concat(key.terms, F.array(F.lit("")))))
+        .when(F.col("task_id") == ids[2], key.withField("reference_answer", F.concat(key.reference_answer, F.lit(" "))))
+        .when(F.col("task_id") == ids[3], F.lit(None).cast(built.schema["answer_key"].dataType))
+        .otherwise(key)
+    )
+    other = package.withColumn("answer_key", changed).withColumn("split", F.when(F.col("task_id") == ids[4], "dev")).withColumn("prompt", F.when(F.col("task_id") != ids[5], F.col("prompt")))
+    got = sorted(tuple(r) for r in export.parity_faults(built, other).collect())
+    assert got == sorted([(i, "another answer_key") for i in ids[:4]] + [(ids[4], "another split"), (ids[5], "another prompt")])
+    plan = export.parity_faults(built, other)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") >= 4
