@@ -510,3 +510,11 @@ def test_parity_compares_contents_and_moves_digests(spark):
     assert got == sorted([(i, "another answer_key") for i in ids[:4]] + [(ids[4], "another split"), (ids[5], "another prompt")])
     plan = export.parity_faults(built, other)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") >= 4
+
+
+def test_unit_references_are_the_units_of_the_tasks(spark):
+    listed = bridge.unit_tasks(spark, SF).select("task_id", F.explode("knowledge_unit_ids").alias("unit_id"))
+    lines = bridge.unit_references(spark, SF)
+    assert listed.exceptAll(lines.distinct()).count() == lines.distinct().exceptAll(listed).count() == 0
+    plan = catalogue.QUERIES["q_leakage_unit"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Generate" not in plan
