@@ -518,3 +518,15 @@ def test_unit_references_are_the_units_of_the_tasks(spark):
     assert listed.exceptAll(lines.distinct()).count() == lines.distinct().exceptAll(listed).count() == 0
     plan = catalogue.QUERIES["q_leakage_unit"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "Generate" not in plan
+
+
+def test_split_rule_needs_no_join_by_group_key(spark):
+    tasks = spark.createDataFrame([(f"t{i}", [f"u{i % 7}", f"u{i % 7 + 50}"]) for i in range(60)] + [(f"s{i}", [f"own{i}"]) for i in range(20)], "task_id string, knowledge_unit_ids array<string>")
+    for mode in ("knowledge_unit", "knowledge_component"):
+        made = split.split_tasks(tasks, 7, mode)
+        assert made.columns == ["group_key", "task_id", "knowledge_unit_ids", "split"]
+        rows = {r["task_id"]: (r["group_key"], r["split"]) for r in made.collect()}
+        told = dict((r["group_key"], r["split"]) for r in split.group_assignments(made, 7).collect())
+        assert len(rows) == 80 and rows == {t: (k, told[k]) for t, (k, _) in rows.items()} and len(told) == 27
+        assert sorted(told.values()) == sorted(["train"] * 21 + ["dev"] * 3 + ["test"] * 3)
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
