@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tessera.sources.work import discard, written
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", kept: bool = False) -> DataFrame:
     """(node, component): the least node reachable from each node of an edge.
 
     Large-star and small-star steps (Kiveris et al., 2014) need O(log^2 n) rounds
     and keep every round's edges linear in the input. A node's least neighbour is an
     aggregate, combined before the shuffle, that is joined back: no hub's edges meet in
     one window. A round's edges are written to the shared folder, and those of the round
-    before deleted. Null ends are ignored; self-loops name lone nodes. Nodes of any
+    before deleted. So are the edges given, unless ``kept`` says that they come straight from
+    a written table; where they repeat, they fall together in the first round. Null ends are ignored; self-loops name lone nodes. Nodes of any
     ordered type; longs are fastest (``numbered_nodes``)."""
-    pairs = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"), "pairs")
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    pairs = pairs if kept else written(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         before, now = now, written(small, "edges")
-        discard(before, large)
+        discard(large, *([before] if mark else []))
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
         if tuple(state) == mark:
             break

@@ -530,3 +530,19 @@ def test_split_rule_needs_no_join_by_group_key(spark):
         assert len(rows) == 80 and rows == {t: (k, told[k]) for t, (k, _) in rows.items()} and len(told) == 27
         assert sorted(told.values()) == sorted(["train"] * 21 + ["dev"] * 3 + ["test"] * 3)
         assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_components_of_repeated_edges_write_no_copy_of_them(spark, monkeypatch):
+    from tessera.operators import graph
+
+    pairs = [(9, 4), (4, 9), (9, 4), (4, 2), (7, 7), (7, 7), (6, 5), (5, 6), (None, 3), (3, None), (12, 11), (11, 10), (10, 12)]
+    want = {2: 2, 4: 2, 9: 2, 7: 7, 5: 5, 6: 5, 10: 10, 11: 10, 12: 10}
+    df = spark.createDataFrame(pairs, "a long, b long")
+    names = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda x, name: names.append(name) or real(x, name))
+    for kept in (False, True):
+        names.clear()
+        assert {r["node"]: r["component"] for r in connected_components(df, kept=kept).collect()} == want
+        assert names[:2] == (["large", "edges"] if kept else ["pairs", "large"]) and names.count("pairs") == (not kept)
+    assert connected_components(df.where("a IS NULL")).count() == 0
